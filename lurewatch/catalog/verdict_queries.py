@@ -124,18 +124,13 @@ def _(spark, d):
 
 
 @query("fn_categorize_verdict", """
-SELECT l_orderkey, l_linenumber, v.category, v.result, v.verdict,
-  CASE WHEN v.category = 'malicious' AND (contains(v.result, 'phish') OR contains(v.result, 'scam'))
-       THEN 'phishing' WHEN v.category IN ('malicious', 'suspicious') THEN v.category ELSE 'clean' END
-  AS wide_verdict
-FROM vendor_fx v JOIN lineitem ON key = l_orderkey AND name = 'vendor' || l_suppkey || '_' || l_linenumber""",
-       "vendor_fx")
+SELECT key, name, category, result, verdict,
+  CASE WHEN category = 'malicious' AND (contains(result, 'phish') OR contains(result, 'scam'))
+       THEN 'phishing' WHEN category IN ('malicious', 'suspicious') THEN category ELSE 'clean' END
+  AS wide_verdict FROM vendor_fx""", "vendor_fx")
 def _(spark, d):
-    parts = F.regexp_extract("name", r"_(\d+)$", 1).cast("int")
-    return fx.vendors(spark, d).select(
-        F.col("key").alias("l_orderkey"), parts.alias("l_linenumber"), "category", "result", "verdict",
-        verdicts.categorize(F.col("category"), F.col("result"), ("phish", "scam"))
-        .alias("wide_verdict"))
+    return fx.vendors(spark, d).withColumn("wide_verdict", verdicts.categorize(
+        F.col("category"), F.col("result"), ("phish", "scam")))
 
 
 @query("agg_community_score", """
@@ -149,8 +144,8 @@ def _(spark, d):
 
 
 @query("src_vendor_report", """
-SELECT v.key, v.name, v.category, v.result, v.verdict FROM vendor_fx v JOIN events ON key = event_id""",
-       "vendor_fx")
+SELECT v.key, v.name, v.category, v.result, v.verdict FROM entries_fx v JOIN events ON key = event_id""",
+       "entries_fx")
 def _(spark, d):
     path = shared_path(spark, "reports")
     fx.reports(spark, d).write.json(path)
@@ -159,12 +154,12 @@ def _(spark, d):
 
 
 @query("prj_metadata_by_type", """
-SELECT key, CASE indicator_type
+SELECT key, CAST(CASE indicator_type
   WHEN 'url' THEN json_object('final_url', indicator || '/final', 'serving_ip', 'Unknown')
   WHEN 'domain' THEN json_object('creation_date', '2020-01-01', 'registrar', NULL, 'last_dns_records', [])
   WHEN 'ip' THEN json_object('as_owner', NULL, 'country', 'SG', 'network', NULL)
   WHEN 'hash' THEN json_object('type_description', NULL, 'size', key, 'file_type', NULL)
-  ELSE '{}' END AS metadata FROM reports_fx""", "reports_fx")
+  ELSE '{}' END AS VARCHAR) AS metadata FROM reports_fx""", "reports_fx")
 def _(spark, d):
     reports = fx.reports(spark, d)
     return reports.select("key", reputation.metadata_by_type(reports).alias("metadata"))

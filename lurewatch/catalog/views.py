@@ -79,6 +79,11 @@ LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
 SELECT {INPUT_TEXT} AS url, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'no_results' END AS query_status,
        CASE event_id % 4 WHEN 0 THEN 'malware_download' WHEN 1 THEN 'none' END AS threat
 FROM events WHERE event_id % 5 = 0""",
+    "entries_fx": """
+SELECT key, name, e.category AS category, e.result AS result,
+       CASE WHEN e.category = 'malicious' AND contains(e.result, 'phish') THEN 'phishing'
+            WHEN e.category IN ('malicious', 'suspicious') THEN e.category ELSE 'clean' END AS verdict
+FROM (SELECT key, name, max({'category': category, 'result': result}) AS e FROM vendor_fx GROUP BY key, name)""",
     "reports_fx": f"""
 SELECT e.event_id AS key, {INPUT_TYPE} AS indicator_type, {INPUT_TEXT} AS indicator,
        v.malicious, v.suspicious, v.harmless, v.undetected, v.vendors
@@ -88,12 +93,13 @@ FROM events e JOIN (
          count(*) FILTER (category = 'suspicious') AS suspicious,
          count(*) FILTER (category = 'harmless') AS harmless,
          count(*) FILTER (category = 'undetected') AS undetected
-  FROM vendor_fx GROUP BY key) v ON v.key = e.event_id""",
+  FROM entries_fx GROUP BY key) v ON v.key = e.event_id""",
 }
 
 NEEDS = {
     "lists_fx": ["vendor_fx"],
     "history_fx": ["rows_fx", "lists_fx"],
     "activity_fx": ["users_fx"],
-    "reports_fx": ["vendor_fx"],
+    "entries_fx": ["vendor_fx"],
+    "reports_fx": ["entries_fx"],
 }

@@ -73,8 +73,8 @@ def title_case(c: Column) -> Column:
     """Upper-case the first word character after every word boundary."""
     pieces = F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
     return F.array_join(
-        F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)),
-                                               p.substr(F.lit(2), F.length(p)))), "")
+        F.transform(pieces, lambda p: F.when(p.rlike("^[a-z]"), F.concat(
+            F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))).otherwise(p)), "")
 
 
 def truncate(c: Column, length: int, ending: str = "...") -> Column:

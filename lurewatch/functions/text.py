@@ -41,12 +41,21 @@ def preprocess(c: Column) -> Column:
 
     HTML mails must be turned into text first (see ``html.visible_text``).
     """
-    lowered = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?s)^.*?subject:", "")
+    lowered = let(F.lower(F.coalesce(c, F.lit(""))), _cut_headers)
     spaced = strip(F.regexp_replace(lowered, SPACE + "+", " "))
     linked = F.regexp_replace(spaced, fv.URL_PATTERN, "URL")
     return F.regexp_replace(linked, r"([!?.]){2,}", "$1")
 
 
+def _cut_headers(low: Column) -> Column:
+    """Drop each stretch from a line start through ``subject:``; only the part up to the last
+    mark is searched, so long mails stay linear."""
+    tail = F.substring_index(low, "subject:", -1)
+    upto = F.substring(low, F.lit(1), F.length(low) - F.length(tail))
+    return F.when(F.contains(low, F.lit("subject:")), F.concat(
+        F.regexp_replace(upto, r"(?msd)^.*?subject:", ""), tail)).otherwise(low)
+
+
 def extract_html(c: Column) -> Column:
     """From the first ``<html`` to the last ``</html>``; without a closing tag the end is 6."""
     low = F.lower(c)

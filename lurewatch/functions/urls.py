@@ -89,12 +89,17 @@ def is_url(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & F.try_parse_url(c, F.lit("PROTOCOL")).isNotNull()
 
 
+def _percent_decode(c: Column) -> Column:
+    """Decode; a percent sign without two hex digits stands for itself."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def unwrap_redirect(c: Column) -> Column:
     """Target of a ``?url=`` redirect, decoded twice; the URL itself if there is none."""
     value = F.regexp_extract(split_url(c)["query"], r"(?:^|&)url=([^&]+)", 1)
-    once = F.try_url_decode(value)
-    twice = F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(blank_to_null(F.coalesce(twice, once)), c)
+    once = _percent_decode(value)
+    twice = _percent_decode(F.replace(once, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(blank_to_null(twice), c)
 
 
 def link_parts(c: Column) -> Column:

@@ -173,12 +173,18 @@ def second_feed(spark: SparkSession, d: str) -> DataFrame:
         .alias("threat"))
 
 
+def report_entries(spark: SparkSession, d: str) -> DataFrame:
+    """One entry per (report, vendor): a vendor listed twice keeps its greatest entry."""
+    return vendors(spark, d).groupBy("key", "name").agg(
+        F.max(F.struct("category", "result")).alias("e")).select("key", "name", "e.*")
+
+
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """Vendor reports in their delivered JSON shape, one per event with vendor rows."""
     kind, text = event_input(F.col("event_id"), F.col("user_id"))
     heads = read_table(spark, d, "events").select(
         F.col("event_id").alias("key"), kind.alias("indicator_type"), text.alias("indicator"))
-    lists = vendors(spark, d).groupBy("key").agg(
+    lists = report_entries(spark, d).groupBy("key").agg(
         F.collect_list(F.struct("name", F.struct("category", "result"))).alias("results"),
         *[F.count_if(F.col("category") == c).alias(c)
           for c in ("malicious", "suspicious", "harmless", "undetected")])
