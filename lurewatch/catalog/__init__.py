@@ -1,3 +1,4 @@
 """Registered queries, one module per family."""
 
-from lurewatch.catalog import history_queries, indicator_queries, verdict_queries  # noqa: F401
+from lurewatch.catalog import (  # noqa: F401
+    history_queries, indicator_queries, mail_queries, verdict_queries)

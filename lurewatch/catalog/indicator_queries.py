@@ -8,6 +8,7 @@ from lurewatch.catalog.registry import query
 from lurewatch.functions import fixed_values as fv
 from lurewatch.functions import indicators, strings, urls
 from lurewatch.operators.reputation import metadata_by_type
+from lurewatch.operators.stats import text_entropy
 from lurewatch.sources import fixtures as fx
 from lurewatch.sources.tables import read_table
 
@@ -256,14 +257,25 @@ def _(spark, d):
         "event_id", strings.to_local_time(stored).alias("local_time"))
 
 
+@query("fn_shannon_entropy_short", """
+SELECT input, round(-sum(p * log2(p)), 6) AS entropy FROM (
+  SELECT rn, any_value(input) AS input, count(*) / any_value(length(input)) AS p
+  FROM (SELECT rn, input, unnest(string_split(input, '')) AS ch
+        FROM (SELECT row_number() OVER () AS rn, input FROM input_fx)) GROUP BY rn, ch)
+GROUP BY rn, input""", "input_fx")
+def _(spark, d):
+    return fx.inputs(spark, d).select(
+        "input", (F.round(strings.entropy(F.col("input")), 6) + 0.0).alias("entropy"))
+
+
 @query("fn_shannon_entropy", """
 SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (
   SELECT doc_id, count(*) / any_value(length(text)) AS p
   FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY doc_id, ch)
 GROUP BY doc_id""")
 def _(spark, d):
-    return read_table(spark, d, "documents").select(
-        "doc_id", F.round(strings.entropy(F.col("text")), 6).alias("entropy"))
+    rows = text_entropy(read_table(spark, d, "documents"), "doc_id", "text")
+    return rows.select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
 SIZE = "n_chars * n_chars * (doc_id % 50)"

@@ -1,5 +1,7 @@
 """SQL twins of ``sources.fixtures``, for the checking SQL only."""
 
+from lurewatch.functions import fixed_values as fv
+
 INPUT_TYPE = ("CASE event_id % 5 WHEN 0 THEN 'url' WHEN 1 THEN 'domain' WHEN 2 THEN 'ip' "
               "WHEN 3 THEN 'hash' ELSE 'email' END")
 INPUT_TEXT = ("CASE event_id % 5 WHEN 0 THEN 'https://s' || (event_id % 97) || '.example.com/p/' || event_id "
@@ -8,6 +10,87 @@ INPUT_TEXT = ("CASE event_id % 5 WHEN 0 THEN 'https://s' || (event_id % 97) || '
               "WHEN 3 THEN md5(CAST(event_id AS VARCHAR)) "
               "ELSE 'user' || user_id || '@example.net' END")
 
+WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
+
+def processed(c: str) -> str:
+    """Preprocessed text of a body without html and without a ``subject:`` line."""
+    spaced = rf"trim(regexp_replace(lower({c}), '{WS}+', ' ', 'g'))"
+    linked = f"regexp_replace({spaced}, '{fv.URL_PATTERN}', 'URL', 'g')"
+    return rf"regexp_replace({linked}, '([!?.]){{2,}}', '\1', 'g')"
+
+
+def words(c: str) -> str:
+    return rf"list_filter(string_split_regex({c}, '{WS}+'), lambda w: w <> '')"
+
+
+def lines(c: str) -> str:
+    stripped = rf"regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')"
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {stripped}), lambda x: x <> '')"
+
+
+def any_of(c: str, patterns: list[str]) -> str:
+    quoted = [p.replace("'", "''") for p in patterns]
+    return "(" + " OR ".join(f"regexp_matches({c}, '(?im){p}')" for p in quoted) + ")"
+
+
+def phrases(c: str, category: str) -> str:
+    return "(" + " + ".join(f"CAST(contains({c}, '{p}') AS INTEGER)" for p in fv.LEXICON[category]) + ")"
+
+
+def model_rule(u: str) -> str:
+    """The ten-indicator URL rule for an absolute URL."""
+    host = rf"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)"
+    tail = rf"regexp_replace({u}, '^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/?#]*)?', '')"
+    path = rf"regexp_replace(regexp_replace({tail}, '[?#].*', ''), '^(.*/)?([^/;]*);[^/]*$', '\1\2')"
+    tests = [
+        f"length(regexp_replace({host}, '[^.]', '', 'g')) > 3",
+        rf"regexp_matches(lower({host}), '\.(tk|ml|ga|cf|gq)')",
+        f"regexp_matches({u}, '[0-9]{{10,}}')", rf"regexp_matches({u}, '[^\x00-\x7F]')",
+        f"length({u}) > 100", f"regexp_matches(lower({path}), '{fv.MODEL_PATH_WORDS}')",
+        f"regexp_matches(lower({path}), '{fv.MODEL_ACTION_PAGE}')", f"contains({u}, '@')",
+        f"contains({path}, '//')", f"length(regexp_replace({host}, '[^-]', '', 'g')) > 2"]
+    return "(" + " + ".join(f"CAST({t} AS INTEGER)" for t in tests) + " >= 2)"
+
+
+def features(source: str) -> str:
+    """Feature record over column ``source`` (body or processed) of proc_fx.
+
+    Every page anchor of the tables is rooted, so links are text URLs and base + anchor."""
+    lex = ", ".join(f"CAST({phrases('low', c)} > 0 AS INTEGER) AS contains_{c}, {phrases('low', c)} AS {c}_count"
+                    for c in fv.LEXICON)
+    shorteners = any_of("low", [x.replace(".", r"\.") for x in fv.SHORTENERS])
+    page_short = any_of("lower(html)", [x.replace(".", r"\.") for x in fv.SHORTENERS])
+    return f"""
+SELECT id, body, html, sender, class, urls, src, length(src) AS text_length, len(ws) AS word_count,
+  CASE WHEN len(ws) > 0 THEN length(array_to_string(ws, '')) / len(ws) ELSE 0 END AS avg_word_length,
+  CAST({any_of('head', fv.GREETINGS)} AS INTEGER) AS has_greeting,
+  CAST({any_of('head', fv.GREETINGS)} AND {any_of('head', [fv.PERSONAL_GREETING])} AS INTEGER) AS has_personal_greeting,
+  CAST({any_of('foot', fv.SIGNATURES)} AS INTEGER) AS has_signature,
+  CAST({any_of('foot', fv.SIGNATURES)} AND {any_of('foot', fv.COMPANY_SIGNATURES)} AS INTEGER) AS has_company_signature,
+  len(urls) AS url_count, len(list_filter(urls, lambda u: {model_rule('u')})) AS suspicious_url_count,
+  CASE WHEN len(ws) > 0 THEN len(urls) / len(ws) ELSE 0 END AS url_to_text_ratio,
+  length(regexp_replace(src, '[^\p{{Lu}}]', '', 'g')) / greatest(length(src), 1) AS uppercase_ratio,
+  length(regexp_replace(src, '[^\p{{Nd}}²³¹]', '', 'g')) / greatest(length(src), 1) AS digit_ratio,
+  length(regexp_replace(src, '[^!-/:-@\[-`{{-~]', '', 'g')) / greatest(length(src), 1) AS punctuation_ratio,
+  CAST(html <> '' AS INTEGER) AS contains_html, len(regexp_extract_all(html, '<[^>]+>')) AS html_tag_count,
+  CAST(regexp_matches(src, '{fv.IP_URL}') OR regexp_matches(html, '{fv.IP_URL}') AS INTEGER)
+    + CAST(regexp_matches(src, '{fv.AT_URL}') OR regexp_matches(html, '{fv.AT_URL}') AS INTEGER)
+    + CAST(len(list_filter(urls, lambda u: length(u) > 100)) > 0 AS INTEGER)
+    + CAST({shorteners} OR {page_short} AS INTEGER) AS mismatched_links,
+  {phrases('low', 'urgent')} AS has_urgent_count, {phrases('low', 'threat')} AS has_threat_count,
+  CAST({phrases('low', 'financial')} + {phrases('low', 'personal')} > 0 AS INTEGER) AS sensitive_info_requested,
+  {lex}
+FROM (SELECT *, lower(src) AS low, {words('src')} AS ws, array_to_string(ls[1:5], chr(10)) AS head,
+        array_to_string(ls[greatest(len(ls) - 4, 1):], chr(10)) AS foot,
+        list_sort(list_distinct(list_concat(regexp_extract_all(src, '{fv.URL_PATTERN}'),
+          CASE WHEN base <> '' THEN list_transform(regexp_extract_all(html, '<a href="(/[^"]*)"', 1),
+            lambda h: base || h) ELSE [] END))) AS urls
+      FROM (SELECT *, {source} AS src, {lines(source)} AS ls,
+              regexp_extract(regexp_extract({source}, '{fv.URL_PATTERN}'), '^https?://[^/?#]*') AS base
+            FROM proc_fx))"""
+
+
 VIEWS = {
     "users_fx": """
 SELECT c_custkey AS id, c_name AS username,
@@ -75,6 +158,9 @@ SELECT d.doc_id AS id,
        l.toxic AS class
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
+    "proc_fx": f"SELECT *, {processed('body')} AS processed FROM email_fx",
+    "feats_fx": features("processed"),
+    "raw_fx": features("body"),
     "second_fx": f"""
 SELECT {INPUT_TEXT} AS url, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'no_results' END AS query_status,
        CASE event_id % 4 WHEN 0 THEN 'malware_download' WHEN 1 THEN 'none' END AS threat
@@ -100,6 +186,9 @@ NEEDS = {
     "lists_fx": ["vendor_fx"],
     "history_fx": ["rows_fx", "lists_fx"],
     "activity_fx": ["users_fx"],
+    "proc_fx": ["email_fx"],
+    "feats_fx": ["proc_fx"],
+    "raw_fx": ["proc_fx"],
     "entries_fx": ["vendor_fx"],
     "reports_fx": ["entries_fx"],
 }

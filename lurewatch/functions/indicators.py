@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lurewatch.functions import fixed_values as fv
 from lurewatch.functions.strings import let, strip
-from lurewatch.functions.urls import split_url
 
 HEX_DIGEST = r"^(?:[a-fA-F0-9]{32}|[a-fA-F0-9]{40}|[a-fA-F0-9]{64})$"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 DOTTED_QUAD = rf"{OCTET}(?:\.{OCTET}){{3}}"
+SCHEME = r"[\x00-\x20]*[A-Za-z][A-Za-z0-9+.\-\t\r\n]*:"
+HOST = rf"^(?:{SCHEME})?[\t\r\n]*/[\t\r\n]*/([^/?#]*)"
 HEXTETS = r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$"
 
 
@@ -33,25 +34,25 @@ def _quad_as_hextets(addr: Column) -> Column:
 
 
 def _groups(side: Column) -> Column:
-    return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+    return F.filter(F.split(side, ":"), lambda g: g != "")
 
 
 def _expanded(addr: Column) -> Column:
     """Eight hextets without leading zeros, or null when the address is not valid."""
     left, right = F.substring_index(addr, "::", 1), F.substring_index(addr, "::", -1)
-    short = F.concat(
-        _groups(left),
-        F.array_repeat(F.lit("0"), F.lit(8) - F.size(_groups(left)) - F.size(_groups(right))),
-        _groups(right))
+    one_gap = F.length(addr) - F.length(F.replace(addr, F.lit("::"), F.lit(""))) == 2
+
+    def fill(s: Column) -> Column:
+        missing = F.lit(8) - F.size(s["l"]) - F.size(s["r"])
+        return F.when(missing > 0, F.concat(
+            s["l"], F.array_repeat(F.lit("0"), missing), s["r"]))
+
     hextets = (
-        F.when(F.contains(addr, F.lit(":::")), F.lit(None))
-        .when(F.contains(addr, F.lit("::"))
-              & (F.length(addr) - F.length(F.replace(addr, F.lit("::"), F.lit(""))) == 2)
-              & left.rlike(HEXTETS) & right.rlike(HEXTETS)
-              & (F.size(_groups(left)) + F.size(_groups(right)) <= 7), short)
-        .when(~F.contains(addr, F.lit("::")) & addr.rlike(HEXTETS)
-              & (F.size(F.split(addr, ":")) == 8), F.split(addr, ":")))
-    return F.transform(hextets, lambda g: F.regexp_replace(g, r"^0+(?=.)", ""))
+        F.when(~F.contains(addr, F.lit("::")), F.when(addr.rlike(HEXTETS), _groups(addr)))
+        .when(one_gap & ~F.contains(addr, F.lit(":::")) & left.rlike(HEXTETS) & right.rlike(HEXTETS),
+              let(F.struct(_groups(left).alias("l"), _groups(right).alias("r")), fill)))
+    return F.filter(
+        F.transform(hextets, lambda g: F.regexp_replace(g, r"^0+(?=.)", "")), lambda g: g != "")
 
 
 def _compressed(full: Column) -> Column:
@@ -69,8 +70,8 @@ def ipv6(c: Column) -> Column:
     """Canonical text of an IPv6 address (zone kept), null when not one."""
     zone = F.when(F.contains(c, F.lit("%")), F.regexp_replace(c, r"(?s)^[^%]*%", ""))
     addr = _quad_as_hextets(F.lower(F.substring_index(c, "%", 1)))
-    canonical = let(addr, lambda a: let(
-        F.array_join(_expanded(a), ":"), _compressed))
+    canonical = let(addr, lambda a: let(_expanded(a), lambda g: F.when(
+        F.size(g) == 8, let(F.array_join(g, ":"), _compressed))))
     plausible = c.rlike(r"(?s)^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^%]+)?$")
     return F.when(plausible, F.concat(
         canonical, F.when(zone.isNull(), F.lit("")).otherwise(F.concat(F.lit("%"), zone))))
@@ -84,30 +85,36 @@ def _tagged(kind: str, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"))
 
 
+def _malformed(s: Column) -> Column:
+    """Only one kind of bracket in the host part."""
+    host = F.regexp_extract(s, HOST, 1)
+    return s.rlike(r"[\[\]]") & (F.contains(host, F.lit("[")) != F.contains(host, F.lit("]")))
+
+
 def _live(s: Column) -> Column:
-    parsed = split_url(s)
     with_http = F.when(s.startswith("http"), s).otherwise(F.concat(F.lit("http://"), s))
-    return (
-        F.when(s.isNull() | (s == ""), _tagged("unknown", F.lit("")))
-        .when(s.rlike(HEX_DIGEST), _tagged("hash", F.lower(s)))
-        .when(ip_address(s).isNotNull(), _tagged("ip", ip_address(s)))
-        .when(parsed["malformed"], _tagged("unknown", s))
-        .when(parsed["scheme"] != "", _tagged("url", s))
+    typed = (
+        F.when(_malformed(s), _tagged("unknown", s))
+        .when(s.rlike(f"^{SCHEME}"), _tagged("url", s))
         .when(s.rlike(fv.DOMAIN_PATTERN), _tagged("domain", s))
         .when(s.rlike(r"[/?&=]"), _tagged("url", with_http))
         .when(s.startswith("www."), _tagged("url", with_http))
         .when(F.contains(s, F.lit(".")), _tagged("domain", s))
         .otherwise(_tagged("unknown", s)))
+    return (
+        F.when(s.isNull() | (s == ""), _tagged("unknown", F.lit("")))
+        .when(s.rlike(HEX_DIGEST), _tagged("hash", F.lower(s)))
+        .otherwise(let(ip_address(s), lambda ip: F.when(ip.isNotNull(), F.struct(
+            F.lit("ip").alias("type"), ip.alias("value"))).otherwise(typed))))
 
 
 def _strict(s: Column) -> Column:
-    parsed = split_url(s)
+    absolute = s.rlike(f"^{SCHEME}") & (F.regexp_extract(s, HOST, 1) != "")
     return (
         F.when(s.isNull(), _tagged("unknown", F.lit("")))
         .when(s.rlike(HEX_DIGEST), _tagged("hash", F.lower(s)))
         .when(ip_address(s).isNotNull(), _tagged("ip", s))
-        .when((F.contains(s, F.lit("//")) | s.startswith("ftp:"))
-              & (parsed["scheme"] != "") & (parsed["netloc"] != ""), _tagged("url", s))
+        .when(absolute, _tagged("url", s))
         .when(s.rlike(fv.DOMAIN_PATTERN), _tagged("domain", s))
         .when(s.rlike(r"[/?]"), _tagged("url", s))
         .otherwise(_tagged("unknown", s)))

@@ -227,3 +227,14 @@ def feature_weights(spark: SparkSession) -> DataFrame:
     rows = spark.range(1).select(F.explode(table).alias("category", "weights"))
     return rows.select("category", F.explode("weights").alias("name", "importance")).select(
         F.concat_ws(" - ", "category", "name").alias("feature"), "importance")
+
+
+def text_entropy(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """Shannon entropy of long texts: characters are counted on the map side, per row."""
+    chars = df.select(row_id, text, F.explode(F.split(text, "")).alias("ch")).filter(
+        (F.col("ch") != "") | (F.col(text) == ""))
+    counts = chars.groupBy(row_id, "ch").agg(F.count("*").alias("k"))
+    # -sum(k/n * log2(k/n)) with n = sum(k)
+    k, n = F.col("k"), F.sum("k")
+    return counts.groupBy(row_id).agg(
+        (F.log2(n) - F.sum(k * F.log2(k)) / n).alias("entropy"))
