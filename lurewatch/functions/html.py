@@ -1,12 +1,15 @@
-"""HTML helpers. Markup needs a real tokenizer, so each Arrow batch runs the stdlib parser once."""
+"""HTML helpers. Nested markup needs a tokenizer: one pass per page, over Arrow batches."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lurewatch.functions.strings import blank_to_null, let, strip
 from lurewatch.functions.urls import base_url, suspicious_by_model, suspicious_by_parser, text_urls
@@ -14,60 +17,68 @@ from lurewatch.functions.urls import base_url, suspicious_by_model, suspicious_b
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
-
-
-class PageReader(HTMLParser):
-    """Visible text, anchors with their text, and attribute texts that may hold URLs."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int | None]] = []
-        self.anchors: list[list] = []
-        self.attribute_text: list[str] = []
-        self.visible: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        found = {k: v or "" for k, v in attrs}
-        anchor = None
-        if tag == "a" and "href" in found:
-            anchor = len(self.anchors)
-            self.anchors.append([found["href"], []])
-        if tag == "button":
-            self.attribute_text.append(found.get("onclick", ""))
-        self.attribute_text += [
-            v for k, v in found.items() if k == "style" or k.startswith("background")]
-        if tag not in VOID:
-            self.open.append((tag, anchor))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        if not any(tag in HIDDEN for tag, _ in self.open):
-            self.visible.append(data)
-            for _, anchor in self.open:
+# Comments and declarations, script and style blocks, then any tag with quoted values kept whole.
+TAG = re.compile(
+    r"<!--.*?-->|<[!?][^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of one tag; a repeated name keeps its last value."""
+    return {k.lower(): unescape(v[1:-1] if v[:1] in "\"'" else v)
+            for k, v in ATTRIBUTE.findall(text)}
+
+
+def read_page(html: str) -> tuple[list, list[str], list[str]]:
+    """(anchors as [href, text pieces], attribute texts that may hold URLs, visible pieces)."""
+    anchors: list = []
+    loose: list[str] = []
+    visible: list[str] = []
+    stack: list[tuple[str, int | None]] = []
+    hidden = at = 0
+    for tag in TAG.finditer(html):
+        if tag.start() > at and not hidden:
+            piece = html[at:tag.start()]
+            visible.append(piece)
+            for _, anchor in stack:
                 if anchor is not None:
-                    self.anchors[anchor][1].append(data)
-
-
-def _read(html: str) -> PageReader:
-    reader = PageReader()
-    reader.feed(html)
-    reader.close()
-    return reader
-
-
-@F.pandas_udf("string")
+                    anchors[anchor][1].append(piece)
+        at = tag.end()
+        name = (tag[3] or "").lower()
+        if not name:
+            continue
+        if tag[2]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    hidden -= sum(n in HIDDEN for n, _ in stack[i:])
+                    del stack[i:]
+                    break
+            continue
+        anchor, text = None, tag[4]
+        low = text.lower()
+        if name in ("a", "button") or "style" in low or "background" in low:
+            found = _attributes(text)
+            if name == "a" and "href" in found:
+                anchor = len(anchors)
+                anchors.append([found["href"], []])
+            if name == "button":
+                loose.append(found.get("onclick", ""))
+            loose += [v for k, v in found.items() if k == "style" or k.startswith("background")]
+        if name not in VOID and not text.endswith("/"):
+            stack.append((name, anchor))
+            hidden += name in HIDDEN
+    if not hidden and at < len(html):
+        visible.append(html[at:])
+        for _, anchor in stack:
+            if anchor is not None:
+                anchors[anchor][1].append(html[at:])
+    return anchors, loose, visible
+
+
+@F.pandas_udf(StringType())
 def _visible_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: "".join(_read(h).visible), na_action="ignore")
+    return html.map(lambda h: unescape("".join(read_page(h)[2])), na_action="ignore")
 
 
 def visible_text(c: Column) -> Column:
@@ -83,18 +94,21 @@ def _resolved(href: str) -> str:
     return urljoin("http://h", href).removeprefix("http://h")
 
 
-@F.pandas_udf("struct<anchors:array<struct<href:string,target:string,text:string>>,"
-              "attributes:array<string>>")
+ANCHOR = StructType([StructField(n, StringType()) for n in ("href", "target", "text")])
+PAGE = StructType([StructField("anchors", ArrayType(ANCHOR)),
+                   StructField("attributes", ArrayType(StringType()))])
+
+
+@F.pandas_udf(PAGE)
 def _page_links(html: pd.Series) -> pd.DataFrame:
     rows = []
     for page in html:
         if not page:
             rows.append(([], []))
             continue
-        reader = _read(page)
-        rows.append(([{"href": h, "target": _resolved(h), "text": "".join(t)}
-                      for h, t in reader.anchors],
-                     [t for t in reader.attribute_text if t]))
+        anchors, loose, _ = read_page(page)
+        rows.append(([{"href": h, "target": _resolved(h), "text": unescape("".join(t))}
+                      for h, t in anchors], [t for t in loose if t]))
     return pd.DataFrame(rows, columns=["anchors", "attributes"])
 
 

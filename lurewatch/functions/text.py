@@ -11,6 +11,10 @@ from lurewatch.functions.strings import (
 from lurewatch.functions.urls import normalize_links
 
 
+# Runs of two or more spaces, or a lone one that is not a blank.
+UNEVEN_SPACE = SPACE + "{2,}|[" + SPACE + "&&[^ ]]"
+
+
 def line_pattern(pattern: str) -> str:
     """Unicode, case-free, line-anchored Java form; ``\\s`` also covers U+001C to U+001F."""
     out, inside, i = [], False, 0
@@ -42,7 +46,7 @@ def preprocess(c: Column) -> Column:
     HTML mails must be turned into text first (see ``html.visible_text``).
     """
     lowered = let(F.lower(F.coalesce(c, F.lit(""))), _cut_headers)
-    spaced = strip(F.regexp_replace(lowered, SPACE + "+", " "))
+    spaced = strip(F.regexp_replace(lowered, UNEVEN_SPACE, " "))
     linked = F.regexp_replace(spaced, fv.URL_PATTERN, "URL")
     return F.regexp_replace(linked, r"([!?.]){2,}", "$1")
 
@@ -86,29 +90,36 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
 
 
-def head(c: Column) -> Column:
-    return F.array_join(F.slice(lines(c), 1, 5), "\n")
+def head(ls: Column) -> Column:
+    return F.array_join(F.slice(ls, 1, 5), "\n")
 
 
-def foot(c: Column) -> Column:
-    return let(lines(c), lambda ls: F.array_join(
-        F.slice(ls, F.greatest(F.size(ls) - 4, F.lit(1)), F.lit(5)), "\n"))
+def foot(ls: Column) -> Column:
+    return F.array_join(F.slice(ls, F.greatest(F.size(ls) - 4, F.lit(1)), F.lit(5)), "\n")
 
 
-def greeting(c: Column) -> Column:
-    """struct(has_greeting, has_personal_greeting) from the first five lines."""
-    return let(head(c), lambda h: let(matches_any(h, fv.GREETINGS), lambda g: F.struct(
+def _greeting(ls: Column) -> Column:
+    return let(head(ls), lambda h: let(matches_any(h, fv.GREETINGS), lambda g: F.struct(
         g.cast("int").alias("has_greeting"),
         (g & matches_any(h, [fv.PERSONAL_GREETING])).cast("int").alias("has_personal_greeting"))))
 
 
-def signature(c: Column) -> Column:
-    """struct(has_signature, has_company_signature) from the last five lines."""
-    return let(foot(c), lambda f: let(matches_any(f, fv.SIGNATURES), lambda g: F.struct(
+def _signature(ls: Column) -> Column:
+    return let(foot(ls), lambda f: let(matches_any(f, fv.SIGNATURES), lambda g: F.struct(
         g.cast("int").alias("has_signature"),
         (g & matches_any(f, fv.COMPANY_SIGNATURES)).cast("int").alias("has_company_signature"))))
 
 
+def greeting(c: Column) -> Column:
+    """struct(has_greeting, has_personal_greeting) from the first five lines."""
+    return let(lines(c), _greeting)
+
+
+def signature(c: Column) -> Column:
+    """struct(has_signature, has_company_signature) from the last five lines."""
+    return let(lines(c), _signature)
+
+
 def lexicon_counts(c: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """Per category the number of distinct phrases contained, and a flag."""
     terms = lexicon or fv.LEXICON
@@ -154,36 +165,46 @@ def link_manipulation(text: Column, html: Column, urls: Column) -> Column:
 
 
 def features(text: Column, html: Column, links: Column) -> Column:
-    """The whole feature record. Empty text keeps every default except its length."""
-    filled = lines(text)
-    lex = lexicon_counts(text)
-    basic = basic_stats(text)
-    full = let(F.struct(basic.alias("b"), lex.alias("l")), lambda s: F.struct(
-        *[s["b"][k].alias(k) for k in ("text_length", "word_count", "avg_word_length")],
-        *_pick(greeting(text), "has_greeting", "has_personal_greeting"),
-        *_pick(signature(text), "has_signature", "has_company_signature"),
-        *_pick(url_ratio(links, s["b"]["word_count"]),
-               "url_count", "suspicious_url_count", "url_to_text_ratio"),
-        *_pick(char_ratios(text), "uppercase_ratio", "digit_ratio", "punctuation_ratio"),
-        *_pick(html_features(html), "contains_html", "html_tag_count"),
-        link_manipulation(text, html, F.transform(links, lambda x: x["url"]))
-        .alias("mismatched_links"),
-        s["l"]["urgent_count"].alias("has_urgent_count"),
-        s["l"]["threat_count"].alias("has_threat_count"),
-        ((s["l"]["financial_count"] + s["l"]["personal_count"]) > 0).cast("int")
-        .alias("sensitive_info_requested"),
-        *[s["l"][f"{kind}"].alias(kind) for c in fv.LEXICON
-          for kind in (f"contains_{c}", f"{c}_count")]))
+    """The whole feature record. Empty text keeps every default except its length.
+
+    Each part is bound once: field access on an unbound part would evaluate it per field.
+    """
     zero = {"avg_word_length": 0.0, "url_to_text_ratio": 0.0, "uppercase_ratio": 0.0,
             "digit_ratio": 0.0, "punctuation_ratio": 0.0}
-    names = FEATURE_FIELDS
     empty = F.struct(*[
-        (F.length(text) if k == "text_length" else F.lit(zero.get(k, 0))).alias(k) for k in names])
-    return F.when(F.size(filled) == 0, empty).otherwise(full)
-
-
-def _pick(record: Column, *names: str) -> list[Column]:
-    return [record[n].alias(n) for n in names]
+        (F.length(text) if k == "text_length" else F.lit(zero.get(k, 0))).alias(k)
+        for k in FEATURE_FIELDS])
+
+    def record(s: Column) -> Column:
+        where = {**dict.fromkeys(("text_length", "word_count", "avg_word_length"), "basic"),
+                 **dict.fromkeys(("has_greeting", "has_personal_greeting"), "greeting"),
+                 **dict.fromkeys(("has_signature", "has_company_signature"), "signature"),
+                 **dict.fromkeys(("uppercase_ratio", "digit_ratio", "punctuation_ratio"), "chars"),
+                 **dict.fromkeys(("contains_html", "html_tag_count"), "markup"),
+                 **{k: "lexicon" for c in fv.LEXICON for k in (f"contains_{c}", f"{c}_count")}}
+        lex, urls, words_found = s["lexicon"], s["urls"], s["basic"]["word_count"]
+        derived = {
+            "url_count": urls["n"], "suspicious_url_count": urls["suspicious"],
+            "url_to_text_ratio": F.when(words_found > 0, urls["n"] / words_found)
+            .otherwise(F.lit(0.0)),
+            "mismatched_links": s["manipulated"],
+            "has_urgent_count": lex["urgent_count"], "has_threat_count": lex["threat_count"],
+            "sensitive_info_requested":
+                ((lex["financial_count"] + lex["personal_count"]) > 0).cast("int")}
+        return F.struct(*[
+            (derived[k] if k in derived else s[where[k]][k]).alias(k) for k in FEATURE_FIELDS])
+
+    def parts(ls: Column) -> Column:
+        return F.when(F.size(ls) == 0, empty).otherwise(let(F.struct(
+            basic_stats(text).alias("basic"), lexicon_counts(text).alias("lexicon"),
+            _greeting(ls).alias("greeting"), _signature(ls).alias("signature"),
+            char_ratios(text).alias("chars"), html_features(html).alias("markup"),
+            F.struct(F.size(links).alias("n"), F.size(F.filter(links, lambda x: x["suspicious"]))
+                     .alias("suspicious")).alias("urls"),
+            link_manipulation(text, html, F.transform(links, lambda x: x["url"]))
+            .alias("manipulated")), record))
+
+    return let(lines(text), parts)
 
 
 FEATURE_FIELDS = [

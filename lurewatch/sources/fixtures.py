@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.functions import verdicts
-from lurewatch.sources.tables import read_table
+from lurewatch.sources.tables import read_table, spread
 
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 
@@ -61,7 +61,7 @@ def inputs(spark: SparkSession, d: str) -> DataFrame:
     """Indicator strings of all events and all page URLs."""
     kind, text = event_input(F.col("event_id"), F.col("user_id"))
     events = read_table(spark, d, "events").select(text.alias("input"))
-    return events.unionAll(read_table(spark, d, "pages").select(F.col("url").alias("input")))
+    return spread(events.unionAll(read_table(spark, d, "pages").select(F.col("url").alias("input"))))
 
 
 def history_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _choice(values: list[str], i: Column) -> Column:
 
 def emails(spark: SparkSession, d: str, separable: bool = False) -> DataFrame:
     """E-mails around all documents; ``separable`` makes the lure follow the class."""
-    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    docs, labels = spread(read_table(spark, d, "documents")), read_table(spark, d, "labels")
     pages = read_table(spark, d, "pages")
     n_pages = pages.agg(F.count("*").alias("n")).scalar()
     i = F.col("doc_id")

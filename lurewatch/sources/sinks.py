@@ -20,7 +20,9 @@ def append_feedback(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Header and double-quote escaping, one file per partition in the frame's order."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss")
+    df.write.mode("overwrite").csv(
+        path, header=True, escape='"', timestampFormat="yyyy-MM-dd HH:mm:ss",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_mail_json(df: DataFrame, path: str) -> None:
