@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.catalog.history_queries import COUNTS
 from lurewatch.catalog.registry import query
+from lurewatch.catalog.stream_queries import HANDLER, spaced
 from lurewatch.operators import mail, spacing
 from lurewatch.plans import exports
 from lurewatch.session import shared_path
@@ -34,13 +35,14 @@ def _(spark, d):
         "id", "input_string", "input_type", "main_verdict", "user_id", "analysis_date", "timezone")
 
 
-@query("snk_feedback_append", """
-SELECT id, user_id, feedback_type, message FROM feedback_fx""", "feedback_fx")
+@query("snk_feedback_append", spaced(
+    "feedback_fx", [*HANDLER, "message"], 60, "submission_date") + """
+SELECT f.id, f.user_id, f.feedback_type, f.message FROM feedback_fx f
+WHERE f.input_string IS NULL OR f.id IN (SELECT id FROM ids)""", "feedback_fx")
 def _(spark, d):
     path = shared_path(spark, "feedback")
-    keys = ["user_id", "feedback_type", "input_string", "message", "id"]
-    rows = fx.feedback(spark, d)
-    accepted = spacing.mark_accepted(rows, keys, "submission_date", "id", 60)
+    accepted = spacing.mark_accepted(
+        fx.feedback(spark, d), [*HANDLER, "message"], "submission_date", "id", 60)
     sinks.append_feedback(accepted.filter("accepted").drop("accepted"), path)
     return spark.read.parquet(path).select("id", "user_id", "feedback_type", "message")
 

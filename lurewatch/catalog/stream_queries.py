@@ -23,9 +23,9 @@ def spaced(source: str, keys: list[str], horizon: int, when: str) -> str:
     own = ", ".join(f"s.{k}" for k in keys)
     filled = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     return f"""
-WITH RECURSIVE s AS (SELECT {names}, CAST(floor(epoch({when})) AS BIGINT) AS sec, arg_min(id, ({when}, id)) AS id
+WITH RECURSIVE s AS MATERIALIZED (SELECT {names}, CAST(floor(epoch({when})) AS BIGINT) AS sec, arg_min(id, ({when}, id)) AS id
   FROM {source} WHERE {filled} GROUP BY ALL),
-nxt AS (SELECT {own}, s.sec, min(t.sec) AS next_sec FROM s LEFT JOIN s t ON {on} AND t.sec >= s.sec + {horizon}
+nxt AS MATERIALIZED (SELECT {own}, s.sec, min(t.sec) AS next_sec FROM s LEFT JOIN s t ON {on} AND t.sec >= s.sec + {horizon}
   GROUP BY ALL),
 kept AS (SELECT {names}, min(sec) AS sec FROM s GROUP BY ALL
   UNION ALL SELECT {', '.join(f'k.{x}' for x in keys)}, n.next_sec FROM kept k JOIN nxt n

@@ -61,7 +61,7 @@ def features(source: str) -> str:
                     for c in fv.LEXICON)
     shorteners = any_of("low", [x.replace(".", r"\.") for x in fv.SHORTENERS])
     page_short = any_of("lower(html)", [x.replace(".", r"\.") for x in fv.SHORTENERS])
-    return f"""
+    return rf"""
 SELECT id, body, html, sender, class, urls, src, length(src) AS text_length, len(ws) AS word_count,
   CASE WHEN len(ws) > 0 THEN length(array_to_string(ws, '')) / len(ws) ELSE 0 END AS avg_word_length,
   CAST({any_of('head', fv.GREETINGS)} AS INTEGER) AS has_greeting,

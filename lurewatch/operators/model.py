@@ -11,7 +11,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions import explain, fixed_values as fv, text
@@ -73,9 +73,9 @@ def assembler() -> VectorAssembler:
 def class_weights(df: DataFrame, label: str = "class") -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    classes = Window.partitionBy()  # one row per class
     return counts.select(label, "n", (
-        counts.agg(F.sum("n")).scalar() / (counts.agg(F.count("*")).scalar() * F.col("n")))
-        .alias("weight"))
+        F.sum("n").over(classes) / (F.count("*").over(classes) * F.col("n"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label: str = "class") -> DataFrame:
