@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch.functions import fixed_values as fv
+from lurewatch.functions.strings import let
 
 VENDORS = "array<struct<name:string,verdict:string>>"
 
@@ -45,26 +46,34 @@ def rank_label(rank: Column) -> Column:
 
 def main_verdict(vendors: Column, null_label: str = "safe") -> Column:
     best = F.array_max(F.transform(vendors, lambda v: verdict_rank(v["verdict"])))
-    return F.when(vendors.isNull(), F.lit(null_label)).otherwise(rank_label(best))
+    label = let(best, rank_label)
+    if null_label == "safe":
+        return label
+    return F.when(vendors.isNull(), F.lit(null_label)).otherwise(label)
 
 
 def agreement(vendors: Column) -> Column:
     """full_agreement, disagreement or partial_agreement; null for an empty list."""
-    labels = F.transform(vendors, lambda v: v["verdict"])
-    return (
-        F.when(F.coalesce(F.size(vendors), F.lit(0)) <= 0, F.lit(None))
-        .when(F.size(F.array_distinct(labels)) == 1, F.lit("full_agreement"))
-        .when(F.exists(labels, lambda v: v.isin("phishing", "malicious"))
-              & F.exists(labels, lambda v: v == "clean"), F.lit("disagreement"))
-        .otherwise(F.lit("partial_agreement")))
+    def label(labels: Column) -> Column:
+        return (
+            F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, F.lit(None))
+            .when(F.size(labels) == 1, F.lit("full_agreement"))
+            .when((F.array_contains(labels, "phishing") | F.array_contains(labels, "malicious"))
+                  & F.array_contains(labels, "clean"), F.lit("disagreement"))
+            .otherwise(F.lit("partial_agreement")))
+
+    return let(F.array_distinct(F.transform(vendors, lambda v: v["verdict"])), label)
 
 
 def confidence(vendors: Column) -> Column:
     """Share of malicious or phishing verdicts, 0.5 without vendors, null if one has no verdict."""
-    bad = F.size(F.filter(vendors, lambda v: v["verdict"].isin("malicious", "phishing")))
-    return (F.when(vendors.isNull() | F.exists(vendors, lambda v: v["verdict"].isNull()), F.lit(None))
-            .when(F.size(vendors) == 0, F.lit(0.5))
-            .otherwise(bad / F.size(vendors)))
+    def share(labels: Column) -> Column:
+        bad = F.size(F.filter(labels, lambda v: v.isin("malicious", "phishing")))
+        return (F.when(labels.isNull() | F.exists(labels, lambda v: v.isNull()), F.lit(None))
+                .when(F.size(labels) == 0, F.lit(0.5))
+                .otherwise(bad / F.size(labels)))
+
+    return let(F.transform(vendors, lambda v: v["verdict"]), share)
 
 
 def flagged_count(vendors: Column) -> Column:

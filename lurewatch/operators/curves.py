@@ -7,7 +7,7 @@ of the data never reaches a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 4096
@@ -64,14 +64,20 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "label") -> Dat
     points = _points(score_counts(df, score, label))
     inner = (F.col("position") > 1) & (F.col("position") < F.col("n_scores"))
     straight = (F.col("pos") == F.col("next.pos")) & (F.col("neg") == F.col("next.neg"))
-    kept = points.filter(~(inner & straight))
     rate = lambda n, d: F.when(d > 0, n / d)
-    body = kept.select("position", rate(F.col("fp"), F.col("all_neg")).alias("fpr"),
-                       rate(F.col("tp"), F.col("all_pos")).alias("tpr"))
-    origin = points.filter(F.col("position") == 1).select(
+    point = F.struct(
+        F.col("position").cast("bigint").alias("position"),
+        rate(F.col("fp"), F.col("all_neg")).alias("fpr"), rate(F.col("tp"), F.col("all_pos")).alias("tpr"))
+    origin = F.struct(
         F.lit(0).cast("bigint").alias("position"),
         rate(F.lit(0), F.col("all_neg")).alias("fpr"), rate(F.lit(0), F.col("all_pos")).alias("tpr"))
-    return body.unionByName(origin)
+    return _opened(points.filter(~(inner & straight)), point, origin)
+
+
+def _opened(points: DataFrame, point: Column, extra: Column) -> DataFrame:
+    """One row per point; the first score also brings the curve's fixed end point."""
+    both = F.when(F.col("position") == 1, F.array(extra, point)).otherwise(F.array(point))
+    return points.select(F.explode(both).alias("p")).select("p.*")
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -88,12 +94,12 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
 def pr_points(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Precision and recall by ascending threshold, closed by the point (1, 0)."""
     points = _points(score_counts(df, score, label))
-    body = points.select(
+    point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         F.when(F.col("all_pos") > 0, F.col("tp") / F.col("all_pos")).otherwise(F.lit(1.0))
         .alias("recall"))
-    closing = points.filter(F.col("position") == 1).select(
+    closing = F.struct(
         F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"))
-    return body.unionByName(closing)
+    return _opened(points, point, closing)

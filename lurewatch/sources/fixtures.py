@@ -87,7 +87,7 @@ def vendor_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Full history with the vendor JSON and the community score."""
-    rows, reports = history_rows(spark, d), vendor_lists(spark, d)
+    rows, reports = spread(history_rows(spark, d)), vendor_lists(spark, d)
     joined = rows.join(reports, rows["id"] == reports["key"], "left")
     return joined.select(
         *rows.columns,
