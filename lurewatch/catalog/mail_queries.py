@@ -386,17 +386,17 @@ def _(spark, d):
 
 
 @query("exp_error_record", """
-SELECT id, FALSE AS is_phishing, 0.0::DOUBLE AS confidence, 'Low' AS confidence_level,
-  'Empty or invalid email content' AS suspicious, 'Analysis Error' AS summary FROM email_fx WHERE id % 10 = 0""",
-       "email_fx")
+SELECT id, id % 10 = 0 AS empty, CASE WHEN id % 10 = 0 THEN 'Low' ELSE '-' END AS confidence_level,
+  CASE WHEN id % 10 = 0 THEN 'Empty or invalid email content' ELSE '-' END AS suspicious,
+  CASE WHEN id % 10 = 0 THEN 'Analysis Error' ELSE '-' END AS summary FROM email_fx""", "email_fx")
 def _(spark, d):
     body = F.when(F.col("id") % 20 == 0, F.lit("")).when(F.col("id") % 10 != 0, F.col("body"))
-    e = F.col("e")
-    return fx.emails(spark, d).select("id", explain.error_record(body).alias("e")).filter(
-        e.isNotNull()).select("id", e["is_phishing"].alias("is_phishing"), e["confidence"].alias("confidence"),
-                              e["confidence_level"].alias("confidence_level"),
-                              joined(e["suspicious_indicators"]).alias("suspicious"),
-                              e["summary"].alias("summary"))
+    e, dash = F.col("e"), F.lit("-")
+    return fx.emails(spark, d).select("id", explain.error_record(body).alias("e")).select(
+        "id", e.isNotNull().alias("empty"),
+        F.coalesce(e["confidence_level"], dash).alias("confidence_level"),
+        F.coalesce(joined(e["suspicious_indicators"]), dash).alias("suspicious"),
+        F.coalesce(e["summary"], dash).alias("summary"))
 
 
 @query("agg_term_df", r"""

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lurewatch.catalog.registry import query
+from lurewatch.catalog.views import processed
 from lurewatch.functions import fixed_values as fv
 from lurewatch.operators import mail, model, stats
 from lurewatch.plans import training
@@ -44,6 +45,28 @@ def _(spark, d):
     return model.with_idf(training.assemble(corpus(spark, d))[0], spark)
 
 
+TERMS = r"""
+WITH labelled AS (SELECT doc_id AS id, toxic FROM labels),
+body AS (SELECT l.id, CASE l.id % 3 WHEN 0 THEN 'Dear Customer,' WHEN 1 THEN 'Hi Team,' ELSE '' END || chr(10)
+    || text || chr(10) || CASE WHEN toxic = 1 THEN 'Urgent: verify your account at http://10.0.0.1/login'
+      ELSE 'Unsubscribe any time at https://news.example.com/u' END || chr(10)
+    || CASE WHEN l.id % 2 = 0 THEN 'Regards,' ELSE '' END AS body
+  FROM labelled l JOIN documents d ON d.doc_id = l.id),
+words AS (SELECT id, regexp_extract_all(lower(""" + processed("body") + r"""), '[\p{L}\p{M}\p{Nd}_]{2,}') AS w FROM body),
+terms AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+  FROM words),
+seen AS (SELECT term, count(DISTINCT id) AS df FROM terms GROUP BY term)
+SELECT term, ln((1 + n) / (1 + df)) + 1 AS weight FROM seen, (SELECT count(*) AS n FROM body)
+WHERE df >= 5 AND df <= 0.95 * n"""
+
+
+@query("ml_tfidf_all_terms", TERMS.replace("\\\\", "\\"))
+def _(spark, d):
+    # No stop words and no cut of the vocabulary, so that SQL can state every weight.
+    base = mail.featurize(corpus(spark, d)).select("id", "processed")
+    return model.with_idf(model.fit_text(base, max_terms=1 << 22, stop_words=[]), spark)
+
+
 @query("ml_assemble")
 def _(spark, d):
     _, vectors = training.assemble(corpus(spark, d))
@@ -145,6 +168,25 @@ def _(spark, d):
     return both.select("id", (F.col("a") == F.col("b")).alias("same"))
 
 
+@query("src_model", "SELECT id, TRUE AS scored FROM email_fx", "email_fx")
+def _(spark, d):
+    loaded = model.load_model(stored_model(spark, d))
+    base = model.model_columns(mail.featurize(fx.emails(spark, d)))
+    p = vector_to_array("probability")[1]
+    return loaded.transform(base).select("id", p.between(0.0, 1.0).alias("scored"))
+
+
+@query("ml_evaluate")
+def _(spark, d):
+    trained = training.train(corpus(spark, d), {"forest": model.forest(numTrees=50)})
+    scored = trained.classifier.transform(trained.test).persist()
+    report = stats.class_metrics(scored, "class", "prediction").select("row", "f1", "support")
+    matrix = stats.confusion_matrix(scored, "class", "prediction").select(
+        F.concat(F.lit("actual "), "label", F.lit(" predicted "), "prediction").alias("row"),
+        F.lit(None).cast("double").alias("f1"), F.col("n").alias("support"))
+    return report.unionByName(matrix)
+
+
 @query("ml_retrain")
 def _(spark, d):
     path, out = shared_path(spark, "corpus"), shared_path(spark, "model")

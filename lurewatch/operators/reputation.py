@@ -99,10 +99,9 @@ def join_second_feed(checked: DataFrame, feed: DataFrame) -> DataFrame:
     """A threat in the second feed makes a URL malicious, and names the feed as a vendor unless a
     vendor already says malicious. A failed first report suppresses this step."""
     extra = feed.select(F.col("url").alias("_url"), "query_status", "threat")
-    target = F.when((F.col("input_type") == "url") & F.col("error").isNull(),
-                    F.col("normalized_input"))
-    joined = checked.withColumn("_key", target).join(
-        extra, F.col("_key") == F.col("_url"), "left")
+    # The row test stays out of the key: rows that ask nothing still spread over the join tasks.
+    asks = (F.col("input_type") == "url") & F.col("error").isNull()
+    joined = checked.join(extra, (F.col("normalized_input") == F.col("_url")) & asks, "left")
     hit = (F.coalesce("threat", F.lit("")) != "") & ~F.col("is_malicious")
     named = F.exists("vendors", lambda v: v["verdict"] == "malicious")
     mark = F.struct(F.lit(fv.SECOND_FEED_NAME).alias("name"), F.lit("malicious").alias("verdict"))

@@ -46,9 +46,11 @@ def global_stats(df: DataFrame) -> DataFrame:
 
 
 def user_and_global_stats(df: DataFrame) -> DataFrame:
-    """Both levels from one scan: counts per user first, then their sum."""
-    return _with_threat_share(
-        df.rollup("user_id").agg(*_threat_counts(), F.grouping("user_id").alias("is_global")))
+    """Both levels from one scan: counts per user first, then the rollup of those few rows."""
+    names = ["total_checks", "threats_detected", *[f"{v}_count" for v in fv.VERDICT_ORDER]]
+    per_user = df.groupBy("user_id").agg(*_threat_counts())
+    return _with_threat_share(per_user.rollup("user_id").agg(
+        *[F.sum(n).alias(n) for n in names], F.grouping("user_id").alias("is_global")))
 
 
 def profile_stats(df: DataFrame) -> DataFrame:
