@@ -60,7 +60,7 @@ SELECT term, ln((1 + n) / (1 + df)) + 1 AS weight FROM seen, (SELECT count(*) AS
 WHERE df >= 5 AND df <= 0.95 * n"""
 
 
-@query("ml_tfidf_all_terms", TERMS.replace("\\\\", "\\"))
+@query("ml_tfidf_all_terms", TERMS)
 def _(spark, d):
     # No stop words and no cut of the vocabulary, so that SQL can state every weight.
     base = mail.featurize(corpus(spark, d)).select("id", "processed")

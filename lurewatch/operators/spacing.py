@@ -64,12 +64,16 @@ def accepted_ids(df: DataFrame, keys: list[str], when: str, row_id: str, horizon
     per_second = known.groupBy(*keys, F.unix_seconds(when).alias("sec")).agg(
         F.min(F.struct(F.col(when), F.col(row_id)))[row_id].alias("id"))
     chunk = max(horizon, DAY // horizon * horizon)
-    cut = per_second.withColumn("chunk", F.floor(F.col("sec") / chunk))
+    # The joins below ask for a set chunk; asking here keeps every reader's shuffle identical.
+    cut = per_second.withColumn("chunk", F.floor(F.col("sec") / chunk)).filter(
+        F.col("chunk").isNotNull())
     chunks = cut.groupBy(*keys, "chunk").agg(
         F.array_sort(F.collect_list(F.struct("sec", "id"))).alias("entries"))
 
     along = Window.partitionBy(*keys).orderBy("chunk")
-    spans = cut.groupBy(*keys, "chunk").agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"))
+    # The spans come from the chunks themselves, so all readers share one shuffle.
+    spans = chunks.select(*keys, "chunk", F.col("entries")[0]["sec"].alias("lo"),
+                          F.element_at("entries", -1)["sec"].alias("hi"))
     near = F.col("lo") < F.lag("hi").over(along) + horizon
     runs = spans.select(*keys, "chunk", F.sum(F.when(near, 0).otherwise(1)).over(along).alias("run"))
     linked = runs.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "run"))).filter(
