@@ -5,6 +5,9 @@ INPUT_TYPES = ["url", "domain", "ip", "hash", "unknown"]
 VERDICT_ORDER = ["phishing", "malicious", "suspicious", "safe"]
 CLEAN_VERDICTS = ["clean", "harmless", "safe"]
 SECOND_FEED_NAME = "URLhaus"
+FIRST_FEED_REASON = "VirusTotal: %d malicious, %d suspicious detections"
+SECOND_FEED_REASON = "URLhaus: Detected as "
+SECOND_FEED_CONFIDENCE = 0.8
 BROWSER_SCHEMES = ["chrome", "chrome-extension", "about", "data", "javascript", "file"]
 DOMAIN_PATTERN = r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"
 HINT_HASH = r"^[a-fA-F0-9]{32,64}$"

@@ -22,5 +22,11 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(v).over(inside).alias(n) for n, v in values.items()])
-    joined = local.join(offsets, [*keys, "_bucket"])
+    # Null keys are a group of their own, so the sums meet their rows by null-safe equality.
+    named = offsets.select(*[F.col(c).alias(f"_by_{c}") for c in [*keys, "_bucket"]],
+                           *[f"_{n}" for n in values])
+    same = F.lit(True)
+    for c in [*keys, "_bucket"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = local.join(named, same)
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in values])

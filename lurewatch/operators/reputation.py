@@ -127,12 +127,11 @@ def fuse_feeds(urls: DataFrame, stats: DataFrame, feed: DataFrame) -> DataFrame:
         "url", ((flagged > 0) | listed).alias("is_phishing"),
         F.greatest(
             F.lit(0.0), F.when(flagged > 0, flagged / (flagged + of("harmless"))),
-            F.when(listed, F.lit(0.8))).alias("confidence"),
+            F.when(listed, F.lit(fv.SECOND_FEED_CONFIDENCE))).alias("confidence"),
         F.array_compact(F.array(
             F.when(flagged > 0, F.format_string(
-                "VirusTotal: %d malicious, %d suspicious detections",
-                of("malicious"), of("suspicious"))),
-            F.when(listed, F.concat(F.lit("URLhaus: Detected as "),
+                fv.FIRST_FEED_REASON, of("malicious"), of("suspicious"))),
+            F.when(listed, F.concat(F.lit(fv.SECOND_FEED_REASON),
                                     F.coalesce("threat", F.lit("None")))))).alias("reasons"))
 
 

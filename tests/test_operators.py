@@ -113,7 +113,8 @@ def test_paging_edges(spark):
 
 def test_running_sum_across_buckets(spark):
     rng = random.Random(3)
-    rows = [(i, "hot" if rng.random() < 0.8 else f"k{i % 5}", rng.randrange(1000), rng.randrange(4)) for i in range(3000)]
+    key = lambda i: "hot" if rng.random() < 0.8 else (None if i % 7 == 0 else f"k{i % 5}")
+    rows = [(i, key(i), rng.randrange(1000), rng.randrange(4)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id bigint, k string, t bigint, v bigint")
     got = prefix.running_sum(df, ["k"], F.floor(F.col("t") / 50), [F.col("t"), F.col("id")], {"total": F.col("v")})
     totals, want = {}, {}
