@@ -12,6 +12,7 @@ from lurewatch.session import pin, shared_path
 from lurewatch.sources import fixtures as fx
 from lurewatch.sources.tables import COLUMNS, read_table
 from lurewatch.streaming import check_stream, feedback, runner, windows
+from lurewatch.streaming import sessions as stream_sessions
 
 SIX_HOURS = 6 * 3600
 
@@ -85,16 +86,31 @@ def _(spark, d):
     return sessions.sliding_sessions(read_table(spark, d, "events"), "user_id", "ts")
 
 
-@query("st_single_session", spaced("logins", ["user_id", "logouts"], 86400, "timestamp").replace(
+SINGLE_SESSION = spaced("logins", ["user_id", "logouts"], 86400, "timestamp").replace(
     "WITH RECURSIVE", """WITH RECURSIVE counted AS (SELECT *, CAST(sum(CASE WHEN action = 'logout' THEN 1 ELSE 0 END)
   OVER (PARTITION BY user_id ORDER BY floor(epoch(timestamp)), id) AS BIGINT) AS logouts FROM activity_fx),
 logins AS (SELECT * FROM counted WHERE action = 'login' AND NOT is_admin),""") + """
 SELECT id, username, CASE WHEN action = 'logout' THEN 'logout' WHEN is_admin OR id IN (SELECT id FROM ids)
-  THEN 'accepted' ELSE 'refused' END AS outcome FROM activity_fx""", "activity_fx")
+  THEN 'accepted' ELSE 'refused' END AS outcome FROM activity_fx"""
+
+
+@query("st_single_session", SINGLE_SESSION, "activity_fx")
 def _(spark, d):
     return sessions.single_session(fx.activity(spark, d)).select("id", "username", "outcome")
 
 
+@query("st_single_session_stream", SINGLE_SESSION, "activity_fx")
+def _(spark, d):
+    source, out, state = (shared_path(spark, n) for n in ("activity", "sessions", "state"))
+    rows = fx.activity(spark, d)
+    schema, day = rows.schema, F.dayofmonth("timestamp")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        rows.filter(part).write.mode("append").parquet(source)
+        stream = pin(spark).readStream.schema(schema).parquet(source)
+        runner.drain(stream, stream_sessions.writer(out), state)
+    return spark.read.parquet(f"{out}/outcomes").select("id", "username", "outcome")
+
+
 def events_stream(spark, d):
     return pin(spark).readStream.schema(COLUMNS["events"]).parquet(f"{d}/events*.parquet")
 
