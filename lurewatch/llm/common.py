@@ -158,5 +158,30 @@ def char_table(kind: str) -> np.ndarray:
     return _tables[kind]
 
 
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of all texts in one line, spaces between words; and the texts' bounds.
+
+    Every text begins and ends with a space; a text without a letter has nothing.
+    """
+    low, letter = char_table("lower"), char_table("letter")
+    lines, ends = [], []
+    for text in texts:
+        points = low[code_points(text)]
+        is_letter = letter[points]
+        if is_letter.any():
+            points = np.where(is_letter, points, np.uint32(32))
+            line = np.concatenate([[np.uint32(32)], points, [np.uint32(32)]])
+            gap = line == 32
+            keep = ~gap
+            keep[1:] |= gap[1:] & ~gap[:-1]
+            keep[0] = True
+            lines.append(line[keep])
+        else:
+            lines.append(np.zeros(0, np.uint32))
+        ends.append(len(lines[-1]))
+    return (np.concatenate(lines) if lines else np.zeros(0, np.uint32),
+            np.concatenate([[0], np.cumsum(ends)]).astype(np.int64))
+
+
 def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)

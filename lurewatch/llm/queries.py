@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import minhash, sharding, token_files, topk
-from lurewatch.llm.common import read
+from lurewatch.llm import (chat_format, decontaminate, html_text, language_id, minhash, mixing, sharding,
+                           token_files, topk, toxicity)
+from lurewatch.llm.common import held_out, in_training, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,7 +28,49 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# Words and shingles as text: lists of four words behind an order-preserving join.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def _chat_digest(batches):
+    """What a reader of the formatted text and its loss mask finds."""
+    for batch in batches:
+        rows = []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            turns = chat_format.read_back(text)
+            every = "".join(f"{role}\n{body}\n" for role, body in turns)
+            loss = "".join(chat_format.unescape(text[s["begin"]:s["end"]]) for s in spans)
+            rows.append((len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss),
+                         hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+        n, turns_hash, chars, loss_hash, size = zip(*rows) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(turns_hash, pa.string()),
+             pa.array(chars, pa.int64()), pa.array(loss_hash, pa.string()), pa.array(size, pa.int64())],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                   "formatted_chars"])
+
+
+@query("op1_chat_format")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(turns.unionByName(extra))
+    return made.mapInArrow(_chat_digest, "conv_id long, n_turns long, turns_sha256 string, "
+                                         "loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query("op2_html_main_text")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages"))
+
+
+@query("op3_language_filters")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = language_id.learn(docs.where(in_training()))
+    return language_id.predict(docs, model).withColumn("held_out", held_out()).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 SQL_EXACT_TOP = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
@@ -48,6 +93,28 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+@query("op5_toxic_neighbours")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    index = toxicity.learn(docs.where(in_training()), read(spark, folder, "labels").where(in_training()))
+    return toxicity.score(docs, index).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+@query("op6_mix_sources")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"), ["doc_id"]).select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
+        F.col("mix_shards").alias("shards"))
+
+
+@query("op7_benchmark_passages")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 SQL_NEAR_COPIES = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
