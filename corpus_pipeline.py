@@ -1,18 +1,54 @@
-"""Corpus pipeline: each stage works on all that the stage before it kept."""
+"""Corpus pipeline over ``documents``; each stage works on all that the stage before it kept.
+
+Toxic documents go, one document of each near-duplicate class stays, documents with benchmark passages
+go, sources are mixed to their target weights (a document may come several times), and the mix is
+written as token files that are read back.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lurewatch.llm import decontaminate, minhash, mixing, token_files, toxicity
+from lurewatch.llm.common import in_training, read, stored
+
+TOXIC = 0.7
 
-from lurewatch.llm import minhash
-from lurewatch.llm.common import read, stored
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below TOXIC; learned from the labels outside the held-out third."""
+    index = toxicity.learn(docs.where(in_training()), read(spark, sf_dir, "labels").where(in_training()))
+    bad = toxicity.score(docs, index).where(F.col("score") >= TOXIC).select(
+        F.col("doc_id").alias("_toxic")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti")
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.one_of_each(docs, words=5, percent=80)
 
 
-STAGES = [("minhash_near_dedup", near_duplicates)]
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.copies(mixing.mix(docs, docs.columns), docs.columns).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("token_output", token_output),
+]
+# Learned scores, a hashed mix and a tokenizer have no SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
