@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
+from itertools import chain
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -17,10 +20,9 @@ from lurewatch.functions.urls import base_url, suspicious_by_model, suspicious_b
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
-# Comments and declarations, script and style blocks, then any tag with quoted values kept whole.
-TAG = re.compile(
-    r"<!--.*?-->|<[!?][^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+RAW = re.compile(r"(script|style)\b", re.I)
+RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style")}
+OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
@@ -30,32 +32,118 @@ def _attributes(text: str) -> dict[str, str]:
             for k, v in ATTRIBUTE.findall(text)}
 
 
+class Scanner:
+    """Places of marks in a page, each looked up once from left to right.
+
+    What no longer occurs is remembered per mark, and so are quotes that never lead to the end of a
+    tag, so a page full of unclosed comments, scripts or quotes costs no more than another.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.gone = html, set()
+        self.places = {c: [m.start() for m in re.finditer(c, html)] for c in ">\"'"}
+        self.special = sorted(chain.from_iterable(self.places.values()))
+        self.open_quotes: set[int] = set()
+
+    def after(self, mark, at: int) -> int:
+        """End of the next ``mark`` (text or pattern) from ``at`` on, or -1."""
+        if mark in self.gone:
+            return -1
+        if isinstance(mark, str):
+            found = self.html.find(mark, at)
+            end = found + len(mark) if found >= 0 else -1
+        else:
+            match = mark.search(self.html, at)
+            end = match.end() if match else -1
+        if end < 0:
+            self.gone.add(mark)
+        return end
+
+    def _next(self, places: list[int], at: int) -> int:
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def tag_close(self, at: int) -> int:
+        """Place of the > that closes a tag; quoted values are skipped whole. -1: it never closes."""
+        passed = []
+        while True:
+            spot = self._next(self.special, at)
+            if spot >= 0 and self.html[spot] == ">":
+                return spot
+            if spot >= 0 and spot not in self.open_quotes:
+                passed.append(spot)
+                close = self._next(self.places[self.html[spot]], spot + 1)
+                if close >= 0:
+                    at = close + 1
+                    continue
+            self.open_quotes.update(passed)
+            return -1
+
+
+def tags(html: str):
+    """(start, end, closing, name, attribute text) of comments (no name) and tags, in order.
+
+    Script and style blocks count as comments; a < that opens nothing is text.
+    """
+    scan, at = Scanner(html), 0
+    while m := OPEN.search(html, at):
+        start, at = m.start(), m.end()
+        if not m[4]:
+            end = scan.after("-->", at) if m[1] else -1
+            end = end if end >= 0 else scan.after(">", start + 2)
+            if end >= 0:
+                yield start, end, "", "", ""
+            at = end if end >= 0 else start + 1
+            continue
+        raw = RAW.match(html, start + 1)
+        if raw:
+            head = scan.after(">", raw.end())
+            end = scan.after(RAW_END[raw[1].lower()], head) if head >= 0 else -1
+            if end >= 0:
+                yield start, end, "", "", ""
+                at = end
+                continue
+        close = scan.tag_close(at)
+        if close >= 0:
+            yield start, close + 1, m[3], m[4], html[at:close]
+            at = close + 1
+        else:
+            at = start + 1
+
+
 def read_page(html: str) -> tuple[list, list[str], list[str]]:
     """(anchors as [href, text pieces], attribute texts that may hold URLs, visible pieces)."""
     anchors: list = []
     loose: list[str] = []
     visible: list[str] = []
     stack: list[tuple[str, int | None]] = []
+    opened: Counter = Counter()
+    inside: list[int] = []
     hidden = at = 0
-    for tag in TAG.finditer(html):
-        if tag.start() > at and not hidden:
-            piece = html[at:tag.start()]
-            visible.append(piece)
-            for _, anchor in stack:
-                if anchor is not None:
-                    anchors[anchor][1].append(piece)
-        at = tag.end()
-        name = (tag[3] or "").lower()
+
+    def show(piece: str) -> None:
+        visible.append(piece)
+        for anchor in inside:
+            anchors[anchor][1].append(piece)
+
+    for start, end, closing, name, text in tags(html):
+        if start > at and not hidden:
+            show(html[at:start])
+        at = end
+        name = name.lower()
         if not name:
             continue
-        if tag[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    hidden -= sum(n in HIDDEN for n, _ in stack[i:])
-                    del stack[i:]
+        if closing:
+            while opened[name]:
+                last, anchor = stack.pop()
+                opened[last] -= 1
+                hidden -= last in HIDDEN
+                if anchor is not None:
+                    inside.remove(anchor)
+                if last == name:
                     break
             continue
-        anchor, text = None, tag[4]
+        anchor = None
         low = text.lower()
         if name in ("a", "button") or "style" in low or "background" in low:
             found = _attributes(text)
@@ -67,12 +155,12 @@ def read_page(html: str) -> tuple[list, list[str], list[str]]:
             loose += [v for k, v in found.items() if k == "style" or k.startswith("background")]
         if name not in VOID and not text.endswith("/"):
             stack.append((name, anchor))
+            opened[name] += 1
             hidden += name in HIDDEN
-    if not hidden and at < len(html):
-        visible.append(html[at:])
-        for _, anchor in stack:
             if anchor is not None:
-                anchors[anchor][1].append(html[at:])
+                inside.append(anchor)
+    if not hidden and at < len(html):
+        show(html[at:])
     return anchors, loose, visible
 
 

@@ -3,6 +3,7 @@
 import ipaddress
 import random
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 from math import log2
@@ -179,6 +180,17 @@ def test_page_reader_equals_stdlib():
         assert html.unescape("".join(visible)) == "".join(want.visible)
 
 
+@pytest.mark.parametrize("piece", ['<a b="', "<!-- ", "<script>", "<a ", "</x>", "<b>", "<a href='", "<",
+                                   "<style "])
+def test_page_reader_moves_forward_only(piece):
+    def seconds(n):
+        page, start = piece * (n // len(piece)), time.process_time()
+        html.read_page(page)
+        return time.process_time() - start
+
+    assert seconds(1 << 20) < 12 * max(seconds(1 << 18), 0.05)
+
+
 def test_page_attributes():
     page = ('<button onclick="go(\'http://b.example/x\')">b</button><i style="background:url(http://s.example/i)">'
             '</i><td background="http://t.example/b">')
