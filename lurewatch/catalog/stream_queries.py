@@ -61,10 +61,10 @@ def _(spark, d):
 
 
 @query("st_feedback_dedup_stream", spaced("feedback_fx", HANDLER, SIX_HOURS, "submission_date")
-       + "SELECT id FROM ids", "feedback_fx")
+       + "SELECT id FROM ids UNION ALL SELECT id FROM feedback_fx WHERE input_string IS NULL", "feedback_fx")
 def _(spark, d):
     source, out, state = (shared_path(spark, n) for n in ("feedback", "accepted", "state"))
-    rows = fx.feedback(spark, d).filter(F.col("input_string").isNotNull())
+    rows = fx.feedback(spark, d)
     schema = rows.schema
     day = F.dayofmonth("submission_date")
     # Three deliveries; each run goes on from the state the one before it left.
@@ -130,7 +130,7 @@ def _(spark, d):
     out = shared_path(spark, "checks")
     replies = check_stream.respond(
         fx.check_message(events_stream(spark, d)),
-        reputation.latest_reports(fx.reports(spark, d), "key"), fx.second_feed(spark, d))
+        fx.reports(spark, d), fx.second_feed(spark, d))
     runner.drain(replies, check_stream.writer(out), shared_path(spark, "state"))
     return spark.read.parquet(f"{out}/replies").select("id", "kind", "user_id", "save", "main_verdict")
 
@@ -142,7 +142,7 @@ def _(spark, d):
     out = shared_path(spark, "checks")
     replies = check_stream.respond(
         fx.check_message(events_stream(spark, d)),
-        reputation.latest_reports(fx.reports(spark, d), "key"), fx.second_feed(spark, d))
+        fx.reports(spark, d), fx.second_feed(spark, d))
     runner.drain(replies, check_stream.writer(out), shared_path(spark, "state"))
     return spark.read.parquet(f"{out}/history").select(
         "id", "input_string", "input_type", "user_id", "main_verdict")
@@ -154,7 +154,7 @@ SELECT m.id, kind, m.user_id, save, CASE WHEN kind = 'result' THEN {list_rollup(
 def _(spark, d):
     replies = check_stream.respond(
         fx.check_message(read_table(spark, d, "events")),
-        reputation.latest_reports(fx.reports(spark, d), "key"), fx.second_feed(spark, d))
+        fx.reports(spark, d), fx.second_feed(spark, d))
     return replies.select("id", "kind", "user_id", "save", "main_verdict")
 
 

@@ -209,12 +209,17 @@ def _(spark, d):
 @query("join_second_feed", f"""
 WITH {INPUTS}
 SELECT id, input, is_malicious, {VENDOR_TEXT} AS vendors, coalesce(feed_status, '-') AS feed_status,
-  coalesce(feed_threat, '-') AS feed_threat FROM merged""", "rows_fx reports_fx second_fx")
+  coalesce(feed_threat, '-') AS feed_threat, CASE WHEN input_type = 'url' THEN
+    '{{' || concat_ws(',', CASE WHEN community_score <> '0/0' THEN
+      '"final_url":"' || input || '/final","serving_ip":"Unknown"' END,
+      '"urlhaus_status":"' || feed_status || '"', '"urlhaus_threat":"' || feed_threat || '"') || '}}'
+  END AS url_metadata FROM merged""", "rows_fx reports_fx second_fx")
 def _(spark, d):
     merged = reputation.join_second_feed(checked_inputs(spark, d), fx.second_feed(spark, d))
     return merged.select("id", "input", "is_malicious", vendor_text().alias("vendors"),
                          F.coalesce("feed_status", F.lit("-")).alias("feed_status"),
-                         F.coalesce("feed_threat", F.lit("-")).alias("feed_threat"))
+                         F.coalesce("feed_threat", F.lit("-")).alias("feed_threat"),
+                         F.when(F.col("input_type") == "url", F.col("metadata")).alias("url_metadata"))
 
 
 @query("plan_indicator_check", f"""
@@ -225,7 +230,7 @@ SELECT id, input, input_type, community_score, {list_rollup('vendors')} AS main_
 def _(spark, d):
     checked = indicator_check.check(
         fx.history_rows(spark, d).select("id", F.col("input_string").alias("input")),
-        reputation.latest_reports(fx.reports(spark, d), "key"), fx.second_feed(spark, d))
+        fx.reports(spark, d), fx.second_feed(spark, d))
     return checked.select("id", "input", "input_type", "community_score", "main_verdict", "is_malicious")
 
 

@@ -161,10 +161,13 @@ LEFT JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)""",
     "proc_fx": f"SELECT *, {processed('body')} AS processed FROM email_fx",
     "feats_fx": features("processed"),
     "raw_fx": features("body"),
-    "second_fx": f"""
+    "feed_fx": f"""
 SELECT {INPUT_TEXT} AS url, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'no_results' END AS query_status,
-       CASE event_id % 4 WHEN 0 THEN 'malware_download' WHEN 1 THEN 'none' END AS threat
-FROM events WHERE event_id % 5 = 0""",
+       CASE event_id % 4 WHEN 0 THEN 'malware_download' WHEN 1 THEN 'none' END AS threat, 2 AS seen
+FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT {INPUT_TEXT}, 'ok', 'phishing_kit', 1 FROM events WHERE event_id % 10 = 0""",
+    "second_fx": """
+SELECT url, query_status, threat FROM feed_fx QUALIFY row_number() OVER (PARTITION BY url ORDER BY seen DESC) = 1""",
     "entries_fx": """
 SELECT key, name, e.category AS category, e.result AS result,
        CASE WHEN e.category = 'malicious' AND contains(e.result, 'phish') THEN 'phishing'
@@ -190,5 +193,6 @@ NEEDS = {
     "feats_fx": ["proc_fx"],
     "raw_fx": ["proc_fx"],
     "entries_fx": ["vendor_fx"],
+    "second_fx": ["feed_fx"],
     "reports_fx": ["entries_fx"],
 }

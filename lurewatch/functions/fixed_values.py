@@ -5,6 +5,7 @@ INPUT_TYPES = ["url", "domain", "ip", "hash", "unknown"]
 VERDICT_ORDER = ["phishing", "malicious", "suspicious", "safe"]
 CLEAN_VERDICTS = ["clean", "harmless", "safe"]
 SECOND_FEED_NAME = "URLhaus"
+SECOND_FEED_METADATA = ["urlhaus_status", "urlhaus_threat", "urlhaus_blacklists"]
 FIRST_FEED_REASON = "VirusTotal: %d malicious, %d suspicious detections"
 SECOND_FEED_REASON = "URLhaus: Detected as "
 SECOND_FEED_CONFIDENCE = 0.8

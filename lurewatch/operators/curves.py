@@ -1,8 +1,8 @@
 """ROC and precision-recall curves from (score, label) rows.
 
-Rows are first reduced to distinct scores. Those are cut into score ranges; range totals are
-accumulated over at most ``RANGES`` + 1 rows and every range then finishes on its own, so the size
-of the data never reaches a single task.
+Rows are first reduced to distinct scores. Those are ranged by a sample of the scores themselves, so
+crowded scores spread as well as even ones; one row per range is accumulated, and every range then
+finishes on its own.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 4096
+from lurewatch.session import shared_path
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -20,13 +20,16 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> D
 
 def _points(counts: DataFrame) -> DataFrame:
     """Per distinct score, highest first: cumulative tp and fp, totals, rank and the next counts."""
-    span = F.floor(F.col("score") * RANGES)
-    cut = counts.withColumn("range", F.greatest(F.least(span, F.lit(RANGES)), F.lit(0)))
+    spark = counts.sparkSession
+    path = shared_path(spark, "ranges")
+    ranged = counts.repartitionByRange("score").withColumn("range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    cut = spark.read.schema(ranged.schema).parquet(path)
     first = F.struct(F.col("score"), "pos", "neg")
     sums = cut.groupBy("range").agg(
         F.sum("pos").alias("pos_sum"), F.sum("neg").alias("neg_sum"), F.count("*").alias("n_sum"),
         F.max(first).alias("first"))
-    # At most RANGES + 1 rows from here to the join.
+    # One row per range from here to the join.
     down = Window.orderBy(F.desc("range"))
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions import fixed_values as fv
@@ -65,9 +65,15 @@ def metadata_by_type(reports: DataFrame):
 
 
 def latest_reports(reports: DataFrame, version: str) -> DataFrame:
-    """Newest report per indicator; the rank limit keeps one row per key and map task."""
+    """Newest report per indicator; the rank limit keeps one row per key and map task.
+
+    Reports of the same version (or all, without such a column) are told apart by their content, so
+    reruns agree.
+    """
+    newest = [F.desc(version)] if version in reports.columns else []
+    content = F.sha2(F.to_json(F.struct(*reports.columns)), 256)
     rank = F.row_number().over(
-        Window.partitionBy("indicator_type", "indicator").orderBy(F.desc(version)))
+        Window.partitionBy("indicator_type", "indicator").orderBy(*newest, content))
     return reports.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
@@ -95,10 +101,37 @@ def join_reputation(checks: DataFrame, reputation: DataFrame) -> DataFrame:
         .otherwise(F.col("report_error")).alias("error"))
 
 
+FEED_FIELDS = ("query_status", "threat", "blacklists")
+
+
+def newest_by_url(feed: DataFrame, fields: tuple[str, ...], version: str = "seen") -> DataFrame:
+    """One row per URL: that of the greatest ``version`` if the feed has one, ties by content.
+
+    A partial aggregate, so a URL listed very often is thinned out before the shuffle.
+    """
+    have = [F.col(c) if c in feed.columns else F.lit(None).cast("string").alias(c) for c in fields]
+    order = [F.col(version)] if version in feed.columns else []
+    row = F.struct(*have)
+    return feed.filter(F.col("url").isNotNull()).groupBy("url").agg(
+        F.max_by(row, F.struct(*order, F.to_json(row))).alias("_row")).select("url", "_row.*")
+
+
+def with_feed_metadata(metadata: Column, status: Column, threat: Column, blacklists: Column) -> Column:
+    """Add the fields that the feed's row has to the JSON text."""
+    names = fv.SECOND_FEED_METADATA
+    extra = F.to_json(F.struct(status.alias(names[0]), threat.alias(names[1]),
+                               blacklists.alias(names[2])))
+    return (F.when(F.coalesce(extra, F.lit("{}")) == "{}", metadata)
+            .when(metadata == "{}", extra)
+            .otherwise(F.concat(metadata.substr(F.lit(1), F.length(metadata) - 1), F.lit(","),
+                                extra.substr(F.lit(2), F.length(extra) - 1))))
+
+
 def join_second_feed(checked: DataFrame, feed: DataFrame) -> DataFrame:
     """A threat in the second feed makes a URL malicious, and names the feed as a vendor unless a
-    vendor already says malicious. A failed first report suppresses this step."""
-    extra = feed.select(F.col("url").alias("_url"), "query_status", "threat")
+    vendor already says malicious. A failed first report suppresses this step. The feed's fields are
+    added to the metadata; of a URL listed several times the newest row counts."""
+    extra = newest_by_url(feed, FEED_FIELDS).withColumnRenamed("url", "_url")
     # The row test stays out of the key: rows that ask nothing still spread over the join tasks.
     asks = (F.col("input_type") == "url") & F.col("error").isNull()
     joined = checked.join(extra, (F.col("normalized_input") == F.col("_url")) & asks, "left")
@@ -106,7 +139,9 @@ def join_second_feed(checked: DataFrame, feed: DataFrame) -> DataFrame:
     named = F.exists("vendors", lambda v: v["verdict"] == "malicious")
     mark = F.struct(F.lit(fv.SECOND_FEED_NAME).alias("name"), F.lit("malicious").alias("verdict"))
     return joined.select(
-        *[c for c in checked.columns if c not in ("is_malicious", "vendors")],
+        *[c for c in checked.columns if c not in ("is_malicious", "vendors", "metadata")],
+        with_feed_metadata(F.col("metadata"), F.col("query_status"), F.col("threat"),
+                           F.col("blacklists")).alias("metadata"),
         (F.col("is_malicious") | hit).alias("is_malicious"),
         F.when(hit & ~named, F.array_append("vendors", mark)).otherwise(F.col("vendors"))
         .alias("vendors"),
@@ -114,10 +149,13 @@ def join_second_feed(checked: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def fuse_feeds(urls: DataFrame, stats: DataFrame, feed: DataFrame) -> DataFrame:
-    """Confidence from two feeds: vendor share, and 0.8 for a listed threat. A null threat counts."""
-    counts = stats.select("url", "last_analysis_stats")
+    """Confidence from two feeds: vendor share, and 0.8 for a listed threat. A null threat counts.
+
+    Each feed gives one row per URL, so there is one result row per input row.
+    """
+    counts = newest_by_url(stats, ("last_analysis_stats",))
     joined = urls.join(counts, "url", "left").join(
-        feed.select("url", "query_status", "threat"), "url", "left")
+        newest_by_url(feed, ("query_status", "threat")), "url", "left")
     of = lambda k: F.coalesce(
         F.try_element_at("last_analysis_stats", F.lit(k)), F.lit(0))
     flagged = of("malicious") + of("suspicious")

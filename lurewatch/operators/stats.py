@@ -232,9 +232,11 @@ def feature_weights(spark: SparkSession) -> DataFrame:
 
 
 def text_entropy(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Shannon entropy of long texts: characters are counted on the map side, per row."""
-    chars = df.select(row_id, text, F.explode(F.split(text, "")).alias("ch")).filter(
-        (F.col("ch") != "") | (F.col(text) == ""))
+    """Shannon entropy of long texts, 0 for null and empty ones: characters are counted on the map
+    side, per row."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    chars = df.select(row_id, body.alias("_body"), F.explode(F.split(body, "")).alias("ch")).filter(
+        (F.col("ch") != "") | (F.col("_body") == ""))
     counts = chars.groupBy(row_id, "ch").agg(F.count("*").alias("k"))
     # -sum(k/n * log2(k/n)) with n = sum(k)
     k, n = F.col("k"), F.sum("k")

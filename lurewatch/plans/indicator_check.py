@@ -7,8 +7,13 @@ from pyspark.sql import DataFrame
 from lurewatch.operators import reputation
 
 
-def check(inputs: DataFrame, reports: DataFrame, feed: DataFrame, column: str = "input") -> DataFrame:
-    """One checked row per input row, with verdict and JSON columns."""
+def check(inputs: DataFrame, reports: DataFrame, feed: DataFrame, column: str = "input",
+          version: str = "key") -> DataFrame:
+    """One checked row per input row, with verdict and JSON columns.
+
+    ``reports`` may hold several reports per indicator: the one of the greatest ``version`` counts.
+    """
     typed = reputation.classify(inputs, column)
-    known = reputation.join_reputation(typed, reputation.report_columns(reports))
+    newest = reputation.latest_reports(reports, version)
+    known = reputation.join_reputation(typed, reputation.report_columns(newest))
     return reputation.store_columns(reputation.join_second_feed(known, feed))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,22 +30,12 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_local_root: str | None = None
-
-
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's spark.checkpoint.dir.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
-    global _local_root
+    """Folder every executor can reach: spark.checkpoint.dir, or where it is unset a folder in the
+    warehouse, which a cluster shares as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        if _local_root is None:
-            _local_root = tempfile.mkdtemp(prefix="run-")
-        root = _local_root
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return root.rstrip("/")
 
 

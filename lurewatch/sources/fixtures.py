@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.functions import verdicts
-from lurewatch.sources.tables import read_table, spread
+from lurewatch.sources.tables import read_table, dealt
 
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 
@@ -61,7 +61,8 @@ def inputs(spark: SparkSession, d: str) -> DataFrame:
     """Indicator strings of all events and all page URLs."""
     kind, text = event_input(F.col("event_id"), F.col("user_id"))
     events = read_table(spark, d, "events").select(text.alias("input"))
-    return spread(events.unionAll(read_table(spark, d, "pages").select(F.col("url").alias("input"))))
+    every = events.unionAll(read_table(spark, d, "pages").select(F.col("url").alias("input")))
+    return dealt(every, "input")
 
 
 def history_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +88,7 @@ def vendor_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Full history with the vendor JSON and the community score."""
-    rows, reports = spread(history_rows(spark, d)), vendor_lists(spark, d)
+    rows, reports = dealt(history_rows(spark, d), "id"), vendor_lists(spark, d)
     joined = rows.join(reports, rows["id"] == reports["key"], "left")
     return joined.select(
         *rows.columns,
@@ -145,7 +146,7 @@ def _choice(values: list[str], i: Column) -> Column:
 
 def emails(spark: SparkSession, d: str, separable: bool = False) -> DataFrame:
     """E-mails around all documents; ``separable`` makes the lure follow the class."""
-    docs, labels = spread(read_table(spark, d, "documents")), read_table(spark, d, "labels")
+    docs, labels = dealt(read_table(spark, d, "documents"), "doc_id"), read_table(spark, d, "labels")
     pages = read_table(spark, d, "pages")
     n_pages = pages.agg(F.count("*").alias("n")).scalar()
     i = F.col("doc_id")
@@ -166,11 +167,17 @@ def emails(spark: SparkSession, d: str, separable: bool = False) -> DataFrame:
 def second_feed(spark: SparkSession, d: str) -> DataFrame:
     kind, text = event_input(F.col("event_id"), F.col("user_id"))
     i = F.col("event_id")
-    return read_table(spark, d, "events").filter(kind == "url").select(
+    urls = read_table(spark, d, "events").filter(kind == "url")
+    newest = urls.select(
         text.alias("url"),
         F.when(i % 3 == 0, F.lit("ok")).otherwise(F.lit("no_results")).alias("query_status"),
         F.when(i % 4 == 0, F.lit("malware_download")).when(i % 4 == 1, F.lit("none"))
-        .alias("threat"))
+        .alias("threat"), F.lit(2).alias("seen"))
+    # Every other URL is listed twice; the older row says the opposite.
+    older = urls.filter(i % 2 == 0).select(
+        text.alias("url"), F.lit("ok").alias("query_status"), F.lit("phishing_kit").alias("threat"),
+        F.lit(1).alias("seen"))
+    return newest.unionByName(older)
 
 
 def report_entries(spark: SparkSession, d: str) -> DataFrame:

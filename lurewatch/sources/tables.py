@@ -22,19 +22,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return pin(spark).read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-TASK_BYTES = 32 * 1024 * 1024
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by a key, into as many partitions as shuffles have.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small table one task per core before heavy row work.
-
-    A table with fewer than 32 MB per core cannot fill the cores with its own splits, so its rows
-    are dealt out; a larger one is read as it is, without a shuffle.
+    For tables that arrive as one unsplittable file; the plan is the same for every size.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * TASK_BYTES else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def scan_history(spark: SparkSession, path: str) -> DataFrame:

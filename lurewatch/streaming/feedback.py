@@ -12,30 +12,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def accept(stream: DataFrame, keys: list[str], when: str, row_id: str, horizon: int,
            delay: str = "1 minute") -> DataFrame:
-    """Accepted (keys, id, sec) rows. Rows with a null key bypass the rule; send them elsewhere.
+    """Accepted (keys, id, sec) rows; a row with a null key is always accepted.
 
-    One row per key and second goes on to the keyed state, however many arrive, so a hot key is
-    thinned out before it meets its task. The state is one number and expires with the horizon.
+    Of the rows of a key and second that come in one batch the smallest (time, id) counts, as in the
+    table rule; a batch is reduced to these chunk by chunk, so a task holds one entry per second. The
+    state is one number and expires with the horizon.
     """
-    seconds = stream.withColumn("sec", F.unix_seconds(when)).withWatermark(when, delay)
-    thinned = seconds.dropDuplicatesWithinWatermark([*keys, "sec"])
+    types = dict(stream.dtypes)
+    seconds = stream.withWatermark(when, delay).select(
+        *keys, row_id, when, F.unix_seconds(when).alias("sec"), F.unix_micros(when).alias("_micros"))
+    out = ", ".join(f"{k} {types[k]}" for k in keys) + f", {row_id} bigint, sec bigint"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["sec", row_id])
+        first: dict[int, tuple[int, int]] = {}
+        for rows in batches:
+            least = rows.sort_values(["_micros", row_id]).drop_duplicates("sec")
+            for sec, micros, ident in zip(least["sec"], least["_micros"], least[row_id]):
+                entry = (int(micros), int(ident))
+                first[int(sec)] = min(entry, first.get(int(sec), entry))
         last = state.get[0] if state.exists else None
         kept = []
-        for sec, ident in zip(rows["sec"], rows[row_id]):
+        for sec in sorted(first):
             if last is None or sec >= last + horizon:
-                kept.append((*key, int(ident), int(sec)))
-                last = int(sec)
+                kept.append((*key, first[sec][1], sec))
+                last = sec
         state.update((last,))
         state.setTimeoutTimestamp(max((last + horizon) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(kept, columns=[*keys, row_id, "sec"])
 
-    types = dict(stream.dtypes)
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + f", {row_id} bigint, sec bigint"
-    return thinned.groupBy(*keys).applyInPandasWithState(
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    ruled = seconds.filter(~no_key).groupBy(*keys).applyInPandasWithState(
         step, out, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    free = seconds.filter(no_key).select(*keys, F.col(row_id).cast("bigint"), "sec")
+    return ruled.unionByName(free)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurewatch import schema
-from lurewatch.operators import curves, history, maintenance, model, prefix, sessions, spacing, stats
+from lurewatch.operators import curves, history, maintenance, model, prefix, reputation, sessions, spacing, stats
 from lurewatch.plans import exports
 from lurewatch.sources import mail as mail_source
 from lurewatch.sources import sinks
@@ -86,6 +86,33 @@ def test_curves_equal_brute_force(spark, distinct):
     assert flat((r["precision"], r["recall"]) for r in points) == pytest.approx(flat(pr))
 
 
+def test_crowded_scores_spread(spark):
+    rows = spark.range(20000).select((F.col("id") / 2e8).alias("score"), (F.col("id") % 2).alias("label"))
+    ranges = curves._points(curves.score_counts(rows.repartition(8)))
+    assert ranges.count() == 20000
+    top = ranges.agg(F.max("tp"), F.max("fp")).first()
+    assert tuple(top) == (10000, 10000)
+
+
+def test_feeds_with_repeated_urls(spark):
+    checks = spark.createDataFrame([(1, "u", "url", False, [], "{}", None), (2, "u", "url", True, [], '{"a":1}', None),
+                                    (3, "w", "url", False, [], "{}", None), (4, "u", "url", False, [], "{}", "failed")],
+                                   "id bigint, normalized_input string, input_type string, is_malicious boolean, "
+                                   "vendors array<struct<name:string,verdict:string>>, metadata string, error string")
+    feed = spark.createDataFrame([("u", "ok", None, 1), ("u", "ok", "kit", 2), ("u", "gone", "kit", 0)],
+                                 "url string, query_status string, threat string, seen int")
+    got = {r["id"]: r for r in reputation.join_second_feed(checks, feed).collect()}
+    assert len(got) == 4 and [got[i]["is_malicious"] for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert got[1]["metadata"] == '{"urlhaus_status":"ok","urlhaus_threat":"kit"}'
+    assert got[2]["metadata"] == '{"a":1,"urlhaus_status":"ok","urlhaus_threat":"kit"}'
+    assert got[3]["metadata"] == got[4]["metadata"] == "{}"
+    urls = spark.createDataFrame([("u",), ("u",)], "url string")
+    stats_rows = spark.createDataFrame([("u", {"malicious": 1, "harmless": 1}, 1), ("u", {"malicious": 3, "harmless": 1}, 2)],
+                                       "url string, last_analysis_stats map<string,bigint>, seen int")
+    fused = reputation.fuse_feeds(urls, stats_rows, feed).collect()
+    assert [r["confidence"] for r in fused] == [0.8, 0.8] and len(fused) == 2
+
+
 def test_curve_edges(spark):
     empty = spark.createDataFrame([], "score double, label int")
     assert curves.roc_points(empty).count() == 0

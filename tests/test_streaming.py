@@ -25,6 +25,20 @@ def test_feedback_across_restarts(spark, tmp_path):
     assert got == want
 
 
+def test_feedback_of_one_second_in_any_order(spark, tmp_path):
+    at = lambda ms: T0 + dt.timedelta(milliseconds=ms)
+    rows = [(2, 1, "bug", at(900)), (1, 1, "bug", at(100)), (3, 1, "bug", at(100)),
+            (4, None, "bug", at(0)), (5, None, "bug", at(1))]
+    df = spark.createDataFrame(rows, "id bigint, user_id bigint, feedback_type string, ts timestamp")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    df.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    runner.drain(feedback.accept(stream, KEYS, "ts", "id", 60), runner.to_folder(out), state)
+    got = sorted(r["id"] for r in spark.read.parquet(out).collect())
+    marked = spacing.mark_accepted(df, KEYS, "ts", "id", 60).filter("accepted").collect()
+    assert got == sorted(r["id"] for r in marked) == [1, 4, 5]
+
+
 def test_check_messages(spark):
     messages = [{"type": "ping"}, {"type": "check_url", "url": "https://a/"},
                 {"type": "check_url", "url": "https://a/", "analyze": True, "saveToHistory": True, "user_id": 9},
