@@ -35,7 +35,7 @@ def stored_model(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _stored:
         path = shared_path(spark, "model")
-        training.retrain(spark, corpus(spark, d), path, {"forest": model.forest(numTrees=50)})
+        training.retrain(spark, corpus(spark, d), path, {"forest": model.forest()})
         _stored[key] = path
     return _stored[key]
 
@@ -64,7 +64,7 @@ WHERE df >= 5 AND df <= 0.95 * n"""
 def _(spark, d):
     # No stop words and no cut of the vocabulary, so that SQL can state every weight.
     base = mail.featurize(corpus(spark, d)).select("id", "processed")
-    return model.with_idf(model.fit_text(base, max_terms=1 << 22, stop_words=[]), spark)
+    return model.term_weights(base, stop_words=[])
 
 
 @query("ml_assemble")
@@ -102,7 +102,7 @@ def _(spark, d):
 
 @query("ml_gbt")
 def _(spark, d):
-    return metrics(training.train(corpus(spark, d), {"boosted": model.boosted(maxIter=20)}))
+    return metrics(training.train(corpus(spark, d), {"boosted": model.boosted()}))
 
 
 @query("ml_svm")
@@ -112,9 +112,7 @@ def _(spark, d):
 
 @query("ml_cv_select")
 def _(spark, d):
-    # Fewer trees than the default settings: ten fits on the same rows and folds.
-    candidates = {"boosted": model.boosted(maxIter=5), "forest": model.forest(numTrees=20, maxDepth=6)}
-    return training.train(corpus(spark, d), candidates).cv
+    return training.train(corpus(spark, d)).cv
 
 
 @query("agg_class_metrics", """
@@ -178,8 +176,8 @@ def _(spark, d):
 
 @query("ml_evaluate")
 def _(spark, d):
-    trained = training.train(corpus(spark, d), {"forest": model.forest(numTrees=50)})
-    scored = trained.classifier.transform(trained.test).persist()
+    trained = training.train(corpus(spark, d), {"forest": model.forest()})
+    scored = trained.classifier.transform(trained.test)
     report = stats.class_metrics(scored, "class", "prediction").select("row", "f1", "support")
     matrix = stats.confusion_matrix(scored, "class", "prediction").select(
         F.concat(F.lit("actual "), "label", F.lit(" predicted "), "prediction").alias("row"),
@@ -195,5 +193,5 @@ def _(spark, d):
                                             names.alias("Email Type")), path)
     mails = mail_source.labelled_only(mail_source.read_labelled_csv(spark, path)).select(
         F.xxhash64("text").alias("id"), F.col("text").alias("body"), F.lit("").alias("html"), "class")
-    trained = training.retrain(spark, mails, out, {"forest": model.forest(numTrees=20, maxDepth=6)})
+    trained = training.retrain(spark, mails, out, training.retrain_candidates())
     return metrics(trained)

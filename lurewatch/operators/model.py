@@ -28,6 +28,30 @@ def model_columns(featurized: DataFrame) -> DataFrame:
     return featurized.select("*", *pick)
 
 
+def term_stages(stop_words: list[str] | None = None) -> list:
+    """Words without stop words, and their pairs, in ``_terms``."""
+    words = RegexTokenizer(inputCol="processed", outputCol="_words", pattern=r"(?U)\b\w\w+\b",
+                           gaps=False)
+    kept = StopWordsRemover(inputCol="_words", outputCol="_kept")
+    if stop_words is not None:
+        kept = kept.setStopWords(stop_words)
+    return [words, kept, NGram(n=2, inputCol="_kept", outputCol="_pairs"),
+            SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__")]
+
+
+def term_weights(df: DataFrame, min_df: float = fv.TFIDF["min_df"], max_df: float = fv.TFIDF["max_df"],
+                 stop_words: list[str] | None = None) -> DataFrame:
+    """(term, weight) of all terms inside the document-count limits, as a table of any size."""
+    listed = PipelineModel(term_stages(stop_words)).transform(df)
+    total = df.agg(F.count("*").alias("n"))  # one row
+    counts = listed.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(
+        F.count("*").alias("df"))
+    limit = lambda x: F.lit(x) if x >= 1 else x * F.col("n")
+    return counts.join(F.broadcast(total)).where(
+        (F.col("df") >= limit(min_df)) & (F.col("df") <= limit(max_df))).select(
+        "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("weight"))
+
+
 def fit_text(df: DataFrame, max_terms: int = fv.TFIDF["max_terms"],
              min_df: float = fv.TFIDF["min_df"], max_df: float = fv.TFIDF["max_df"],
              stop_words: list[str] | None = None) -> PipelineModel:
@@ -35,15 +59,8 @@ def fit_text(df: DataFrame, max_terms: int = fv.TFIDF["max_terms"],
 
     Spark's idf lacks the ``+ 1``, so the fitted idf vector (one entry per term) is raised by one.
     """
-    words = RegexTokenizer(inputCol="processed", outputCol="_words", pattern=r"(?U)\b\w\w+\b",
-                           gaps=False)
-    kept = StopWordsRemover(inputCol="_words", outputCol="_kept")
-    if stop_words is not None:
-        kept = kept.setStopWords(stop_words)
     fitted = Pipeline(stages=[
-        words, kept,
-        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
+        *term_stages(stop_words),
         CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms, minDF=min_df,
                         maxDF=max_df),
         IDF(inputCol="_tf", outputCol="_idf")]).fit(df)
