@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ from lurewatch.session import shared_path
 BLOCK, PERCENT, SEGMENT = 128, 90, 1 << 20
 MAGIC = 0x31524650
 _HEAD = np.dtype("<u4")
-_KNOWN_WORDS = 200_000
+# Words a task remembers, pieces of one call of the tokenizer, bytes of text of one step.
+KNOWN_WORDS, LINE, PIECE = 500_000, 20_000, 1 << 22
+# Stops behind a word are a piece of their own for any tokenizer that cuts at letters.
+STOPS = ".,;:!?"
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, null_id: np.ndarray, ends: np.ndarray) -> bytes:
@@ -115,32 +119,122 @@ class Segment:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Words:
+    """Ids of single words, kept from text to text.
+
+    A word is a piece of letters and a tail of stops, or one other piece. Where the tokenizer marks
+    ends of words, many new letter pieces are encoded in one line: each ends at the next id whose token
+    carries the mark.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_end = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces, self.number = {"": 0}, {}
+        self.ids = np.zeros(0, np.uint32)
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.head, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return (np.array([i for x in lists for i in x], np.uint32),
+                np.array([len(x) for x in lists], np.int64))
+
+    def _in_lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        (line,) = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(line.ids, np.uint32)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            return self._one_by_one(pieces)
+        return ids, np.diff(np.concatenate([[0], ends]))
+
+    def _learn(self, pieces: list[str], encode) -> None:
+        for lo in range(0, len(pieces), LINE):
+            part = pieces[lo:lo + LINE]
+            ids, sizes = encode(part)
+            starts = len(self.ids) + np.cumsum(sizes) - sizes
+            self.pieces.update(zip(part, range(len(self.pieces), len(self.pieces) + len(part))))
+            self.ids = np.concatenate([self.ids, ids])
+            self.start = np.concatenate([self.start, starts])
+            self.size = np.concatenate([self.size, sizes])
+
+    def _add(self, words: list[str]) -> None:
+        heads, tails = [], []
+        for w in words:
+            head = w.rstrip(STOPS)
+            if head.isascii() and head.isalpha():
+                head = head.lower()
+            elif not (head.isalpha() and head.lower().isalpha() and is_normalized("NFC", head)):
+                head = w
+            heads.append(head)
+            tails.append(w[len(head):])
+        new = set(heads).union(tails).difference(self.pieces)
+        lined = [x for x in new if x.isalpha() and x.lower().isalpha() and is_normalized("NFC", x)] \
+            if self.is_end is not None else []
+        self._learn(lined, self._in_lines)
+        self._learn(list(new.difference(lined)), self._one_by_one)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        at = self.pieces.__getitem__
+        self.head = np.concatenate([self.head, np.fromiter(map(at, heads), np.int64, len(heads))])
+        self.tail = np.concatenate([self.tail, np.fromiter(map(at, tails), np.int64, len(tails))])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a line, and each text's number of ids."""
+        lines = [t.replace("\n", " ").split(" ") for t in texts]
+        words = [w for line in lines for w in line]
+        if len(self.number) > KNOWN_WORDS:
+            self.clear()
+        self._add(list(set(words).difference(self.number)))
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        run = np.stack([self.head[which], self.tail[which]], axis=1).reshape(-1)
+        sizes = self.size[run]
+        first = np.cumsum(sizes) - sizes
+        out = self.ids[np.arange(sizes.sum()) + np.repeat(self.start[run] - first, sizes)]
+        ends = 2 * np.cumsum([len(line) for line in lines])
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return out, np.diff(np.concatenate([[0], total[ends]]))
 
-    return Tokenizer.from_file(path), {}
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    return Words(path)
 
 
-def encode(path: str, texts: list[str | None], whole: bool = False) -> list[np.ndarray]:
-    """Ids of whole texts.
+def encode(path: str, texts: list[str | None], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts in a line, and each text's number of ids.
 
     The vocabularies meant here drop white space and never join characters across a space or a line
     end, so each distinct word is encoded once and a text is the line of its words' ids. ``whole``
     encodes texts as they are, for tokenizers that look across spaces.
     """
-    tokenizer, known = _tokenizer(path)
+    words = _words(path)
     texts = [t or "" for t in texts]
-    if whole:
-        return [np.array(e.ids, np.uint32)
-                for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    if len(known) > _KNOWN_WORDS:
-        known.clear()
-    lines = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for line in lines for w in line} - known.keys())
-    for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, np.uint32)
-    return [np.concatenate([known[w] for w in line]) for line in lines]
+    if not whole:
+        return words.encode(texts)
+    lists = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return (np.array([i for x in lists for i in x], np.uint32),
+            np.array([len(x) for x in lists], np.int64))
+
+
+def _pieces(column: pa.Array):
+    """(first, end) of runs of rows with about PIECE bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(size):
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, "right"))
+        hi = max(hi, lo + 1)
+        yield lo, hi
+        lo = hi
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_column: str = "doc_id",
@@ -149,6 +243,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_column
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
         ids, docs_in, nulls, sizes, held = [], [], [], [], 0
+        end = np.array([end_id], np.uint32)
 
         def flush():
             line = np.concatenate(ids)
@@ -160,17 +255,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_column
                  .cast(pa.binary())], names=["part", "number", "n_ids", "cell"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
+            for lo, hi in _pieces(batch.column(1)):
+                piece = batch.slice(lo, hi - lo)
                 keys = piece.column(0)
                 flags = pc.is_null(keys).to_pylist()
-                for key, null, line in zip(pc.fill_null(keys, 0).to_pylist(), flags,
-                                           encode(tokenizer, piece.column(1).to_pylist(), whole)):
-                    ids += [line, np.array([end_id], np.uint32)]
+                line, size = encode(tokenizer, piece.column(1).to_pylist(), whole)
+                at = 0
+                for key, null, n in zip(pc.fill_null(keys, 0).to_pylist(), flags, size.tolist()):
+                    ids += [line[at:at + n], end]
+                    at += n
                     docs_in.append(key)
                     nulls.append(null)
-                    sizes.append(len(line) + 1)
-                    held += len(line) + 1
+                    sizes.append(n + 1)
+                    held += n + 1
                     if held >= segment:
                         yield flush()
                         number, ids, docs_in, nulls, sizes, held = number + 1, [], [], [], [], 0

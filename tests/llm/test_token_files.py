@@ -36,8 +36,13 @@ def test_word_by_word_equals_whole():
     texts = ODD + ["".join(rng.choice(" \n\t'aAé́s1½-<|>ΣİK ​汉") for _ in range(60))
                    for _ in range(300)]
     tokenizer = Tokenizer.from_file(PATH)
-    for text, got in zip(texts, tf.encode(PATH, texts)):
-        assert tokenizer.encode(text, add_special_tokens=False).ids == got.tolist(), text
+    for whole in (False, True, False):
+        line, sizes = tf.encode(PATH, texts, whole)
+        at = 0
+        for text, n in zip(texts, sizes):
+            assert tokenizer.encode(text, add_special_tokens=False).ids == line[at:at + n].tolist(), text
+            at += n
+        assert at == len(line)
 
 
 def test_files_against_library(spark, table):
