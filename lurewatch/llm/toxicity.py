@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first 4, 5 and 6 letters, lower-cased. Kept are the terms that at least LEAST
+Terms are words and the beginnings (4 to 9 letters) of longer words, lower-cased. Kept are the terms that at least LEAST
 examples have and whose presence depends on the label (chi-square of CHI or more): only these tell the
 classes apart, so the vectors are small. Weights are (1 + ln tf) * idf, scaled to length one.
 
@@ -8,8 +8,9 @@ The index stores, per term, its postings in the order of the examples, cut into
 examples, and the largest weight per term and block. A search adds these up to a bound per block, reads
 blocks in descending order of their bounds, and stops when no bound reaches the K-th cosine found: the
 result is exact. Neighbours vote with their cosine; a vote counts as many rows as the example stands
-for in its class. Votes are calibrated by a logistic curve fitted to the examples' own scores, each
-taken without itself. The neighbours are returned as evidence.
+for in its class. A logistic curve of the vote, of the number of known terms in the text and of its
+length, fitted to the examples (each voted on without itself), makes the score, so one such term in a
+long text weighs less than many in a short one. The neighbours are returned as evidence.
 
 Examples are a bounded sample: about SAMPLE labelled rows of each class, those with the smallest hashes
 of their id. Everything else reads all rows and whole texts.
@@ -30,17 +31,18 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm.common import U64, Spans, letters, mix64
 
-SAMPLE, LEAST, CHI = 2000, 4, 15.0
-PREFIXES = (4, 5, 6)
+SAMPLE, LEAST, CHI = 2000, 3, 15.0
+PREFIXES = (4, 5, 6, 7, 8, 9)
+FILTER_BITS = 20
 K, BLOCK, FIRST_BLOCKS, PRIOR_WEIGHT = 25, 64, 8, 0.5
 CHUNK = 1 << 18
 
 
-def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term hash) of every word and every prefix of a longer word."""
+def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term hash) of every word and every beginning of a longer word; words of each row."""
     line, bounds = letters(texts)
     if not len(line):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(texts), np.int64)
     word = line != 32
     starts = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]))
     ends = np.flatnonzero(word & np.concatenate([~word[1:], [True]])) + 1
@@ -48,29 +50,39 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     spans = Spans(line)
     rows, found = [row], [spans.hash(starts, ends)]
     for n in PREFIXES:
-        longer = ends - starts >= n
+        longer = ends - starts > n
         rows.append(row[longer])
         found.append(mix64(spans.hash(starts[longer], starts[longer] + n) + U64(n)))
-    return np.concatenate(rows), np.concatenate(found)
+    return np.concatenate(rows), np.concatenate(found), np.bincount(row, minlength=len(texts))
+
+
+def _bit(term: np.ndarray) -> np.ndarray:
+    return (term >> U64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def vectors(texts: list[str | None], known: np.ndarray):
-    """(row, term number, count) of the known terms of each text, rows ascending."""
-    row, term = terms(texts)
+    """(row, term number, count) of the known terms of each text, rows ascending; words of each row."""
+    row, term, words = terms(texts)
     if not len(known) or not len(term):
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, words
+    passed = np.zeros(1 << FILTER_BITS, bool)
+    passed[_bit(known)] = True
+    maybe = passed[_bit(term)]
+    row, term = row[maybe], term[maybe]
     at = np.minimum(np.searchsorted(known, term), len(known) - 1)
     hit = known[at] == term
     key, n = np.unique(row[hit] * len(known) + at[hit], return_counts=True)
-    return key // len(known), key % len(known), n
+    return key // len(known), key % len(known), n, words
 
 
 class Index:
     """Block-max index of examples, given as (row, term, count) with ids, labels and row weights."""
 
-    def __init__(self, known: np.ndarray, row, term, count, ids, labels, stands_for):
+    def __init__(self, known: np.ndarray, row, term, count, ids, labels, stands_for, words=None):
         n, size = len(ids), len(known)
+        words = np.zeros(n) if words is None else words
+        hits = np.bincount(row, count, minlength=n)
         self.known, self.base = known, 0.0
         if n:
             self.base = float((labels * stands_for).sum() / stands_for.sum())
@@ -88,6 +100,7 @@ class Index:
         rank[place] = np.arange(n)
         self.ids, self.labels = ids[place], labels[place].astype(float)
         self.stands_for = stands_for[place].astype(float)
+        self.hits, self.words = hits[place], words[place]
         order = np.lexsort((rank[row], term))
         self.example, self.weight = rank[row][order], weight[order]
         term = term[order]
@@ -97,7 +110,7 @@ class Index:
         self.peak = np.zeros(size * self.blocks)
         np.maximum.at(self.peak, cell, self.weight)
         self.peak = self.peak.reshape(size, self.blocks)
-        self.curve = (1.0, 0.0)
+        self.curve = np.array([1.0, 0.0, 0.0, 0.0])
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1, k: int = K):
         """(example, cosine) of the k nearest with a cosine over 0, nearest first."""
@@ -134,10 +147,14 @@ class Index:
         total = PRIOR_WEIGHT + weight.sum()
         return float((PRIOR_WEIGHT * self.base + (weight * self.labels[example]).sum()) / total)
 
-    def calibrated(self, vote):
-        slope, shift = self.curve
-        p = np.clip(vote, 1e-6, 1 - 1e-6)
-        return 1 / (1 + np.exp(-(slope * np.log(p / (1 - p)) + shift)))
+    @staticmethod
+    def _features(vote, hits, words):
+        p = np.clip(np.asarray(vote, float), 1e-6, 1 - 1e-6)
+        return np.stack([np.log(p / (1 - p)), np.log1p(hits), np.log1p(words), np.ones(p.shape)], -1)
+
+    def calibrated(self, vote, hits, words):
+        z = self._features(vote, hits, words) @ self.curve
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def calibrate(self) -> None:
         """Fit the logistic curve to the examples' votes, each without itself (Newton steps)."""
@@ -153,33 +170,32 @@ class Index:
             own = order[cuts[e]:cuts[e + 1]]
             if len(own):
                 votes[e] = self.vote(*self.nearest(terms_of[own], self.weight[own], skip=e))
-        p = np.clip(votes, 1e-6, 1 - 1e-6)
-        x = np.stack([np.log(p / (1 - p)), np.ones(len(p))], axis=1)
+        x = self._features(votes, self.hits, self.words)
         target = np.where(self.labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
-        beta, ridge = np.array([1.0, 0.0]), np.eye(2)
-        for _ in range(50):
-            now = 1 / (1 + np.exp(-x @ beta))
-            gradient = x.T @ (self.stands_for * (target - now)) - ridge @ (beta - [1.0, 0.0])
+        start = np.array([1.0, 0.0, 0.0, 0.0])
+        beta, ridge = start, np.eye(4)
+        for _ in range(100):
+            now = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
+            gradient = x.T @ (self.stands_for * (target - now)) - ridge @ (beta - start)
             curvature = (x * (self.stands_for * now * (1 - now))[:, None]).T @ x + ridge
             step = np.linalg.solve(curvature, gradient)
             beta = beta + np.clip(step, -1, 1)
             if np.abs(step).max() < 1e-8:
                 break
-        # The curve must rise.
-        self.curve = (max(float(beta[0]), 0.1), float(beta[1]))
+        # The curve rises with the vote.
+        self.curve = np.concatenate([[max(float(beta[0]), 0.1)], beta[1:]])
 
     def score(self, texts: list[str | None]):
         """(score, neighbours) of each text; neighbours are (example, cosine) arrays or None."""
-        row, term, count = vectors(texts, self.known)
-        scores = np.full(len(texts), self.base if self.curve == (1.0, 0.0)
-                         else float(self.calibrated(self.base)))
-        near = [None] * len(texts)
+        row, term, count, words = vectors(texts, self.known)
+        hits = np.bincount(row, count, minlength=len(texts))
+        votes, near = np.full(len(texts), self.base), [None] * len(texts)
         cuts = np.searchsorted(row, np.arange(len(texts) + 1))
         for r in np.unique(row):
             own = slice(cuts[r], cuts[r + 1])
             near[r] = self.nearest(term[own], self.query(term[own], count[own]))
-            scores[r] = self.calibrated(self.vote(*near[r]))
-        return scores, near
+            votes[r] = self.vote(*near[r])
+        return (self.calibrated(votes, hits, words) if 0 < self.base < 1 else votes), near
 
 
 def examples(docs: DataFrame, labels: DataFrame, sample: int, id_column: str, text: str,
@@ -205,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
 
     def count(batches):
         for batch in batches:
-            row, term = terms(batch.column(0).to_pylist())
+            row, term, _ = terms(batch.column(0).to_pylist())
             order = np.lexsort((term, row))
             row, term = row[order], term[order]
             first = np.ones(len(row), bool)
@@ -238,23 +254,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
     def sparse(batches):
         for batch in batches:
             n = batch.num_rows
-            row, term, number = vectors(batch.column(0).to_pylist(), known)
+            row, term, number, words = vectors(batch.column(0).to_pylist(), known)
             cuts = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32)))
                      for x in (term, number)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2).cast(pa.int64()), batch.column(1), *lists],
-                names=["id", "label", "term", "n"])
+                [batch.column(2).cast(pa.int64()), batch.column(1), *lists, pa.array(words, pa.int64())],
+                names=["id", "label", "term", "n", "words"])
 
-    got = rows.mapInArrow(sparse, "id long, label int, term array<int>, n array<int>").toArrow()
-    got = got.sort_by([("id", "ascending"), ("label", "ascending")])
+    got = rows.mapInArrow(
+        sparse, "id long, label int, term array<int>, n array<int>, words long").toArrow()
+    got = got.sort_by([("id", "ascending"), ("label", "ascending"), ("words", "ascending")])
     lists = got.column("term").combine_chunks()
     term = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy()))
     label = got.column("label").to_numpy()
     made = Index(known, row, term, got.column("n").combine_chunks().flatten().to_numpy(),
                  got.column("id").to_numpy(), label,
-                 np.where(label == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0)))
+                 np.where(label == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0)),
+                 got.column("words").to_numpy())
     made.calibrate()
     return made
 
