@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lurewatch.llm.common import (U64, Spans, lower_ascii, mix64, stored, text_chunks, words_of)
 
 TABLES, ROWS = 10, 2
-TILE = 16
+TILE, ROUNDS = 16, 2
 _rng = np.random.default_rng(20240131)
 _COEF = _rng.integers(0, 1 << 63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _SEED = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64)
@@ -117,34 +117,34 @@ def _sets(docs: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
 
 
 def _confirm(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """Exact intersection and union sizes of the pairs of one tile."""
+    """Exact counts of the pairs (rid, hub) of one tile, and the shingles that rid has alone."""
     known = {r: np.frombuffer(s, U64) for r, s in zip(sets.rid, sets.shingles)}
-    both, union = [], []
-    for a, b in zip(pairs.a, pairs.b):
-        x, y = known[a], known[b]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-        both.append(same)
-        union.append(len(x) + len(y) - same)
-    return pd.DataFrame({"a": pairs.a, "b": pairs.b, "both": both, "union": union})
+    rows = []
+    none = np.zeros(0, np.int64)
+    for rid, hub, star in zip(pairs.rid, pairs.hub, pairs.star):
+        x, h = known[rid], known[hub]
+        at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+        same = h[at] == x
+        rows.append((rid, hub, star, int(same.sum()), len(x), len(h),
+                     x[~same].view(np.int64) if star else none))
+    return pd.DataFrame(rows, columns=["rid", "hub", "star", "both", "n", "nh", "own"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Count ``both`` and ``union`` of pairs (a, b) of ids; ``sets`` holds each id once.
+    """Compare the full sets of pairs (rid, hub, star): shared shingles, both sizes, and, for members
+    of a star, the shingles that rid has and the hub lacks.
 
     Pairs are cut into tiles of two blocks of ids (``place``), so a task holds the sets of two blocks
     at most and a set that many pairs need moves once per tile.
     """
     place = sets.select("rid", "place")
-    tiled = (pairs.join(place.withColumnsRenamed({"rid": "a", "place": "pa"}), "a")
-             .join(place.withColumnsRenamed({"rid": "b", "place": "pb"}), "b")
-             .select("a", "b", F.xxhash64("pa", "pb").alias("tile")))
-    sides = (tiled.select(F.col("tile").alias("cell"), F.explode(F.array("a", "b")).alias("rid"))
+    tiled = (pairs.join(place.withColumnRenamed("place", "pa"), "rid")
+             .join(place.withColumnsRenamed({"rid": "hub", "place": "pb"}), "hub")
+             .select("rid", "hub", "star", F.xxhash64("pa", "pb").alias("tile")))
+    sides = (tiled.select(F.col("tile").alias("cell"), F.explode(F.array("rid", "hub")).alias("rid"))
              .distinct().join(sets.select("rid", "shingles"), "rid"))
     return tiled.groupBy("tile").cogroup(sides.groupBy("cell")).applyInPandas(
-        _confirm, "a long, b long, both long, union long")
+        _confirm, "rid long, hub long, star boolean, both long, n long, nh long, own array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
                          .alias("u"), F.col("m").alias("v")).distinct())
         now = stored(small, "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = state
 
@@ -183,14 +183,19 @@ def candidates(reps: DataFrame, tables: int = TABLES) -> DataFrame:
 
 def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column: str,
          text: str) -> DataFrame:
-    """(a, b) of confirmed links between representatives, enough of them to join every class."""
+    """(a, b) of confirmed links between representatives, enough of them to join every class.
+
+    Buckets are compared with one hub each, not pair by pair. Two members x and y of a hub that are
+    still in different classes share at most min(|x & hub|, |y & hub|) shingles of the hub. Pairs for
+    which that would be enough are compared; others must share so many shingles that the hub lacks
+    that, by the prefix filter, they share one of the first few of these. Members that do are a bucket
+    of the next round, which no longer holds the hub. After ROUNDS rounds the pairs of the small buckets
+    that still hold two classes are compared one by one. Nothing is dropped without such a bound.
+    """
     rows = stored(candidates(reps), "bands")
-    popular = rows.groupBy("rid").agg(F.sum("n").alias("pop"))
-    # The hub of a bucket: the text that meets the most others.
-    ranked = rows.select("key", "rid").join(popular, "rid")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rid")).alias("low"))).alias("h"))
-    star = stored(rows.select("key", "rid").join(hubs, "key").select(
-        "key", "rid", F.col("h.pop").alias("pop"), (-F.col("h.low")).alias("hub")), "buckets")
+    # A bucket's hub is the text that meets the most others.
+    popular = stored(rows.groupBy("rid").agg(F.sum("n").alias("pop")), "popular")
+    star = stored(_stars(rows.select("key", "rid"), popular), "buckets")
     # Texts with the same best hub lie in neighbouring blocks of TILE.
     home = (star.groupBy("rid").agg(F.max(F.struct("pop", "hub")).alias("h"))
             .select("rid", F.col("h.hub").alias("hub")))
@@ -201,44 +206,59 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
         place.select(F.col("rid").alias(id_column)), id_column, "left_semi")
     sets = stored(_sets(need, words, id_column, text).groupBy("rid").agg(
         F.min_by("shingles", "fp1").alias("shingles")).join(place, "rid"), "sets")
-    n = reps.select("rid", "n_shingles")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes alone rule the similarity out go; the rest is counted exactly."""
-        sized = (pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-                 .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        return verify(sized.select("a", "b"), sets)
-
-    def pair(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    linked = 100 * F.col("both") >= percent * F.col("union")
-    first = stored(alike(star.where("rid != hub").select(*pair("rid", "hub")).distinct()), "first")
-    edges = first.where(linked).select("a", "b")
-    joined = components(edges)
-    # What the stars left apart: pairs of different classes in one bucket. Distance 1 - similarity
-    # is a metric, so two texts whose distances to the hub differ by more than the limit can't link.
-    known = first.select("a", "b", (1 - F.col("both") / F.col("union")).alias("d"))
-    named = star.join(joined.withColumnRenamed("id", "rid"), "rid", "left").withColumn(
-        "component", F.coalesce("component", "rid"))
-    split = (named.groupBy("key").agg(F.min("component").alias("lo"),
-                                      F.max("component").alias("hi")).where("lo != hi"))
-    far = (named.join(split.select("key"), "key", "left_semi")
-           .withColumns({"a": F.least("rid", "hub"), "b": F.greatest("rid", "hub")})
-           .join(known, ["a", "b"], "left")
-           .select("key", "rid", "component",
-                   F.when(F.col("rid") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d")))
-    far = stored(far, "open")
-    limit = 1 - percent / 100 + 1e-9
-    x, y = far.alias("x"), far.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid"))
-                   & (F.col("x.component") != F.col("y.component"))
-                   & (F.col("x.d").isNull() | F.col("y.d").isNull()
-                      | (F.abs(F.col("x.d") - F.col("y.d")) <= limit)))
-            .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-            .join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    second = alike(rest).where(linked).select("a", "b")
-    return edges.union(second)
+    enough = (100 + percent) * F.col("both") >= percent * (F.col("n") + F.col("nh"))
+    # The largest set that could link with this one through the hub's shingles alone.
+    reach = F.floor((100 + percent) * F.col("both") / F.lit(percent)) - F.col("n")
+    # Shingles outside the hub that a partner must share at least, and the prefix that shows it.
+    lacking = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("both"))
+    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - lacking + 1).cast("int"))
+    pairs, edges = _pairs(star, True), None
+    for number in range(ROUNDS + 1):
+        checked = stored(verify(pairs, sets), "checked")
+        new = checked.where(enough).select(F.col("rid").alias("a"), F.col("hub").alias("b"))
+        edges = new if edges is None else edges.union(new)
+        if number == ROUNDS:
+            return edges
+        joined = components(edges).withColumnRenamed("id", "rid")
+        named = (checked.where("star").join(joined, "rid", "left")
+                 .withColumn("component", F.coalesce("component", "rid"))
+                 .withColumn("reach", reach))
+        split = (named.groupBy("hub").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
+            .where("lo != hi").select("hub", "least"))
+        left = stored(named.join(split, "hub"), "open")
+        far = left.where("reach >= least").select("hub", "rid", "component", "n", "reach")
+        x, y = far.alias("x"), far.alias("y")
+        near = (x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.rid") < F.col("y.rid"))
+                       & (F.col("x.component") != F.col("y.component"))
+                       & (F.col("x.reach") >= F.col("y.n")) & (F.col("y.reach") >= F.col("x.n")))
+                .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
+        loose = left.select("rid", "component", "n", F.explode(prefix).alias("own"), "hub").select(
+            F.xxhash64("hub", "own").alias("key"), "rid", "component", "n")
+        mixed = loose.groupBy("key").agg(F.min("component").alias("lo"),
+                                         F.max("component").alias("hi")).where("lo != hi")
+        again = loose.join(mixed.select("key"), "key")
+        if number < ROUNDS - 1:
+            more = _stars(again.select("key", "rid"), popular)
+        else:
+            x, y = again.alias("x"), again.alias("y")
+            more = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid"))
+                           & (F.col("x.component") != F.col("y.component"))
+                           & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+                    .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
+        pairs = stored(_pairs(more, number < ROUNDS - 1).union(_pairs(near, False)), "pairs")
+
+
+def _pairs(rows: DataFrame, star: bool) -> DataFrame:
+    return rows.where("rid != hub").select("rid", "hub").distinct().withColumn("star", F.lit(star))
+
+
+def _stars(rows: DataFrame, popular: DataFrame) -> DataFrame:
+    """Add to rows (key, rid) the hub of their key and its popularity."""
+    hubs = rows.join(popular, "rid").groupBy("key").agg(
+        F.max(F.struct("pop", (-F.col("rid")).alias("low"))).alias("h"))
+    return rows.join(hubs, "key").select("key", "rid", F.col("h.pop").alias("pop"),
+                                         (-F.col("h.low")).alias("hub"))
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id",

@@ -63,6 +63,30 @@ def test_classes_equal_brute_force(spark, table):
         assert got == brute(rows, words)
 
 
+def test_one_large_family(spark, table):
+    """Copies around the threshold, copies of copies, and shortened ones, all of one text."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    base, rows = words(150), []
+    for family in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(150)] = words(1)[0]
+        if family % 3 == 0:
+            copy = copy[:rng.randrange(100, 150)]
+        for _ in range(rng.randrange(1, 6)):
+            again = list(copy)
+            for _ in range(rng.randrange(0, 4)):
+                again[rng.randrange(len(again))] = words(1)[0]
+            rows.append((len(rows), " ".join(again)))
+    rng.shuffle(rows)
+    docs = table([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept)
+           for r in minhash.classes(docs, 4).collect()}
+    assert got == brute(rows, 4)
+    assert len({c for _, c, _ in got.values()}) > 3
+
+
 def test_edge_rows(spark, table):
     docs = table([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f", "y"),
                   (None, "a b c d e f", "z"), (3, None, "z"), (4, "", "z")],
