@@ -273,12 +273,14 @@ def _(spark, d):
 
 
 @query("set_feature_weights", """
-SELECT * FROM (VALUES ('url_structure - length', 0.15::DOUBLE), ('url_structure - special_chars', 0.10),
+SELECT *, (SELECT count(*) FROM rows_fx WHERE input_type = 'url') AS n_urls FROM (VALUES ('url_structure - length', 0.15::DOUBLE), ('url_structure - special_chars', 0.10),
   ('url_structure - subdomain_depth', 0.08), ('url_structure - path_depth', 0.07),
   ('domain_analysis - age', 0.12), ('domain_analysis - registration_length', 0.08),
   ('domain_analysis - suspicious_tld', 0.09), ('security_indicators - ssl_valid', 0.10),
   ('security_indicators - whois_privacy', 0.06), ('security_indicators - dns_records', 0.08),
   ('content_analysis - forms_present', 0.07), ('content_analysis - external_links', 0.06),
-  ('content_analysis - obfuscation', 0.05)) t(feature, importance)""")
+  ('content_analysis - obfuscation', 0.05)) t(feature, importance)""", "rows_fx")
 def _(spark, d):
-    return stats.feature_weights(spark)
+    # The weights are shown next to the URL checks they belong to.
+    checks = fx.history_rows(spark, d).filter(F.col("input_type") == "url")
+    return stats.feature_weights(spark).withColumn("n_urls", checks.agg(F.count("*")).scalar())
