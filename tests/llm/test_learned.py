@@ -98,6 +98,8 @@ def test_held_out_toxicity(spark):
     fresh = [r for r in got if r.held_out]
     assert len(fresh) > 80
     assert sum((r.predicted == 1) == (r.toxic == 1) for r in fresh) / len(fresh) > 0.95
+    bad = [r for r in fresh if r.toxic == 1]
+    assert sum(r.predicted for r in bad) >= 0.7 * len(bad)
     assert all(0 <= r.score <= 1 for r in got)
 
 
