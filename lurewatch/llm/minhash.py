@@ -233,8 +233,9 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
                        & (F.col("x.component") != F.col("y.component"))
                        & (F.col("x.reach") >= F.col("y.n")) & (F.col("y.reach") >= F.col("x.n")))
                 .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
-        loose = left.select("rid", "component", "n", F.explode(prefix).alias("own"), "hub").select(
-            F.xxhash64("hub", "own").alias("key"), "rid", "component", "n")
+        loose = left.select("rid", "component", "n", "both", F.size("own").alias("alone"),
+                            F.explode(prefix).alias("own"), "hub").select(
+            F.xxhash64("hub", "own").alias("key"), "rid", "component", "n", "both", "alone")
         mixed = loose.groupBy("key").agg(F.min("component").alias("lo"),
                                          F.max("component").alias("hi")).where("lo != hi")
         again = loose.join(mixed.select("key"), "key")
@@ -244,7 +245,9 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
             x, y = again.alias("x"), again.alias("y")
             more = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid"))
                            & (F.col("x.component") != F.col("y.component"))
-                           & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+                           & ((100 + percent) * (F.least("x.both", "y.both")
+                                                 + F.least("x.alone", "y.alone"))
+                              >= percent * (F.col("x.n") + F.col("y.n"))))
                     .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
         pairs = stored(_pairs(more, number < ROUNDS - 1).union(_pairs(near, False)), "pairs")
 
