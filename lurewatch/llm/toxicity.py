@@ -153,7 +153,9 @@ class Index:
         return np.stack([np.log(p / (1 - p)), np.log1p(hits), np.log1p(words), np.ones(p.shape)], -1)
 
     def calibrated(self, vote, hits, words):
-        z = self._features(vote, hits, words) @ self.curve
+        # Longer texts than any example count as the longest one: the curve is not carried on.
+        top = (self.hits.max(initial=0), self.words.max(initial=0))
+        z = self._features(vote, np.minimum(hits, top[0]), np.minimum(words, top[1])) @ self.curve
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def calibrate(self) -> None:
