@@ -6,7 +6,10 @@ block by its own features: containers that never hold the article (menus, footer
 adverts, notices, comments) and blocks of links are bad; long blocks with many stop words are good;
 the rest is short or near good. Pass two gives the undecided blocks the label of their nearest decided
 neighbours: between two good ones good, between two bad ones bad, else that of the nearer side.
-Where a page marks its article, only blocks inside it are candidates.
+Marked articles, or else ``main``, are a prior: if the marked part holds most of what is good by its own
+features, its blocks are judged one class milder, and undecided blocks only look at their own side of the
+mark. Otherwise marks count for nothing, so teasers in ``article`` do not displace a story outside. Long
+blocks that are good by their own features stay on either side. Where no block is good, the near ones are.
 
 Every piece of the page is looked at once, so unclosed quotes, comments, scripts and tags cost no more
 than others. Defined cases: a null page is empty and has no text; an empty table gives an empty result;
@@ -150,24 +153,26 @@ def _container(tag: str, attributes: dict[str, str], inside_article: bool) -> st
 
 
 def blocks(html: str) -> list[dict]:
-    """The page's text blocks in order: text, link characters, heading, container."""
+    """The page's text blocks in order: text, link characters, heading, container, article number."""
     page, out = _Page(html), []
     # Open elements with their kind; of inline elements only links and those with a kind.
     stack: list[tuple[str, str]] = []
     kinds = dict.fromkeys(("bad", "good", "main", "soft", "skip", ""), 0)
     opened: dict[str, int] = {}
-    parts, links, breaks = [], 0, 0
+    parts, links, breaks, articles = [], 0, 0, 0
 
     def flush():
         nonlocal parts, links
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
             kind = next((k for k in ("bad", "good", "main", "soft") if kinds[k]), "")
-            out.append({"text": text, "links": links, "kind": kind,
+            out.append({"text": text, "links": links, "kind": kind, "article": articles if kinds["good"] else 0,
                         "heading": any(opened.get(h) for h in HEADINGS)})
         parts, links = [], 0
 
     def push(tag, kind):
+        nonlocal articles
+        articles += kind == "good"
         stack.append((tag, kind))
         opened[tag] = opened.get(tag, 0) + 1
         kinds[kind] += 1
@@ -278,37 +283,69 @@ def _stop_density(text: str) -> tuple[float, int]:
     return (sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0), len(words)
 
 
-def classify(page: list[dict]) -> list[bool]:
-    """Whether each block belongs to the main text."""
-    stops = [_stop_density(b["text"]) for b in page]
+def _own_labels(page: list[dict], stops: list[tuple[float, int]]) -> list[str]:
+    """Labels of blocks by their own features: bad, good, near, low (few stop words) or short."""
     # Without any known function word the language is unknown: length and links decide alone.
     known = any(d > 0 for d, _ in stops)
-    # Where the page names its article, the text outside is not part of it.
-    named = next((k for k in ("good", "main") if any(b["kind"] == k for b in page)), None)
     labels = []
     for block, (density, _) in zip(page, stops):
         length, kind, text = len(block["text"]), block["kind"], block["text"]
-        if kind == "bad" or named and kind != named:
-            labels.append("bad")
-        elif named:
-            labels.append("good" if length >= LENGTH_LOW else "short")
-        elif block["links"] > LINKS_HIGH * length or text.startswith(("\u00a9", "(c) ", "Copyright ")):
+        if kind == "bad" or block["links"] > LINKS_HIGH * length \
+                or text.startswith(("\u00a9", "(c) ", "Copyright ")):
             labels.append("bad")
         elif length < LENGTH_LOW:
-            labels.append("bad" if block["links"] and kind != "soft" else "short")
+            labels.append("bad" if block["links"] and not kind else "short")
         elif kind == "soft" or not known or density >= STOP_HIGH:
             labels.append("good" if kind == "soft" or length > LENGTH_HIGH else "near")
         else:
-            labels.append("near" if density >= STOP_LOW else "bad")
-    if named:
-        # Short blocks of the article take the side of their neighbours inside it.
-        inside = [b["kind"] == named for b in page]
-        decided = [None if x == "short" else x for x in labels]
-        if "good" not in decided:
-            return inside
-        return [x == "good" for x in _inherit(decided, inside)]
-    decided = [None if x in ("short", "near") else x for x in labels]
-    out = _inherit(decided, None)
+            labels.append("near" if density >= STOP_LOW else "low")
+    return labels
+
+
+def _winner(page: list[dict], labels: list[str]) -> str | None:
+    """'good' (articles) or 'main' if that mark holds most of the good blocks' characters.
+
+    Articles count by the largest of them, so many teasers do not outweigh a story. Where nothing is
+    good by its own features, the near blocks are compared, and where nothing is near, any mark wins.
+    """
+    for wanted in (("good",), ("near",)):
+        sizes: dict[tuple, int] = {}
+        for block, label in zip(page, labels):
+            if label in wanted:
+                group = block["kind"] if block["kind"] in ("good", "main") else "", block["article"]
+                sizes[group] = sizes.get(group, 0) + len(block["text"])
+        if sizes:
+            best = max((v for (kind, _), v in sizes.items() if kind == "good"), default=0)
+            main, rest = sizes.get(("main", 0), 0), sizes.get(("", 0), 0)
+            if best and best >= main + rest:
+                return "good"
+            return "main" if main and main >= rest else None
+    # Only short blocks and blocks with few stop words are left.
+    left = {b["kind"] for b, x in zip(page, labels) if x != "bad"}
+    return next((k for k in ("good", "main") if k in left), None)
+
+
+def classify(page: list[dict]) -> list[bool]:
+    """Whether each block belongs to the main text."""
+    labels = _own_labels(page, [_stop_density(b["text"]) for b in page])
+    named = _winner(page, labels)
+    decided: list[str | None] = []
+    for block, label in zip(page, labels):
+        if named and block["kind"] == named:
+            label = {"near": "good", "low": "near"}.get(label, label)
+        # Without a mark around it, text with few stop words is not the article's.
+        decided.append({"good": "good", "bad": "bad", "low": None if named else "bad"}.get(label))
+    # Articles that are not the marked part are parts of their own; others share the text around.
+    sides = [b["kind"] if named and b["kind"] == named else b["article"] if b["kind"] == "good" else 0
+             for b in page]
+    if "good" not in decided:
+        if named:
+            # No block of the mark is decided: all of it that may be good is.
+            decided = ["good" if side == named and label != "bad" else mark
+                       for side, label, mark in zip(sides, labels, decided)]
+        else:
+            decided = ["good" if label == "near" else mark for label, mark in zip(labels, decided)]
+    out = _inherit(decided, sides)
     # Headings above a good block belong to it.
     for k in range(len(out) - 1):
         if page[k]["heading"] and page[k]["kind"] != "bad" and labels[k] == "short":
@@ -316,20 +353,16 @@ def classify(page: list[dict]) -> list[bool]:
     return [x == "good" for x in out]
 
 
-def _inherit(decided: list[str | None], inside: list[bool] | None) -> list[str]:
-    """Undecided blocks take the label of the nearest decided one; ties go to good.
-
-    With ``inside``, only decided blocks of the same side (inside or outside) are neighbours.
-    """
+def _inherit(decided: list[str | None], sides: list) -> list[str]:
+    """Undecided blocks take the label of the nearest decided one of their side; ties go to good."""
     n = len(decided)
 
     def sweep(order):
         last, out = {}, [None] * n
         for k in order:
-            side = inside[k] if inside else 0
             if decided[k]:
-                last[side] = k
-            out[k] = last.get(side)
+                last[sides[k]] = k
+            out[k] = last.get(sides[k])
         return out
 
     before, after = sweep(range(n)), sweep(range(n - 1, -1, -1))

@@ -34,6 +34,19 @@ def test_without_any_container():
         "Heading here", (LONG * 3).strip(), "So it is.", (LONG * 3).strip()]
 
 
+def test_a_mark_wins_only_with_the_good_blocks():
+    story = [f"{k} {LONG * 2}".strip() for k in range(3)]
+    told = "".join(f"<p>{x}</p>" for x in story)
+    cards = "".join(f"<article class=card><h3>Other {k}</h3><p>{LONG[:120]}</p></article>" for k in range(40))
+    for html in (f"<main>{told}</main>{cards}", f"<div>{told}</div>{cards}", f"<main>{told}{cards}</main>",
+                 f"{cards}<div>{told}</div>"):
+        assert ht.main_text(page(html)).split("\n") == story
+    # A mark that wins has its rules of links too, and does not drop good text outside.
+    links = "<ul><li><a href=1>Other news that is linked</a></li></ul>"
+    assert ht.main_text(page(f"<article>{told}{links}</article><div>{story[0]}</div>")).split("\n") \
+        == [*story, story[0]]
+
+
 def test_broken_markup():
     assert ht.main_text("<article><p>a < b && c<p>d<!-- e --><!--> f</article>") == "a < b && c\nd f"
     assert ht.main_text("<article>a<script>var x = 1; b") == "a"
