@@ -11,6 +11,12 @@ features, its blocks are judged one class milder, and undecided blocks only look
 mark. Otherwise marks count for nothing, so teasers in ``article`` do not displace a story outside. Long
 blocks that are good by their own features stay on either side. Where no block is good, the near ones are.
 
+Stop words count in the language that knows most of a block's words. A page that no listed language knows
+is judged by length and links alone, and a block with few stop words is undecided, not bad: text of other
+languages, tables and code go with what stands around them. A class or id names a bad container by its
+words, unless it only states what the element has or is filed under (``has-sidebar``, ``tag-social``); a
+container that holds nearly all good text of the page is not bad by name.
+
 Every piece of the page is looked at once, so unclosed quotes, comments, scripts and tags cost no more
 than others. Defined cases: a null page is empty and has no text; an empty table gives an empty result;
 rows are independent of each other, and extra columns are ignored.
@@ -19,6 +25,7 @@ rows are independent of each other, and extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -28,16 +35,18 @@ from pyspark.sql import functions as F
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH, LINKS_HIGH = 0.15, 0.25, 0.4
 
-# Frequent function words of some European languages; density only, so the lists may be short.
-STOP_WORDS = frozenset("""
-the of and to in is that for it as was with be by on not he his this are or at from which you an we
-der die und das ist von den mit sich des auf für nicht ein eine als auch es im dem zu werden sie wir
-le la les et est des un une du dans que qui pour pas sur au par ce il en plus avec ne se sont de
-el los las y que en un una por con no para su es al lo como más del se pero sus o este
-il di che e la per un una in non con del da sono si dei gli
+# Frequent function words of some European languages, a line each; density only, so they may be short.
+STOP_WORDS = [frozenset(line.split()) for line in """
+the of and to in is that for it as was with be by on not he his this are or at from which you an we a
+der die und das ist von den mit sich des auf für nicht ein eine als auch es im dem zu werden sie wir in
+le la les et est des un une du dans que qui pour pas sur au par ce il en plus avec ne se sont de a
+el los las y que en un una por con no para su es al lo como más del se pero sus o este la de a
+il di che e la per un una in non con del da sono si dei gli a i
 de het een van en dat die in te is op met voor niet aan er om ook als bij
-o a os as do da em um uma para com não por mais no na dos
-""".split())
+o a os as do da em um uma para com não por mais no na dos de que e se
+""".strip().split("\n")]
+_LANGUAGES = {word: [k for k, known in enumerate(STOP_WORDS) if word in known]
+              for word in frozenset().union(*STOP_WORDS)}
 
 BLOCKS = frozenset("""
 address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt
@@ -73,6 +82,14 @@ subscription tagcloud tags teaser toolbar topbar trending widget widgets discuss
 """.split())
 SOFT_WORDS = frozenset("article articlebody content entry main post story".split())
 TOP_WORDS = frozenset("header head top hero".split())
+# A class that begins so tells what an element has or is filed under, not what it is.
+STATE_PARTS = frozenset("has no not with without is hide show tag tags category categories cat term topic "
+                        "post page postid pageid single format type status layout js wp".split())
+# Names of what readers add: more text than the article's is usual there.
+READERS = frozenset("comment comments commentlist disqus discussion feedback replies reply respond "
+                    "responses reviews".split())
+# So many good blocks, with so many times the characters of the page's other text, override a name.
+MANY, NEARLY_ALL, MOST_NESTED = 3, 4, 32
 IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 
 _NEXT = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?/]))")
@@ -102,8 +119,7 @@ class _Page:
             return -1
         if self.lower is None:
             # Lower case that keeps every character's place.
-            self.lower = self.html if self.html.isascii() and self.html.islower() else "".join(
-                c.lower() if c.isascii() else c for c in self.html)
+            self.lower = self.html.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         found = self.lower.find(f"</{name}", at)
         if found < 0:
             self.gone.add(name)
@@ -130,36 +146,45 @@ class _Page:
 _QUOTE = re.compile(r"=\s*[\"']")
 
 
-def _container(tag: str, attributes: dict[str, str], inside_article: bool) -> str:
-    """'bad', 'good' (article), 'main', 'soft' (named like an article) or '' of an element."""
+def _container(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[str, str]:
+    """What an element is: 'bad', 'good' (article), 'main', 'soft' (named like an article) or '';
+    and how its class or id names it: 'readers', 'bad' or ''."""
     role = attributes.get("role", "").lower()
     if tag in BAD_TAGS or role in BAD_ROLES or "hidden" in attributes \
             or attributes.get("aria-hidden", "").lower() == "true" \
             or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return "bad"
+        return "bad", ""
+    if not inside_article and tag == "header":
+        return "bad", ""
     words = set()
     for name in ("class", "id"):
         for one in attributes.get(name, "").split():
-            words.update(_PART.findall(_CAMEL.sub(" ", one).lower()))
-    if tag not in ("html", "body", "main") and words & BAD_WORDS:
-        return "bad"
-    if not inside_article and (tag == "header" or tag == "div" and words & TOP_WORDS):
-        return "bad"
+            parts = _PART.findall(_CAMEL.sub(" ", one).lower())
+            if len(parts) < 2 or parts[0] not in STATE_PARTS:
+                words.update(parts)
+    named = ""
+    if tag not in ("html", "body", "main"):
+        named = "readers" if words & READERS else "bad" if words & BAD_WORDS else ""
+        if not named and not inside_article and tag == "div" and words & TOP_WORDS:
+            named = "bad"
     if tag == "article" or role == "article":
-        return "good"
+        return "good", named
     if tag == "main" or role == "main":
-        return "main"
-    return "soft" if words & SOFT_WORDS and tag in ("div", "section", "td") else ""
+        return "main", named
+    return "soft" if words & SOFT_WORDS and tag in ("div", "section", "td") else "", named
 
 
 def blocks(html: str) -> list[dict]:
-    """The page's text blocks in order: text, link characters, heading, container, article number."""
+    """The page's text blocks in order: text, link characters, heading, container, article number, and the
+    chain of elements with a bad name around it."""
     page, out = _Page(html), []
     # Open elements with their kind; of inline elements only links and those with a kind.
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, tuple | None]] = []
     kinds = dict.fromkeys(("bad", "good", "main", "soft", "skip", ""), 0)
     opened: dict[str, int] = {}
     parts, links, breaks, articles = [], 0, 0, 0
+    # The innermost open element with a bad name: its number, how it is named, and the one around it.
+    names, n_names = None, 0
 
     def flush():
         nonlocal parts, links
@@ -167,18 +192,23 @@ def blocks(html: str) -> list[dict]:
         if text:
             kind = next((k for k in ("bad", "good", "main", "soft") if kinds[k]), "")
             out.append({"text": text, "links": links, "kind": kind, "article": articles if kinds["good"] else 0,
+                        "names": names,
                         "heading": any(opened.get(h) for h in HEADINGS)})
         parts, links = [], 0
 
-    def push(tag, kind):
-        nonlocal articles
+    def push(tag, kind, named):
+        nonlocal articles, names, n_names
         articles += kind == "good"
-        stack.append((tag, kind))
+        stack.append((tag, kind, names))
+        if named:
+            n_names += 1
+            names = (n_names, named, names)
         opened[tag] = opened.get(tag, 0) + 1
         kinds[kind] += 1
 
     def pop():
-        tag, kind = stack.pop()
+        nonlocal names
+        tag, kind, names = stack.pop()
         opened[tag] -= 1
         kinds[kind] -= 1
 
@@ -263,12 +293,12 @@ def blocks(html: str) -> list[dict]:
         if tag == "a" and opened.get("a"):
             close("a")
         inside = kinds["good"] or kinds["main"]
-        kind = "skip" if tag in SKIPPED else _container(tag, attributes, bool(inside))
+        kind, named = ("skip", "") if tag in SKIPPED else _container(tag, attributes, bool(inside))
         if kind == "good" and kinds["good"]:
             # An article inside an article is a reader's comment.
-            kind = "bad"
-        if kind or tag == "a" or tag in BLOCKS or tag in RAW:
-            push(tag, kind)
+            kind, named = "", "readers"
+        if kind or named or tag == "a" or tag in BLOCKS or tag in RAW:
+            push(tag, kind, named)
         if tag in RAW:
             end = page.find_end_tag(tag, at)
             if end < 0:
@@ -279,29 +309,76 @@ def blocks(html: str) -> list[dict]:
 
 
 def _stop_density(text: str) -> tuple[float, int]:
+    """Share of function words, in the language that knows most of them, and the number of words."""
     words = _WORD.findall(text.lower())
-    return (sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0), len(words)
+    hits = [0] * len(STOP_WORDS)
+    for word, n in Counter(filter(_LANGUAGES.__contains__, words)).items():
+        for k in _LANGUAGES[word]:
+            hits[k] += n
+    return (max(hits) / len(words) if words else 0.0), len(words)
 
 
 def _own_labels(page: list[dict], stops: list[tuple[float, int]]) -> list[str]:
     """Labels of blocks by their own features: bad, good, near, low (few stop words) or short."""
-    # Without any known function word the language is unknown: length and links decide alone.
-    known = any(d > 0 for d, _ in stops)
+    links = [b["links"] > LINKS_HIGH * len(b["text"]) for b in page]
+    # The page's prose decides whether its language is known, not its menus.
+    prose = [(d * n, n) for b, linked, (d, n) in zip(page, links, stops)
+             if not linked and b["kind"] != "bad" and len(b["text"]) >= LENGTH_LOW]
+    density_of_page = sum(x for x, _ in prose) / max(1, sum(n for _, n in prose))
+    known = density_of_page >= STOP_LOW / 2
+    high, low = min(STOP_HIGH, density_of_page * 0.8), min(STOP_LOW, density_of_page * 0.5)
     labels = []
-    for block, (density, _) in zip(page, stops):
+    for block, linked, (density, _) in zip(page, links, stops):
         length, kind, text = len(block["text"]), block["kind"], block["text"]
-        if kind == "bad" or block["links"] > LINKS_HIGH * length \
-                or text.startswith(("\u00a9", "(c) ", "Copyright ")):
+        if kind == "bad" or linked or text.startswith(("\u00a9", "(c) ", "Copyright ")):
             labels.append("bad")
         elif length < LENGTH_LOW:
             labels.append("bad" if block["links"] and not kind else "short")
-        elif kind == "soft" or not known or density >= STOP_HIGH:
+        elif kind == "soft" or not known or density >= high:
             labels.append("good" if kind == "soft" or length > LENGTH_HIGH else "near")
         else:
-            labels.append("near" if density >= STOP_LOW else "low")
+            labels.append("near" if density >= low else "low")
     return labels
 
 
+def _drop_named(page: list[dict], labels: list[str]) -> list[dict]:
+    """The blocks, of kind 'bad' inside of badly named containers, but for containers that hold nearly
+    all good text of the page. Those of readers' words give way only to a page without good text."""
+    freed: set[int] = set()
+    for _ in range(MOST_NESTED):
+        outer: dict[int, tuple[int, str] | None] = {}
+
+        def outermost(names):
+            """The outermost container in the chain that has not been freed."""
+            chain = []
+            while names and names[0] not in outer:
+                chain.append(names)
+                names = names[2]
+            found = outer[names[0]] if names else None
+            for one in reversed(chain):
+                found = found or (None if one[0] in freed else one[:2])
+                outer[one[0]] = found
+            return found
+
+        tops = [outermost(b["names"]) for b in page]
+        free = free_good = 0
+        held: dict[tuple[int, str], list[int]] = {}
+        for block, label, top in zip(page, labels, tops):
+            size = len(block["text"])
+            if top is None:
+                free += size if label in ("good", "near") else 0
+                free_good += size if label == "good" else 0
+            elif label == "good":
+                n = held.setdefault(top, [0, 0])
+                n[0], n[1] = n[0] + 1, n[1] + size
+        best = max(((size, -number, kind) for (number, kind), (n, size) in held.items() if n >= MANY
+                    and size > NEARLY_ALL * free and (kind != "readers" or not free_good)), default=None)
+        if best is None:
+            break
+        freed.add(-best[1])
+    return [block | {"kind": "bad"} if top else block for block, top in zip(page, tops)]
+
+
 def _winner(page: list[dict], labels: list[str]) -> str | None:
     """'good' (articles) or 'main' if that mark holds most of the good blocks' characters.
 
@@ -327,14 +404,15 @@ def _winner(page: list[dict], labels: list[str]) -> str | None:
 
 def classify(page: list[dict]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    labels = _own_labels(page, [_stop_density(b["text"]) for b in page])
+    stops = [_stop_density(b["text"]) for b in page]
+    page = _drop_named(page, _own_labels(page, stops))
+    labels = _own_labels(page, stops)
     named = _winner(page, labels)
     decided: list[str | None] = []
     for block, label in zip(page, labels):
         if named and block["kind"] == named:
             label = {"near": "good", "low": "near"}.get(label, label)
-        # Without a mark around it, text with few stop words is not the article's.
-        decided.append({"good": "good", "bad": "bad", "low": None if named else "bad"}.get(label))
+        decided.append({"good": "good", "bad": "bad"}.get(label))
     # Articles that are not the marked part are parts of their own; others share the text around.
     sides = [b["kind"] if named and b["kind"] == named else b["article"] if b["kind"] == "good" else 0
              for b in page]
@@ -348,7 +426,7 @@ def classify(page: list[dict]) -> list[bool]:
     out = _inherit(decided, sides)
     # Headings above a good block belong to it.
     for k in range(len(out) - 1):
-        if page[k]["heading"] and page[k]["kind"] != "bad" and labels[k] == "short":
+        if page[k]["heading"] and labels[k] == "short":
             out[k] = out[k + 1] if out[k + 1] == "good" else out[k]
     return [x == "good" for x in out]
 

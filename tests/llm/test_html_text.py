@@ -47,6 +47,39 @@ def test_a_mark_wins_only_with_the_good_blocks():
         == [*story, story[0]]
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div id=page class='no-comments'>", "</div>"),
+    ("<article class='post tag-social category-reviews'>", "</article>"),
+    ("<div class='content-sidebar-wrap'><div class=promoted>", "</div></div>"), ("<div class=top-story>", "</div>")])
+def test_names_do_not_empty_a_page(start, end):
+    story = [f"{k} {LONG * 2}".strip() for k in range(3)]
+    inner = "".join(f"<p>{x}</p>" for x in story)
+    ad = f"<div class=ad>{LONG * 2}</div><section id=comments><p>{LONG * 2}</p></section>"
+    assert ht.main_text(page(start + inner + ad + end)).split("\n") == story
+
+
+def test_names_still_count():
+    story = [f"{k} {LONG * 2}".strip() for k in range(2)]
+    said = "".join(f"<div class=comment><p>{LONG * 2}</p></div>" for _ in range(30))
+    for name in ("comment-list", "comments", "site-footer", "cookie-notice", "main-nav"):
+        html = page(f"<div><p>{story[0]}</p><p>{story[1]}</p></div><div class='{name}'>{said}</div>")
+        assert ht.main_text(html).split("\n") == story, name
+
+
+def test_other_languages_tables_and_code():
+    menu = "<div>This is the menu of the site</div><ul><li><a href=1>About the site and us</a></li></ul>"
+    russian = "Вчера вечером жители города собрались около старого театра чтобы обсудить новый закон " * 3
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed starym teatrem i rozmawiali o prawie " * 3
+    for text in (russian, polish):
+        got = ht.main_text(page(menu + f"<div><p>{text}</p><p>{text[:100]}</p><p>{text}</p></div>"))
+        assert got.split("\n")[-3:] == [text.strip(), text[:100].strip(), text.strip()]
+    code = "for (int k = 0; k < size; k++) { total += values[k] * factor[k]; print(total, k, size); } " * 3
+    got = ht.main_text(page(f"<div><p>{LONG * 2}</p><pre>{code.replace('<', '&lt;')}</pre>"
+                            f"<p>{LONG * 2}</p><p>{russian}</p><p>{LONG * 2}</p></div>"))
+    assert got.split("\n") == [(LONG * 2).strip(), code.strip(), (LONG * 2).strip(), russian.strip(),
+                               (LONG * 2).strip()]
+
+
 def test_broken_markup():
     assert ht.main_text("<article><p>a < b && c<p>d<!-- e --><!--> f</article>") == "a < b && c\nd f"
     assert ht.main_text("<article>a<script>var x = 1; b") == "a"
