@@ -1,5 +1,6 @@
 """Corpus pipeline over ``documents``; each stage works on all that the stage before it kept.
 
+Every row is judged by its own text, so rows with a null or repeated id go or stay one by one.
 Toxic documents go, one document of each near-duplicate class stays, documents with benchmark passages
 go, sources are mixed to their target weights (a document may come several times), and the mix is
 written as token files that are read back.
@@ -9,7 +10,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lurewatch.llm import decontaminate, minhash, mixing, token_files, toxicity
 from lurewatch.llm.common import in_training, read, stored
@@ -20,9 +20,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below TOXIC; learned from the labels outside the held-out third."""
     index = toxicity.learn(docs.where(in_training()), read(spark, sf_dir, "labels").where(in_training()))
-    bad = toxicity.score(docs, index).where(F.col("score") >= TOXIC).select(
-        F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti")
+    return toxicity.below(docs, index, TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

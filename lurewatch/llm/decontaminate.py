@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, char_table, code_points, mix64
+from lurewatch.llm.common import U64, char_table, code_points, mix64, schema_of
 
 Q, RATE, SHORT = 8, 0.1, 40
 INDEX_CHARS, WINDOW = 1 << 21, 1 << 16
@@ -176,25 +176,29 @@ class Passages:
         return [(i, a, b, e) for (i, a, b), e in sorted(found.items())]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
-         item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, begin, end, edits: every benchmark passage found in a document."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text"):
+    """Broadcast indexes of the passages, one per pass over the documents."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"),
                              F.col(item_text).cast("string").alias("text")).where(
         "item_id IS NOT NULL AND text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-2 * chars // INDEX_CHARS))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
-                       F.col(text).cast("string").alias("text"))
-    out = spark.createDataFrame([], SCHEMA)
     for k in range(passes):
         # About INDEX_CHARS / 2 characters of passages.
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy(
             "item_id", "text").toArrow()
-        index = spark.sparkContext.broadcast(Passages(part.column(0).to_pylist(),
-                                                      part.column(1).to_pylist()))
+        yield spark.sparkContext.broadcast(Passages(part.column(0).to_pylist(),
+                                                    part.column(1).to_pylist()))
+
 
+def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
+         item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, begin, end, edits: every benchmark passage found in a document."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
+                       F.col(text).cast("string").alias("text"))
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for index in _indexes(benchmark, item_id, item_text):
         def run(batches, index=index):
             for batch in batches:
                 found = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(),
@@ -223,6 +227,14 @@ def unsearched(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage; null ids are judged as one."""
-    bad = find(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows without a benchmark passage in their own text, with all their columns; ids play no part."""
+    place = docs.columns.index("text")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    for index in _indexes(benchmark):
+        def run(batches, index=index):
+            for batch in batches:
+                yield batch.filter(pa.array([not index.value.hits(t.as_py())
+                                             for t in batch.column(place)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema_of(docs, *docs.columns))
+    return docs

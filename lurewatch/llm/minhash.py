@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import (U64, Spans, lower_ascii, mix64, stored, text_chunks, words_of)
+from lurewatch.llm.common import (U64, Spans, fresh, lower_ascii, mix64, stored, text_chunks, words_of)
 
 TABLES, ROWS = 10, 2
 TILE, ROUNDS = 16, 2
@@ -290,8 +290,23 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: the smallest id of each class, equal rows once."""
-    kept = classes(docs, words, percent).where("kept AND doc_id IS NOT NULL").select(
-        "doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    """The documents that stay: the smallest id of each class, equal rows once.
+
+    Every row is judged by its own text, whatever its id. Rows with a null id are compared like others;
+    one of those in a class stays, beside the smallest id if there is one.
+    """
+    names = fresh(docs, "_row")
+    # The key holds for every later read, because the rows are stored with it.
+    rows = stored(docs.withColumn(names["_row"], F.monotonically_increasing_id()), "rows")
+    row = F.col(names["_row"])
+    found = classes(rows, words, percent, id_column=names["_row"]).select(
+        F.col("doc_id").alias("_key"), F.col("component_id").alias("_class"))
+    mine = rows.select(row.alias("_key"), F.col("doc_id").alias("_id"),
+                       F.xxhash64("text").alias("_hash"))
+    kept = (found.join(mine, "_key").groupBy("_class", F.col("_id").isNull().alias("_unnamed"))
+            .agg(F.min(F.struct(F.col("_id").cast("long").alias("_number"), "_id", "_hash", "_key")).alias("_m"))
+            .select(F.col("_m._key").alias("_key")))
+    stay = rows.join(kept, row == F.col("_key"), "left_semi").select(*docs.columns)
+    # Texts without shingles are in no class: equal rows of one id once.
+    return stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(
+        stay.where("doc_id IS NULL"))
