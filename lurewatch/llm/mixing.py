@@ -3,8 +3,9 @@
 Sources in code point order (null last) weigh ``weights`` in turn and share all words; no source gets
 more than ``most`` times its own words, and what it can't take is shared again by weight. A source is
 cut into blocks of about ``block_words`` words by a hash of the id. Its target is so many whole passes
-over its blocks and one part of a pass: blocks in permuted order while they fit, then documents of the
-next block. A block of one pass is a unit.
+over its blocks and one part of a pass: blocks in permuted order while they fit, then every document
+of the next block, in hashed order, that still fits. A block of one pass is a unit. What is still missing
+is filled from the blocks after that one, larger documents first, until no document there fits.
 
 The tree splits the exact unit counts of all sources over the output shards: a node with so many units
 gives its left half a random sample of the right size, drawn source by source (an urn per source, unit
@@ -33,7 +34,7 @@ SHARD_WORDS, BLOCKS_PER_SHARD = 1 << 22, 64
 WORD = r"[^\x20\x09-\x0D]+"
 # Larger than any number of blocks, so multiplying by one of them permutes the block numbers.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
-BUCKET, PICKS, REGROUP = 256, 3, 4
+BUCKET, CHUNK, REGROUP = 256, 256, 4
 
 
 def word_count(text: str = "text") -> Column:
@@ -159,6 +160,7 @@ def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, most: int = MOST,
     sized = docs.select(*[F.col(c).alias(h) for c, h in zip(carry, held)],
                         F.col(source).cast("string").alias("_source"),
                         F.xxhash64(F.col(id_column), F.lit(1)).alias("_hash"),
+                        F.monotonically_increasing_id().alias("_row"),
                         word_count(text).alias("mix_size"))
     sized = stored(sized, "sized")
     sizes = sized.groupBy(F.col("_source").alias("source")).agg(
@@ -195,15 +197,22 @@ def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, most: int = MOST,
                                             F.col("blocks")))
              .withColumn("ends", F.coalesce((F.col("turn") == F.col("passes"))
                                             & (F.col("place") == F.col("cut.place")), F.lit(False))))
-    draws = stored(drawn.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("ends"), F.col("shard").cast("int")))).alias("whole"),
-        F.max(F.when(F.col("ends"), F.struct(F.col("shard").cast("int").alias("shard"), "cut.gap")))
-        .alias("cut")), "draws")
+    drawn = stored(drawn, "drawn")
+    draws = stored(drawn.where("NOT ends").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.col("shard").cast("int"))).alias("whole")), "draws")
+    cuts = stored(drawn.where("ends").select(
+        "sid", F.col("block").alias("cut_block"), F.col("cut.place").alias("cut_place"),
+        F.col("cut.gap").alias("rest"), F.col("shard").cast("int").alias("cut_shard")), "cuts")
+    picks = stored(_fill(rows.where("mix_size > 0").select(*keys, "_hash", "_row", "mix_size"),
+                         last.select(*keys, "place"), cuts)
+                   .join(cuts.select("sid", "cut_shard"), "sid"), "picks")
     own = ["_hash", *held, "mix_size", "words", "target", "whole"]
-    plain = (rows.join(draws.where("cut IS NULL").drop("cut"), keys, "left")
-             .join(draws.where("cut IS NOT NULL").select(*keys), keys, "left_anti")
-             .select(*own, F.lit(None).cast("int").alias("cut_shard")))
-    cut = _fill(rows.join(draws.where("cut IS NOT NULL"), keys), keys).select(*own, "cut_shard")
+    # Only blocks with picked documents meet the picks.
+    some = stored(picks.select(*keys).distinct(), "picked")
+    every = rows.join(draws, keys, "left")
+    plain = every.join(some, keys, "left_anti").select(*own, F.lit(None).cast("int").alias("cut_shard"))
+    cut = (every.join(some, keys, "left_semi").join(picks.select("_row", "cut_shard"), "_row", "left")
+           .select(*own, "cut_shard"))
     shards_of = F.concat(F.coalesce("whole", F.array().cast("array<int>")),
                          F.when(F.col("cut_shard").isNotNull(), F.array("cut_shard"))
                          .otherwise(F.array().cast("array<int>")))
@@ -215,24 +224,72 @@ def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, most: int = MOST,
                     "mix_shards", F.xxhash64("_hash", F.lit(7)).alias("mix_key")))
 
 
-def _fill(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Choose documents of each block for its last words: in hashed order while they fit, then the
-    largest that still fit. A block has block_words words and documents at most, give or take one."""
-    order = Window.partitionBy(*keys).orderBy("_hash", "mix_size")
-    every = Window.partitionBy(*keys)
-    some = F.col("mix_size") > 0
-    out = (rows.withColumn("_gap", F.col("cut.gap"))
-           .withColumn("_sum", F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_in", some & (F.col("_sum") <= F.col("_gap"))))
-    for _ in range(PICKS):
-        out = out.withColumn("_rest", F.col("_gap") - F.coalesce(
-            F.sum(F.when(F.col("_in"), F.col("mix_size"))).over(every), F.lit(0)))
-        fits = some & ~F.col("_in") & (F.col("mix_size") <= F.col("_rest"))
-        out = (out.withColumn("_fits", fits)
-               .withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(
-                   F.col("_fits").desc(), F.col("mix_size").desc(), "_hash")))
-               .withColumn("_in", F.col("_in") | (F.col("_fits") & (F.col("_n") == 1))))
-    return out.withColumn("cut_shard", F.when(F.col("_in"), F.col("cut.shard")))
+def _first_fit(docs: DataFrame) -> DataFrame:
+    """(sid, rest, taken) of rows (sid, rest, _hash, mix_size, _row), a block's documents per source:
+    the keys of those that fit into what those before them in hashed order leave."""
+    def take(state: Column, doc: Column) -> Column:
+        fits = doc["mix_size"] <= state["rest"]
+        return F.struct(
+            F.when(fits, state["rest"] - doc["mix_size"]).otherwise(state["rest"]).alias("rest"),
+            F.when(fits, F.concat(state["out"], F.array(doc["_row"]))).otherwise(state["out"]).alias("out"))
+
+    def chunk(state: Column, begin: Column) -> Column:
+        # Each step copies the list it adds to, so the list of a chunk is made by itself.
+        start = F.struct(state["rest"].alias("rest"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.slice("docs", begin, CHUNK), start, take, lambda x: F.struct(
+            x["rest"].alias("rest"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
+    lined = docs.groupBy("sid").agg(F.max("rest").alias("rest"), F.array_sort(F.collect_list(
+        F.struct("_hash", "mix_size", "_row"))).alias("docs"))
+    start = F.struct(F.col("rest").cast("long").alias("rest"),
+                     F.array().cast("array<array<bigint>>").alias("out"))
+    filled = F.aggregate(F.sequence(F.lit(1), F.size("docs"), F.lit(CHUNK)), start, chunk)
+    return lined.select("sid", filled.alias("f")).select(
+        "sid", F.col("f.rest").alias("rest"), F.flatten("f.out").alias("taken"))
+
+
+def _fill(docs: DataFrame, places: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(sid, block, _row) of the documents for the last words of each source in ``cuts``.
+
+    A block has block_words words and documents at most, give or take one. After the block where the
+    rest ends, cells of one block and one power of two of sizes are taken whole in the order of sizes,
+    then places, and the first cell that is too large is filled. What is left then is less than the
+    double of that power, and after the next round less than the power, so rounds are few.
+    """
+    first = docs.join(cuts.select("sid", F.col("cut_block").alias("block"), "rest"), ["sid", "block"])
+    filled = stored(_first_fit(first.where("mix_size <= rest")), "filled")
+    taken = filled.select("sid", F.explode("taken").alias("_row"))
+    picks = taken.join(first.select("block", "_row"), "_row").select("sid", "block", "_row")
+    # A block in which nothing fits leaves all of its rest.
+    rests = stored(cuts.select("sid", "cut_place", F.col("rest").alias("_all")).join(
+        filled.select("sid", "rest"), "sid", "left").select(
+        "sid", "cut_place", F.coalesce("rest", "_all").alias("rest")).where("rest > 0"), "rests")
+    later = (docs.join(rests, "sid").where("mix_size <= rest").join(places, ["sid", "block"])
+             .where("place > cut_place").select(*docs.columns, "place"))
+    while not rests.isEmpty():
+        size_class = F.length(F.bin("mix_size"))
+        later = stored(later.drop("rest").join(rests.select("sid", "rest"), "sid")
+                       .where("mix_size <= rest").withColumn("class", -size_class), "later")
+        cells = later.groupBy("sid", "class", "place").agg(
+            F.sum("mix_size").alias("words"), F.max("rest").alias("rest"))
+        summed = stored(running_sum(
+            cells, ["sid"], F.struct("class", F.floor(F.col("place") / BUCKET).alias("at")),
+            [F.col("class"), F.col("place")], {"sum": F.col("words")}), "cells")
+        whole = later.join(summed.where("sum <= rest").select("sid", "class", "place"),
+                           ["sid", "class", "place"])
+        next_cell = summed.where("sum > rest").groupBy("sid").agg(F.min(F.struct(
+            "class", "place", (F.col("rest") - F.col("sum") + F.col("words")).alias("rest"))).alias("c"))
+        ends = (later.drop("rest").join(next_cell.select("sid", "c.*"), ["sid", "class", "place"]))
+        filled = stored(_first_fit(ends), "filled")
+        taken = whole.select("sid", "block", "_row").unionByName(
+            filled.select("sid", F.explode("taken").alias("_row"))
+            .join(ends.select("block", "_row"), "_row").select("sid", "block", "_row"))
+        taken = stored(taken, "taken")
+        picks = picks.unionByName(taken)
+        # Where no cell was too large, all that fits is taken.
+        rests = stored(filled.where("rest > 0").select("sid", "rest"), "rests")
+        later = later.drop("class").join(taken.select("_row"), "_row", "left_anti")
+    return picks
 
 
 def copies(mixed: DataFrame, carry: list[str]) -> DataFrame:

@@ -65,6 +65,34 @@ def test_targets_and_taken(spark, docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_long_documents_do_not_shut_others_out(table):
+    for long, small in ((30000, 400), (60000, 300)):
+        rows = [(0, "w " * long, "s")] + [(k, "w " * 50, "s") for k in range(1, small + 1)]
+        rows += [(10000 + k, "w " * 40, "t") for k in range(500)]
+        for shift in (0, 100000):
+            docs = table([(i + shift, x, s) for i, x, s in rows], "doc_id long, text string, source string")
+            got = mixing.mix(docs, ["doc_id", "source"]).collect()
+            target = {r.source: r.mix_target for r in got}
+            for s in target:
+                left = target[s] - sum(r.mix_taken for r in got if r.source == s)
+                turns = min(len(r.mix_shards) for r in got if r.source == s)
+                fits = [r.mix_size for r in got if r.source == s and len(r.mix_shards) == turns]
+                assert abs(left) <= 1 or left < min(fits), (s, long, shift, left)
+
+
+def test_goes_on_with_the_next_blocks(table):
+    rows = [(k, "w " * (900 if k % 3 else 1 + k % 7), "s") for k in range(300)]
+    rows += [(1000 + k, "w " * 700, "t") for k in range(100)]
+    docs = table(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, ["doc_id", "source"], shard_words=64 * 1000).collect()
+    for s in ("s", "t"):
+        mine = [r for r in got if r.source == s]
+        left = mine[0].mix_target - sum(r.mix_taken for r in mine)
+        turns = min(len(r.mix_shards) for r in mine)
+        fits = [r.mix_size for r in mine if len(r.mix_shards) == turns]
+        assert abs(left) <= 1 or 0 < left < min(fits)
+
+
 def test_tree_is_exact_and_hypergeometric(spark):
     units = {0: 400, 1: 90, 2: 7, 3: 3}
     df = spark.createDataFrame(list(units.items()), "sid long, n long")
