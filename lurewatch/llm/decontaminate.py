@@ -11,9 +11,12 @@ The Q-grams of the passages form an index that every task gets. It is made from
 characters of passages at a time; a larger benchmark takes several passes over the documents, so no
 broadcast grows with it. Documents are read whole, in windows that overlap by more than a region.
 
-Defined cases: a null or empty text has no hits; passages shorter than SHORT normalized characters can't
-be told from chance and are not searched (they are returned by ``unsearched``); equal passages under
-several ids hit under each of them; rows that repeat an id are judged one by one and their equal hits
+Passages shorter than SHORT normalized characters must begin and end at bounds of words, because inside of
+words they can't be told from chance; their edits are at most as many as the lemma allows with Q, which is
+one less than ``budget`` for some lengths, and those without a Q-gram must occur unchanged.
+
+Defined cases: a null or empty text has no hits; passages without a letter or digit occur nowhere; a null
+item id is a passage of its own and is reported as null; equal passages under several ids hit under each of them; rows that repeat an id are judged one by one and their equal hits
 are reported once; a null document id is reported as null; empty tables give an empty result.
 """
 
@@ -46,6 +49,10 @@ def normalized(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return line, place
 
 
+def _text(line: np.ndarray) -> str:
+    return line.astype("<u4").tobytes().decode("utf-32-le")
+
+
 def qgrams(line: np.ndarray) -> np.ndarray:
     n = len(line) - Q + 1
     if n <= 0:
@@ -104,14 +111,27 @@ def aligned(item: np.ndarray, part: np.ndarray, low: int, high: int, budget: int
 
 
 class Passages:
-    """The Q-grams of some passages: sorted hashes with their postings, and a bit filter before them."""
+    """The Q-grams of some passages: sorted hashes with their postings, and a bit filter before them.
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    Short passages are an index of their own, with a space on both sides of each: their words' bounds.
+    """
+
+    def __init__(self, ids: list[int | None], texts: list[str | None]):
         lines = [(i, normalized(t)[0]) for i, t in zip(ids, texts)]
-        lines = [(i, x) for i, x in lines if len(x) >= SHORT]
+        self._index([(i, x) for i, x in lines if len(x) >= SHORT], False)
+        short = [(i, np.pad(x, 1, constant_values=32)) for i, x in lines if 0 < len(x) < SHORT]
+        self.short = Passages.__new__(Passages) if short else None
+        if short:
+            self.short._index([(i, x) for i, x in short if len(x) >= Q], True)
+            self.short.tiny = [(i, _text(x)) for i, x in short if len(x) < Q]
+
+    def _index(self, lines: list[tuple[int | None, np.ndarray]], bounded: bool) -> None:
+        self.bounded, self.tiny, self.short = bounded, [], None
         self.ids, self.lines = [i for i, _ in lines], [x for _, x in lines]
         self.length = np.array([len(x) for x in self.lines], np.int64)
-        self.budget = np.floor(RATE * self.length).astype(np.int64)
+        self.budget = np.floor(RATE * (self.length - 2 * bounded)).astype(np.int64)
+        if bounded:
+            self.budget = np.minimum(self.budget, (self.length - Q) // Q)
         self.need = np.maximum(1, self.length - Q + 1 - Q * self.budget)
         hashes = [qgrams(x) for x in self.lines]
         every = np.concatenate(hashes) if hashes else np.zeros(0, U64)
@@ -159,9 +179,24 @@ class Passages:
     def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, begin, end, edits) of the passages in a text, in its own code points."""
         line, place = normalized(text)
-        if not self.ids or len(line) < SHORT - int(RATE * SHORT):
-            return []
+        found = self._found(line, place)
+        if self.short and len(line):
+            found |= self.short._found(np.pad(line, 1, constant_values=32), np.pad(place, 1, "edge"))
+        return [(i, a, b, e) for (i, a, b), e in sorted(
+            found.items(), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[0][1:]))]
+
+    def _found(self, line: np.ndarray, place: np.ndarray) -> dict[tuple, int]:
+        """Edits by (item id, begin, end)."""
         found = {}
+        if self.tiny:
+            whole = _text(line)
+            for item, word in self.tiny:
+                at = whole.find(word)
+                while at >= 0:
+                    found[item, int(place[at + 1]), int(place[at + len(word) - 2]) + 1] = 0
+                    at = whole.find(word, at + 1)
+        if not self.ids or not self.bounded and len(line) < SHORT - int(RATE * SHORT):
+            return found
         overlap = 2 * self.longest + Q
         step = max(WINDOW, 2 * overlap)
         for lo in range(0, max(1, len(line) - overlap), step):
@@ -171,9 +206,13 @@ class Passages:
                 match = aligned(self.lines[k], window, int(low), int(low) + 2 * budget + 1, budget)
                 if match:
                     edits, begin, end = match
+                    if self.bounded:
+                        if window[begin] != 32 or window[end - 1] != 32 or end - begin < 3:
+                            continue
+                        begin, end = begin + 1, end - 1
                     spot = (self.ids[k], int(place[lo + begin]), int(place[lo + end - 1]) + 1)
                     found[spot] = min(edits, found.get(spot, edits))
-        return [(i, a, b, e) for (i, a, b), e in sorted(found.items())]
+        return found
 
 
 def _indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text"):
@@ -181,12 +220,12 @@ def _indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "t
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"),
                              F.col(item_text).cast("string").alias("text")).where(
-        "item_id IS NOT NULL AND text IS NOT NULL")
+        "text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-2 * chars // INDEX_CHARS))
     for k in range(passes):
         # About INDEX_CHARS / 2 characters of passages.
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy(
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy(
             "item_id", "text").toArrow()
         yield spark.sparkContext.broadcast(Passages(part.column(0).to_pylist(),
                                                     part.column(1).to_pylist()))
@@ -215,7 +254,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text:
 
 
 def unsearched(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The passages that ``find`` leaves out because they are too short."""
+    """The passages shorter than SHORT, of which ``find`` only takes whole words and fewer edits."""
     def run(batches):
         for batch in batches:
             short = [len(normalized(t)[0]) < SHORT for t in batch.column(1).to_pylist()]

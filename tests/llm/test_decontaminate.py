@@ -94,3 +94,19 @@ def test_finds_all_within_the_budget(spark, table):
         dc.INDEX_CHARS = small
     assert dc.find(docs, bench.where("false")).count() == 0
     assert dc.find(docs.where("false"), bench).count() == 0
+
+
+def test_short_passages_and_null_item_ids(spark, table):
+    bench = table([(1, "What is the capital of Australia?"), (2, "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc"),
+                   (3, "forty two"), (4, "Ohm"), (5, "!?"), (None, "Null ids are passages of their own as well, says this one."),
+                   (None, "another without id")], "item_id long, text string")
+    docs = table([(1, "They ask: what is  the capital of Australia? It is."), (2, "what is the capitel of australia"),
+                  (3, "somewhat is the capital of Australians"), (4, "\u95ee\u9898\uff1a\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f"),
+                  (5, "forty-two!"), (6, "one ohm."), (7, "ohms forty twos"),
+                  (8, "null ids are passages of their own as well says this one"), (9, "another, without id"),
+                  (10, "x " * 70000 + "forty two"), (11, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.begin, r.end, r.edits) for r in dc.find(docs, bench).collect()), key=str)
+    pairs = {(d, i) for d, i, *_ in got}
+    assert pairs == {(1, 1), (2, 1), (4, 2), (5, 3), (6, 4), (8, None), (9, None), (10, 3)}
+    assert (1, 1, 10, 43, 0) in got and (6, 4, 4, 7, 0) in got and (10, 3, 140000, 140009, 0) in got
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {3, 7, 11}
