@@ -192,6 +192,6 @@ def _(spark, d):
 @query("st_sliding_session_stream")
 def _(spark, d):
     out = shared_path(spark, "sessions")
-    closed = windows.sliding_sessions(events_stream(spark, d), "user_id", "ts")
-    runner.drain(closed, runner.to_folder(out), shared_path(spark, "state"))
-    return spark.read.parquet(out).select("user_id", "started", "expires", "requests")
+    every = windows.sliding_sessions(events_stream(spark, d), "user_id", "ts")
+    runner.drain(every, runner.to_folder(out), shared_path(spark, "state"), "complete")
+    return windows.last_batch(spark.read.parquet(out)).select("user_id", "started", "expires", "requests")

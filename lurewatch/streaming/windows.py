@@ -18,13 +18,23 @@ def rolling_verdicts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def sliding_sessions(stream: DataFrame, user: str = "user_id", when: str = "timestamp",
-                     gap: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Closed sessions per user; a request exactly one gap after the last opens a new one."""
-    return stream.withWatermark(when, delay).groupBy(
+                     gap: str = "1 day") -> DataFrame:
+    """Sessions per user, open ones too; a request exactly one gap after the last opens a new one.
+
+    For the mode "complete" (session windows have no update mode): every batch gives all sessions so far,
+    no request is late, and the state holds one row per session.
+    """
+    return stream.groupBy(
         user, F.session_window(when, gap).alias("w")).agg(F.count("*").alias("requests")).select(
         user, F.col("w.start").alias("started"), F.col("w.end").alias("expires"), "requests")
 
 
+def last_batch(written: DataFrame) -> DataFrame:
+    """The rows of the newest batch that ``runner.to_folder`` wrote, in mode "complete" the whole result."""
+    newest = written.agg(F.max("batch")).first()[0]
+    return written.filter(F.col("batch") == newest).drop("batch")
+
+
 def activity_rows(stream: DataFrame) -> DataFrame:
     """Login and logout events as activity log rows."""
     return stream.filter(F.col("action").isin("login", "logout")).select(

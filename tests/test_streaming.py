@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lurewatch.operators import spacing
+from lurewatch.operators import sessions, spacing
 from lurewatch.streaming import check_stream, feedback, runner, windows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -67,3 +67,21 @@ def test_rolling_window_drops_late_rows(spark, tmp_path):
     stored = spark.read.parquet(out).groupBy("check_date").agg(
         F.max_by(F.struct("safe_count", "phishing_count"), "batch").alias("c")).collect()
     assert {r["check_date"]: tuple(r["c"]) for r in stored} == {"2024-01-01": (1, 0), "2024-01-06": (1, 1)}
+
+
+def test_session_windows_hold_every_request(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    kind = "user_id bigint, ts timestamp"
+    # Sessions that go on over deliveries, are open at the end, or get a late request.
+    parts = [[(1, at(0)), (1, at(20)), (2, at(5))], [(1, at(39)), (2, at(90)), (3, at(91))], [(2, at(6)), (3, at(92))]]
+    for rows in parts:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(kind).parquet(source)
+        runner.drain(windows.sliding_sessions(stream, "user_id", "ts"), runner.to_folder(out), state, "complete")
+    columns = ["user_id", "started", "expires", "requests"]
+    got = windows.last_batch(spark.read.parquet(out)).select(*columns).collect()
+    every = spark.createDataFrame(sum(parts, []), kind)
+    want = sessions.sliding_sessions(every, "user_id", "ts").select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert sum(r["requests"] for r in got) == len(sum(parts, []))
