@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each on its whole table, with production parameters."""
+"""Registered queries of the operators: each on its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import (chat_format, decontaminate, html_text, language_id, minhash, mixing, sharding,
-                           token_files, topk, toxicity)
-from lurewatch.llm.common import held_out, in_training, read
+from lurewatch.llm import (chat_format, decontaminate, fill_middle, html_text, language_id, minhash, mixing,
+                           sharding, token_files, topk, toxicity)
+from lurewatch.llm.common import held_out, in_training, read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,37 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(read(spark, folder, "documents"),
                                   public_tokenizers.path("word_bpe_49k.json"))
+
+
+SQL_FILL_MIDDLE = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+h AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS h1,
+         CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS h2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, array_to_string(u[1:least(h1, h2)], '') AS p,
+         array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m,
+         array_to_string(u[greatest(h1, h2) + 1:], '') AS s
+  FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op12_fill_middle", SQL_FILL_MIDDLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    kept = stored(fill_middle.store(read(spark, folder, "documents")), "frames")
+    return fill_middle.digest(fill_middle.transform(kept))
