@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.llm import (chat_format, decontaminate, fill_middle, html_text, language_id, minhash, mixing,
-                           sharding, token_files, topk, toxicity)
+                           sharding, token_files, topk, toxicity, vector_codes)
 from lurewatch.llm.common import held_out, in_training, read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,46 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
                                   public_tokenizers.path("word_bpe_49k.json"))
 
 
+_PART_DISTANCE = ("CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+                  " AS BIGINT)")
+
+
+def _lloyd(k: int) -> str:
+    """One round in SQL: the nearest entry of each part, then the floor of the mean per entry."""
+    floor = "(sum({0}) - (sum({0}) % count(*) + count(*)) % count(*)) // count(*)"
+    mean = ", ".join(f"CAST({floor.format(f'x[{j}]')} AS BIGINT)" for j in range(1, 5))
+    return f"""
+a{k} AS (SELECT r, p, x, arg_min(j, (d, j)) AS j FROM (
+    SELECT r, p, x, j, {_PART_DISTANCE} AS d FROM x JOIN c{k} USING (p)) GROUP BY r, p, x),
+m{k} AS (SELECT p, j, [{mean}] AS c FROM a{k} GROUP BY p, j),
+c{k + 1} AS (SELECT p, j, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (p, j)),"""
+
+
+SQL_VECTOR_CODES = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, e[p * 4 + 1:p * 4 + 4] AS x FROM v, range(16) t(p)),
+s AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM v ORDER BY vec_id LIMIT 64),
+c0 AS (SELECT p, j, x AS c FROM x JOIN s USING (r)),{_lloyd(0)}{_lloyd(1)}
+f AS (SELECT r, p, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT r, p, j, {_PART_DISTANCE} AS d FROM x JOIN c2 USING (p)) GROUP BY r, p),
+o AS (
+  SELECT vec_id, label, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM f JOIN v USING (r) GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) FROM c2) AS codebooks_sha256
+FROM o
+"""
+
+
+@query("op11_vector_codes", SQL_VECTOR_CODES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(read(spark, folder, "embeddings")).drop("label")
+
+
 SQL_FILL_MIDDLE = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t,
