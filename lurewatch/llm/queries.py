@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch.llm import (chat_format, decontaminate, fill_middle, html_text, language_id, minhash, mixing,
-                           sharding, token_files, topk, toxicity, vector_codes)
+                           sharding, simhash, token_files, topk, toxicity, vector_codes)
 from lurewatch.llm.common import held_out, in_training, read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,15 @@ FROM p
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     kept = stored(fill_middle.store(read(spark, folder, "documents")), "frames")
     return fill_middle.digest(fill_middle.transform(kept))
+
+
+@query("op13_simhash_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    made = stored(simhash.compare(read(spark, folder, "documents")), "fingerprints")
+    every = simhash.near_counts(made, F.pmod("doc_id", F.lit(100)) == 0)
+    own = F.col("fingerprint")
+    return every.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_text(own).alias("fingerprint"),
+        simhash.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        simhash.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        simhash.likeness(own, F.col("next_fingerprint")).alias("near_next"), "near_found")
