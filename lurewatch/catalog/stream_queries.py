@@ -76,12 +76,15 @@ def _(spark, d):
     return spark.read.parquet(out).select("id")
 
 
-@query("st_sliding_session", """
+SLIDING_SESSION = """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS started, max(ts) AS last_request,
-  count(*) AS requests, max(ts) + INTERVAL 1 DAY AS expires FROM n GROUP BY user_id, session""")
+  count(*) AS requests, max(ts) + INTERVAL 1 DAY AS expires FROM n GROUP BY user_id, session"""
+
+
+@query("st_sliding_session", SLIDING_SESSION)
 def _(spark, d):
     return sessions.sliding_sessions(read_table(spark, d, "events"), "user_id", "ts")
 
@@ -99,16 +102,49 @@ def _(spark, d):
     return sessions.single_session(fx.activity(spark, d)).select("id", "username", "outcome")
 
 
-@query("st_single_session_stream", SINGLE_SESSION, "activity_fx")
-def _(spark, d):
-    source, out, state = (shared_path(spark, n) for n in ("activity", "sessions", "state"))
-    rows = fx.activity(spark, d)
-    schema, day = rows.schema, F.dayofmonth("timestamp")
+def delivered(spark, rows, when: str, judge, mode: str = "append"):
+    """Deliver ``rows`` in three parts to a stream that goes on from its state; what it wrote."""
+    source, out, state = (shared_path(spark, n) for n in ("delivered", "told", "state"))
+    schema, day = rows.schema, F.dayofmonth(when)
     for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
         rows.filter(part).write.mode("append").parquet(source)
         stream = pin(spark).readStream.schema(schema).parquet(source)
-        runner.drain(stream, stream_sessions.writer(out), state)
-    return spark.read.parquet(f"{out}/outcomes").select("id", "username", "outcome")
+        runner.drain(judge(stream), runner.to_folder(out), state, mode)
+    return spark.read.parquet(out)
+
+
+@query("st_single_session_stream", SINGLE_SESSION, "activity_fx")
+def _(spark, d):
+    # A name is an account here.
+    told = delivered(spark, fx.activity(spark, d), "timestamp",
+                     lambda s: stream_sessions.account_outcomes(s, "username"), "update")
+    return told.select("id", "username", "outcome")
+
+
+# The account's state is walked event by event: a session ends a day after its last login or valid request.
+ACCOUNT_OUTCOMES = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT id, user_id, is_admin, action, CAST(floor(epoch(timestamp)) AS BIGINT) AS sec,
+  row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(timestamp)), id) AS n FROM account_fx),
+walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS outcome,
+    CAST(NULL AS BIGINT) AS expiry FROM e
+  UNION ALL SELECT user_id, n, id, outcome, CASE WHEN outcome IN ('accepted', 'valid') THEN sec + 86400
+      WHEN outcome = 'logout' THEN NULL ELSE expiry END
+  FROM (SELECT e.user_id, e.n, e.id, e.sec, w.expiry, CASE WHEN e.action = 'logout' THEN 'logout'
+      WHEN e.action = 'login' THEN CASE WHEN e.is_admin OR w.expiry IS NULL OR e.sec >= w.expiry THEN 'accepted' ELSE 'refused' END
+      WHEN e.sec <= w.expiry THEN 'valid' ELSE 'invalid' END AS outcome
+    FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT id, user_id, outcome FROM walk WHERE n > 0"""
+
+
+@query("st_single_session_requests", ACCOUNT_OUTCOMES, "account_fx")
+def _(spark, d):
+    return sessions.account_outcomes(fx.account_events(spark, d)).select("id", "user_id", "outcome")
+
+
+@query("st_single_session_requests_stream", ACCOUNT_OUTCOMES, "account_fx")
+def _(spark, d):
+    told = delivered(spark, fx.account_events(spark, d), "timestamp", stream_sessions.account_outcomes, "update")
+    return told.select("id", "user_id", "outcome")
 
 
 def events_stream(spark, d):
@@ -189,9 +225,10 @@ def _(spark, d):
     return spark.read.parquet(out).withColumn("n", latest).filter("n = 1").drop("n", "batch")
 
 
-@query("st_sliding_session_stream")
+@query("st_sliding_session_stream", SLIDING_SESSION)
 def _(spark, d):
-    out = shared_path(spark, "sessions")
-    every = windows.sliding_sessions(events_stream(spark, d), "user_id", "ts")
-    runner.drain(every, runner.to_folder(out), shared_path(spark, "state"), "complete")
-    return windows.last_batch(spark.read.parquet(out)).select("user_id", "started", "expires", "requests")
+    told = delivered(spark, read_table(spark, d, "events"), "ts",
+                     lambda s: stream_sessions.sliding_sessions(s, "user_id", "ts"), "update")
+    found = stream_sessions.newest(told)
+    along = Window.partitionBy("user_id").orderBy("started")
+    return found.withColumn("session", F.row_number().over(along).cast("bigint"))

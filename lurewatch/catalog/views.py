@@ -132,6 +132,11 @@ FROM rows_fx r LEFT JOIN lists_fx l ON r.id = l.key""",
 SELECT event_id AS id, user_id, username, is_admin,
        CASE WHEN event_type = 'signup' THEN 'login' ELSE 'logout' END AS action, ts AS timestamp
 FROM events JOIN users_fx u ON user_id = u.id WHERE event_type IN ('signup', 'view')""",
+    "account_fx": """
+SELECT event_id AS id, user_id, username, is_admin,
+       CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'logout' ELSE 'request' END AS action,
+       ts AS timestamp
+FROM events JOIN users_fx u ON user_id = u.id""",
     "feedback_fx": """
 SELECT event_id AS id, user_id,
        CASE event_type WHEN 'error' THEN 'bug_report' WHEN 'purchase' THEN 'feature_request'
@@ -189,6 +194,7 @@ NEEDS = {
     "lists_fx": ["vendor_fx"],
     "history_fx": ["rows_fx", "lists_fx"],
     "activity_fx": ["users_fx"],
+    "account_fx": ["users_fx"],
     "proc_fx": ["email_fx"],
     "feats_fx": ["proc_fx"],
     "raw_fx": ["proc_fx"],

@@ -4,7 +4,7 @@ A rejected row does not extend the wait, so each decision depends on the one bef
 hot key off a single task, its time line is cut into chunks of about one day. A chunk holds at most
 one entry per second (the stored resolution). Chunks that no wait can cross are decided alone;
 where one can, each chunk is summarised as "earliest allowed second -> earliest allowed second
-after the chunk", the short summaries are chained per key, and every chunk is then decided.
+after the chunk", the summaries are combined in a tree (``steps``), and every chunk is then decided.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lurewatch.operators import steps
+
 DAY = 86_400
 ANY_TIME = -(2**62)
 
@@ -80,24 +82,14 @@ def accepted_ids(df: DataFrame, keys: list[str], when: str, row_id: str, horizon
         F.col("n") > 1)
 
     summary = _summary_udf(horizon, chunk)(F.transform("entries", lambda e: e["sec"]))
-    functions = chunks.join(linked, [*keys, "chunk"]).select(*keys, "run", "chunk", summary.alias("f"))
-    carried = functions.groupBy(*keys, "run").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("steps"))
-
-    def advance(acc: Column, s: Column) -> Column:
-        at = F.array_position(
-            F.transform(s["f"]["heads"], lambda h: h >= acc["next"]), F.lit(True))
-        return F.struct(
-            F.coalesce(F.try_element_at(s["f"]["nexts"], F.nullif(at, F.lit(0)).cast("int")),
-                       acc["next"]).alias("next"),
-            F.array_append(acc["out"], F.struct(
-                s["chunk"].alias("chunk"), acc["next"].alias("allowed"))).alias("out"))
-
-    start = F.struct(F.lit(ANY_TIME).alias("next"),
-                     F.array().cast("array<struct<chunk:bigint,allowed:bigint>>").alias("out"))
-    entered = carried.select(*keys, F.explode(
-        F.aggregate("steps", start, advance, lambda acc: acc["out"])).alias("o")).select(
-        *keys, "o.chunk", "o.allowed")
+    functions = chunks.join(linked, [*keys, "chunk"]).select(
+        *keys, "run", F.col("chunk").alias("place"), summary.alias("f")).select(
+        *keys, "run", "place", "f.heads", "f.nexts", (F.col("place") * chunk + horizon).alias("most"))
+    # Only the time range decides how many rounds the tree has.
+    ends = df.agg(F.min(F.unix_seconds(when)).alias("lo"), F.max(F.unix_seconds(when)).alias("hi")).first()
+    entered = steps.entries(functions, [*keys, "run"], ANY_TIME, (ends.lo or 0) // chunk,
+                            (ends.hi or 0) // chunk).select(
+        *keys, F.col("place").alias("chunk"), F.col("entry").alias("allowed"))
 
     resolved = chunks.join(entered, [*keys, "chunk"], "left")
     kept = _keep(F.col("entries"), F.coalesce("allowed", F.lit(ANY_TIME)), horizon)

@@ -108,6 +108,17 @@ def activity(spark: SparkSession, d: str) -> DataFrame:
         .alias("action"), F.col("ts").alias("timestamp"))
 
 
+def account_events(spark: SparkSession, d: str) -> DataFrame:
+    """Logins, logouts and, as every other event, requests of known users."""
+    people = users(spark, d).select(F.col("id").alias("uid"), "username", "is_admin")
+    events = read_table(spark, d, "events")
+    kind = F.col("event_type")
+    return events.join(people, events["user_id"] == people["uid"]).select(
+        F.col("event_id").alias("id"), "user_id", "username", "is_admin",
+        F.when(kind == "signup", F.lit("login")).when(kind == "view", F.lit("logout"))
+        .otherwise(F.lit("request")).alias("action"), F.col("ts").alias("timestamp"))
+
+
 def feedback_columns(events: DataFrame) -> DataFrame:
     event = F.col("event_type")
     return events.select(
