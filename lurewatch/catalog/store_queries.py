@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lurewatch.catalog.history_queries import COUNTS
 from lurewatch.catalog.registry import query
 from lurewatch.catalog.stream_queries import HANDLER, spaced
+from lurewatch.catalog.verdict_queries import INPUTS, list_rollup
 from lurewatch.operators import mail, spacing
-from lurewatch.plans import exports
+from lurewatch.plans import exports, indicator_check
 from lurewatch.session import shared_path
 from lurewatch.sources import fixtures as fx
 from lurewatch.sources import sinks
@@ -35,6 +36,29 @@ def _(spark, d):
         "id", "input_string", "input_type", "main_verdict", "user_id", "analysis_date", "timezone")
 
 
+@query("snk_history_batches", f"""
+WITH {INPUTS}
+SELECT id, input_string, is_malicious, main_verdict, user_id,
+  CAST(CAST(analysis_date AS DATE) AS VARCHAR) AS day FROM rows_fx
+UNION ALL SELECT -1 - m.id, m.input, CAST(m.is_malicious AS INTEGER), {list_rollup('vendors')}, r.user_id,
+  '2024-01-31' FROM merged m JOIN rows_fx r ON r.id = m.id WHERE m.input_type = 'url'""",
+       "rows_fx reports_fx second_fx")
+def _(spark, d):
+    path = shared_path(spark, "history")
+    rows = fx.history_rows(spark, d)
+    early = F.dayofmonth("analysis_date") <= 15
+    for name, part in (("early", early), ("late", ~early), ("early", early)):
+        sinks.append_history(rows.filter(part), path, name, 1000)
+    again = rows.filter("input_type = 'url'").select("id", F.col("input_string").alias("input"), "user_id")
+    checked = indicator_check.check(again, fx.reports(spark, d), fx.second_feed(spark, d), reanalysis=True)
+    sinks.append_history(checked.select(
+        (-1 - F.col("id")).alias("id"), F.col("input").alias("input_string"), "input_type", "is_malicious",
+        "main_verdict", "community_score", "metadata", "vendor_analysis", "user_id",
+        F.lit(fx.AS_OF).alias("analysis_date")), path, "again")
+    return scan_history(spark, path).select(
+        "id", "input_string", "is_malicious", "main_verdict", "user_id", F.col("analysis_day").cast("string").alias("day"))
+
+
 @query("snk_feedback_append", spaced(
     "feedback_fx", [*HANDLER, "message"], 60, "submission_date") + """
 SELECT f.id, f.user_id, f.feedback_type, f.message FROM feedback_fx f

@@ -26,8 +26,8 @@ def flatten_reports(reports: DataFrame, *keys: str) -> DataFrame:
                        verdicts.categorize(category, F.col("entry.result")).alias("verdict"))
 
 
-def report_columns(reports: DataFrame) -> DataFrame:
-    """Score, flag, vendor list and type-specific metadata of each report."""
+def report_columns(reports: DataFrame, *more: str) -> DataFrame:
+    """Score, flag, vendor list and type-specific metadata of each report, and the columns ``more``."""
     stats = F.col("last_analysis_stats")
     listed = F.transform(
         F.map_entries("last_analysis_results"),
@@ -39,7 +39,7 @@ def report_columns(reports: DataFrame) -> DataFrame:
         verdicts.community_score(stats).alias("community_score"),
         F.coalesce(verdicts.stats_malicious(stats), F.lit(False)).alias("is_malicious"),
         F.coalesce(F.array_sort(listed), F.array().cast(verdicts.VENDORS)).alias("vendors"),
-        metadata_by_type(reports).alias("metadata"))
+        metadata_by_type(reports).alias("metadata"), *more)
 
 
 def metadata_by_type(reports: DataFrame):
@@ -77,6 +77,30 @@ def latest_reports(reports: DataFrame, version: str) -> DataFrame:
     return reports.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+REPORT_KEYS, FEED_KEYS = ["indicator_type", "indicator"], ["url"]
+
+
+def current_reports(reports: DataFrame, version: str) -> tuple[DataFrame, list[str]]:
+    """Reports as ``sources.current`` keeps them, and the columns that tell the newest of a key.
+
+    The rolled-up columns stand beside the version and, for equal versions, the content: as in
+    ``latest_reports`` the smallest hash counts, so its digits are turned round.
+    """
+    content = F.sha2(F.to_json(F.struct(*reports.columns)), 256)
+    turned = F.translate(content, "0123456789abcdef", "fedcba9876543210")
+    listed = report_columns(reports.select("*", F.struct(F.col(version), turned.alias("turned")).alias("_place")),
+                            "_place")
+    return listed.withColumnRenamed("_place", "place"), ["place"]
+
+
+def current_feed(feed: DataFrame, version: str = "seen") -> tuple[DataFrame, list[str]]:
+    """Second-feed rows as ``sources.current`` keeps them, by the rule of ``newest_by_url``."""
+    have = [F.col(c) if c in feed.columns else F.lit(None).cast("string").alias(c) for c in FEED_FIELDS]
+    row = F.struct(*have)
+    order = [F.col(version)] if version in feed.columns else []
+    return feed.select("url", *have, F.struct(*order, F.to_json(row).alias("content")).alias("place")), ["place"]
+
+
 def join_reputation(checks: DataFrame, reputation: DataFrame) -> DataFrame:
     """Left join on (input_type, normalized_input). The table has one row per indicator, so the
     join never multiplies rows; hot indicators are split by adaptive skew handling."""
@@ -180,9 +204,13 @@ def merge_text_links(mails: DataFrame, urls: str = "text_urls", links: str = "li
         fresh, lambda u: F.struct(u.alias("url"), u.alias("text")))))
 
 
-def store_columns(checked: DataFrame) -> DataFrame:
-    """Main verdict and JSON columns, ready to append to history."""
+def store_columns(checked: DataFrame, reanalysis: bool = False) -> DataFrame:
+    """Main verdict and JSON columns, ready to append to history.
+
+    A check is flagged by its main verdict; a repeated analysis keeps the flag of its report.
+    """
     main = verdicts.main_verdict(F.col("vendors"))
+    flag = F.col("is_malicious") if reanalysis else F.col("main_verdict") != "safe"
     return checked.withColumn("main_verdict", main).withColumn(
-        "is_malicious", (F.col("main_verdict") != "safe").cast("int")).withColumn(
+        "is_malicious", flag.cast("int")).withColumn(
         "vendor_analysis", F.to_json("vendors"))

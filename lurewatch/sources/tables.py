@@ -32,4 +32,4 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 
 def scan_history(spark: SparkSession, path: str) -> DataFrame:
     """History as written by ``sinks.append_history``: day folders prune date filters."""
-    return pin(spark).read.parquet(path)
+    return pin(spark).read.parquet(path).drop("batch")
