@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lurewatch.llm.common import U64, Spans
 from lurewatch.session import shared_path
 
 BLOCK, PERCENT, SEGMENT = 128, 90, 1 << 20
 MAGIC = 0x31524650
 _HEAD = np.dtype("<u4")
 # Words a task remembers, pieces of one call of the tokenizer, bytes of text of one step.
-KNOWN_WORDS, LINE, PIECE = 500_000, 20_000, 1 << 22
+KNOWN_WORDS, LINE, PIECE = 2_000_000, 20_000, 1 << 23
 # Stops behind a word are a piece of their own for any tokenizer that cuts at letters.
 STOPS = ".,;:!?"
 
@@ -61,9 +62,8 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, null_id: np.ndarray, ends: np.nda
     data = np.zeros(int(starts[-1]), np.uint8)
     for w in np.unique(width[width > 0]):
         those = np.flatnonzero(width == w)
-        bits = (gap[those][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(those), -1), axis=1,
-                             bitorder="little")
+        bits = np.unpackbits(gap[those].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        packed = np.packbits(bits[:, :w].reshape(len(those), -1), axis=1, bitorder="little")
         data[(starts[those][:, None] + np.arange(packed.shape[1])).reshape(-1)] = packed.reshape(-1)
     return b"".join([
         np.array([MAGIC, len(doc_ids), n, blocks, len(at_block), len(data)], _HEAD).tobytes(),
@@ -105,9 +105,9 @@ class Segment:
         for w in np.unique(width[width > 0]):
             those = np.flatnonzero(width == w)
             cells = self.starts[lo:hi][those][:, None] + np.arange(int(w) * (BLOCK // 8))
-            bits = np.unpackbits(self.data[cells], axis=1, bitorder="little")
-            bits = bits.reshape(len(those), BLOCK, w).astype(np.uint32)
-            gap[those] = (bits << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            bits = np.zeros((len(those) * BLOCK, 32), np.uint8)
+            bits[:, :w] = np.unpackbits(self.data[cells], axis=1, bitorder="little").reshape(-1, w)
+            gap[those] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1, BLOCK)
         a, b = int(self.first_odd[lo]), int(self.first_odd[hi]) if hi > lo else 0
         if b > a:
             block = np.repeat(np.arange(hi - lo), np.diff(self.first_odd[lo:hi + 1]))
@@ -119,8 +119,13 @@ class Segment:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+def _is_word(piece: str) -> bool:
+    """Letters that a tokenizer may see in lower case without a change of their composition."""
+    return piece.isalpha() and piece.lower().isalpha() and is_normalized("NFC", piece)
+
+
 class Words:
-    """Ids of single words, kept from text to text.
+    """Ids of single words, kept from text to text under two 64-bit hashes of each word.
 
     A word is a piece of letters and a tail of stops, or one other piece. Where the tokenizer marks
     ends of words, many new letter pieces are encoded in one line: each ends at the next id whose token
@@ -140,10 +145,10 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.pieces, self.number = {"": 0}, {}
+        # Ascending by ``key``; ``check`` is the other hash.
+        self.key, self.check = np.zeros(0, U64), np.zeros(0, U64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
-        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.head, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -158,59 +163,101 @@ class Words:
             return self._one_by_one(pieces)
         return ids, np.diff(np.concatenate([[0], ends]))
 
-    def _learn(self, pieces: list[str], encode) -> None:
-        for lo in range(0, len(pieces), LINE):
-            part = pieces[lo:lo + LINE]
-            ids, sizes = encode(part)
-            starts = len(self.ids) + np.cumsum(sizes) - sizes
-            self.pieces.update(zip(part, range(len(self.pieces), len(self.pieces) + len(part))))
-            self.ids = np.concatenate([self.ids, ids])
-            self.start = np.concatenate([self.start, starts])
-            self.size = np.concatenate([self.size, sizes])
-
-    def _add(self, words: list[str]) -> None:
-        heads, tails = [], []
-        for w in words:
-            head = w.rstrip(STOPS)
-            if head.isascii() and head.isalpha():
-                head = head.lower()
-            elif not (head.isalpha() and head.lower().isalpha() and is_normalized("NFC", head)):
-                head = w
-            heads.append(head)
-            tails.append(w[len(head):])
-        new = set(heads).union(tails).difference(self.pieces)
-        lined = [x for x in new if x.isalpha() and x.lower().isalpha() and is_normalized("NFC", x)] \
-            if self.is_end is not None else []
-        self._learn(lined, self._in_lines)
-        self._learn(list(new.difference(lined)), self._one_by_one)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        at = self.pieces.__getitem__
-        self.head = np.concatenate([self.head, np.fromiter(map(at, heads), np.int64, len(heads))])
-        self.tail = np.concatenate([self.tail, np.fromiter(map(at, tails), np.int64, len(tails))])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces_of(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Head and tail of each word."""
+        heads = pc.utf8_rtrim(words, characters=STOPS)
+        plain = pc.and_(pc.string_is_ascii(heads), pc.utf8_is_alpha(heads))
+        tails = pc.replace_substring_regex(words, f"(?s)^.*?([{STOPS}]*)$", r"\1")
+        heads = pc.if_else(plain, pc.ascii_lower(heads), heads)
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        whole = np.zeros(len(words), bool)
+        whole[rest] = [not _is_word(x) for x in heads.take(rest).to_numpy(zero_copy_only=False)]
+        whole = pa.array(whole)
+        return pc.if_else(whole, words, heads), pc.if_else(whole, "", tails)
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in a line, start and number of each piece's ids."""
+        text = pieces.to_numpy(zero_copy_only=False)
+        lined = np.zeros(len(text), bool)
+        if self.is_end is not None:
+            lined = pc.and_(pc.string_is_ascii(pieces), pc.utf8_is_alpha(pieces)).to_numpy(zero_copy_only=False).copy()
+            rest = np.flatnonzero(~lined)
+            lined[rest] = [_is_word(x) for x in text[rest]]
+        ids, sizes, order = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        for those, encode in ((np.flatnonzero(lined), self._in_lines), (np.flatnonzero(~lined), self._one_by_one)):
+            for lo in range(0, len(those), LINE):
+                found, size = encode(text[those[lo:lo + LINE]].tolist())
+                ids.append(found)
+                sizes.append(size)
+            order.append(those)
+        size = np.zeros(len(text), np.int64)
+        start = np.zeros(len(text), np.int64)
+        order, run = np.concatenate(order), np.concatenate(sizes)
+        size[order], start[order] = run, np.cumsum(run) - run
+        return np.concatenate(ids), start, size
+
+    def _learn(self, words: pa.Array, key: np.ndarray, check: np.ndarray) -> None:
+        heads, tails = self._pieces_of(words)
+        coded = pa.concat_arrays([heads, tails]).dictionary_encode()
+        ids, start, size = self._encode_pieces(coded.dictionary)
+        run = coded.indices.to_numpy().reshape(2, -1).T.reshape(-1)
+        sizes = size[run]
+        first = np.cumsum(sizes) - sizes
+        line = ids[np.arange(sizes.sum()) + np.repeat(start[run] - first, sizes)]
+        size = sizes[0::2] + sizes[1::2]
+        begin = len(self.ids) + np.cumsum(size) - size
+        order = np.argsort(key)
+        at = np.searchsorted(self.key, key[order])
+        for name, more in (("key", key), ("check", check), ("start", begin), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, more[order]))
+        self.ids = np.concatenate([self.ids, line])
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words, and which of them are known."""
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        if not len(self.key):
+            return at, np.zeros(len(key), bool)
+        return at, (self.key[at] == key) & (self.check[at] == check)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a line, and each text's number of ids."""
-        lines = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for line in lines for w in line]
-        if len(self.number) > KNOWN_WORDS:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        _, places, data = words.buffers()
+        at = np.frombuffer(places, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[:at[-1]] if data is not None else np.zeros(0, np.uint8)
+        key, check = (Spans(x).hash(at[:-1], at[1:]) for x in (raw, raw.astype(np.int16) + 256))
+        if len(self.key) > KNOWN_WORDS:
             self.clear()
-        self._add(list(set(words).difference(self.number)))
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        run = np.stack([self.head[which], self.tail[which]], axis=1).reshape(-1)
-        sizes = self.size[run]
-        first = np.cumsum(sizes) - sizes
-        out = self.ids[np.arange(sizes.sum()) + np.repeat(self.start[run] - first, sizes)]
-        ends = 2 * np.cumsum([len(line) for line in lines])
+        place, known = self._find(key, check)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self._learn(words.take(new), key[new], check[new])
+            place, known = self._find(key, check)
+        if not known.all():
+            # Two words under one key: these texts are encoded as they are.
+            return _whole(self.tokenizer, texts)
+        which = place[coded.indices.to_numpy()]
+        sizes = self.size[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
+        out = self.ids[np.arange(total[-1]) + np.repeat(self.start[which] - total[:-1], sizes)]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         return out, np.diff(np.concatenate([[0], total[ends]]))
 
 
+def _whole(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lists = [e.ids for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    return (np.array([i for x in lists for i in x], np.uint32),
+            np.array([len(x) for x in lists], np.int64))
+
+
 @lru_cache(maxsize=2)
 def _words(path: str) -> Words:
     return Words(path)
 
 
-def encode(path: str, texts: list[str | None], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def encode(path: str, texts: list[str | None] | pa.Array, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts in a line, and each text's number of ids.
 
     The vocabularies meant here drop white space and never join characters across a space or a line
@@ -218,12 +265,8 @@ def encode(path: str, texts: list[str | None], whole: bool = False) -> tuple[np.
     encodes texts as they are, for tokenizers that look across spaces.
     """
     words = _words(path)
-    texts = [t or "" for t in texts]
-    if not whole:
-        return words.encode(texts)
-    lists = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    return (np.array([i for x in lists for i in x], np.uint32),
-            np.array([len(x) for x in lists], np.int64))
+    texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    return _whole(words.tokenizer, texts) if whole else words.encode(texts)
 
 
 def _pieces(column: pa.Array):
@@ -259,7 +302,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_column
                 piece = batch.slice(lo, hi - lo)
                 keys = piece.column(0)
                 flags = pc.is_null(keys).to_pylist()
-                line, size = encode(tokenizer, piece.column(1).to_pylist(), whole)
+                line, size = encode(tokenizer, piece.column(1), whole)
                 at = 0
                 for key, null, n in zip(pc.fill_null(keys, 0).to_pylist(), flags, size.tolist()):
                     ids += [line[at:at + n], end]
