@@ -113,6 +113,17 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         lo = hi
 
 
+def text_slices(batch: pa.RecordBatch, place: int, limit: int = CHUNK_BYTES):
+    """Slices of a batch with about ``limit`` bytes in its text column; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right"))
+        hi = max(hi, lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray):
     """Starts, ends and row numbers of the words ``[^\\x20\\x09-\\x0D]+`` of a chunk."""
     n = len(data)

@@ -7,8 +7,7 @@ is one pair of a hash of the first and a hash of the second collection, so table
 
 Defined cases: null or empty text has no shingles and links with nothing; a text of fewer words than a
 shingle has one, its whole word sequence; a null id is kept, without class; an id that repeats is
-judged row by row (near copies are sought for one of its texts, that of the smallest fingerprint), and
-equal rows fall in one class. An empty table gives an empty result. Extra columns are ignored.
+judged row by row, each text with its own links, and equal rows fall in one class. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurewatch.llm.common import (U64, Spans, fresh, lower_ascii, mix64, stored, text_chunks, words_of)
@@ -185,12 +184,11 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
          text: str) -> DataFrame:
     """(a, b) of confirmed links between representatives, enough of them to join every class.
 
-    Buckets are compared with one hub each, not pair by pair. Two members x and y of a hub that are
-    still in different classes share at most min(|x & hub|, |y & hub|) shingles of the hub. Pairs for
-    which that would be enough are compared; others must share so many shingles that the hub lacks
-    that, by the prefix filter, they share one of the first few of these. Members that do are a bucket
-    of the next round, which no longer holds the hub. After ROUNDS rounds the pairs of the small buckets
-    that still hold two classes are compared one by one. Nothing is dropped without such a bound.
+    Buckets are compared with one hub each, not pair by pair. Members of a hub that are still in
+    different classes may link with each other; by the prefix filter they then share one of their rarest
+    shingles (``_rarest``), and members that do are a bucket of the next round, which no longer holds the
+    hub. After ROUNDS rounds the pairs of the small buckets that still hold two classes are compared one
+    by one. Nothing is dropped without such a bound.
     """
     rows = stored(candidates(reps), "bands")
     # A bucket's hub is the text that meets the most others.
@@ -204,14 +202,11 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
         F.xxhash64("rid"), F.ceil(F.col("members") / TILE))).alias("place"))
     need = docs.where(F.col(id_column).isNotNull()).join(
         place.select(F.col("rid").alias(id_column)), id_column, "left_semi")
-    sets = stored(_sets(need, words, id_column, text).groupBy("rid").agg(
-        F.min_by("shingles", "fp1").alias("shingles")).join(place, "rid"), "sets")
+    sets = stored(_sets(need, words, id_column, text).join(reps.select("rid", "fp1"), ["rid", "fp1"])
+                  .groupBy("rid").agg(F.first("shingles").alias("shingles")).join(place, "rid"), "sets")
     enough = (100 + percent) * F.col("both") >= percent * (F.col("n") + F.col("nh"))
     # The largest set that could link with this one through the hub's shingles alone.
     reach = F.floor((100 + percent) * F.col("both") / F.lit(percent)) - F.col("n")
-    # Shingles outside the hub that a partner must share at least, and the prefix that shows it.
-    lacking = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100) - F.col("both"))
-    prefix = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - lacking + 1).cast("int"))
     pairs, edges = _pairs(star, True), None
     for number in range(ROUNDS + 1):
         checked = stored(verify(pairs, sets), "checked")
@@ -227,18 +222,7 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
             .where("lo != hi").select("hub", "least"))
         left = stored(named.join(split, "hub"), "open")
-        far = left.where("reach >= least").select("hub", "rid", "component", "n", "reach")
-        x, y = far.alias("x"), far.alias("y")
-        near = (x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.rid") < F.col("y.rid"))
-                       & (F.col("x.component") != F.col("y.component"))
-                       & (F.col("x.reach") >= F.col("y.n")) & (F.col("y.reach") >= F.col("x.n")))
-                .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
-        loose = left.select("rid", "component", "n", "both", F.size("own").alias("alone"),
-                            F.explode(prefix).alias("own"), "hub").select(
-            F.xxhash64("hub", "own").alias("key"), "rid", "component", "n", "both", "alone")
-        mixed = loose.groupBy("key").agg(F.min("component").alias("lo"),
-                                         F.max("component").alias("hi")).where("lo != hi")
-        again = loose.join(mixed.select("key"), "key")
+        again = stored(_rarest(left, sets, percent), "rare")
         if number < ROUNDS - 1:
             more = _stars(again.select("key", "rid"), popular)
         else:
@@ -249,7 +233,49 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
                                                  + F.least("x.alone", "y.alone"))
                               >= percent * (F.col("x.n") + F.col("y.n"))))
                     .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
-        pairs = stored(_pairs(more, number < ROUNDS - 1).union(_pairs(near, False)), "pairs")
+        pairs = stored(_pairs(more, number < ROUNDS - 1), "pairs")
+
+
+def _rarest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rid, component, n, both, alone): buckets in which members of a hub may still link.
+
+    ``left`` holds members (hub, rid) with their class, set size n, shingles shared with the hub (both)
+    and those the hub lacks (own). Two members share at most min(|x & hub|, |y & hub|) shingles of the
+    hub, so a link needs some outside it: at least ``percent`` of n less both. Members for which the hub's
+    part alone could do (reach) are asked once more with their whole sets, where a link needs ``percent``
+    of n. Of the shingles asked a member keeps as many as prove that a linked pair has one in common, the
+    rarest among the hub's members first: what thousands of them share stays out. Buckets of one class are
+    left out.
+    """
+    quota = F.ceil(F.lit(percent) * F.col("n") / 100)
+    outside = left.select("hub", "rid", "component", "n", "both", F.size("own").alias("alone"),
+                          F.greatest(F.lit(1), quota - F.col("both")).alias("needed"),
+                          F.lit(0).alias("part"), F.explode("own").alias("shingle"))
+    far = left.where("reach >= least").join(_unpacked(sets), "rid").select(
+        "hub", "rid", "component", "n", F.lit(0).cast("long").alias("both"), F.col("n").cast("int").alias("alone"),
+        F.greatest(F.lit(1), quota).alias("needed"), F.lit(1).alias("part"), F.explode("every").alias("shingle"))
+    asked = outside.unionByName(far).withColumn("key", F.xxhash64("hub", "part", "shingle"))
+    found = asked.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"),
+                                     F.max("component").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("rid", "hub", "part").orderBy("members", "shingle"))
+    return (asked.join(found, "key").withColumn("at", place)
+            .where((F.col("at") <= F.col("alone") - F.col("needed") + 1) & (F.col("lo") != F.col("hi")))
+            .select("key", "rid", "component", "n", "both", "alone"))
+
+
+def _unpacked(sets: DataFrame) -> DataFrame:
+    """(rid, every): the shingles of packed sets as numbers."""
+    def run(batches):
+        for batch in batches:
+            packed = batch.column(1).cast(pa.large_binary())
+            _, places, data = packed.buffers()
+            at = np.frombuffer(places, np.int64)[packed.offset:packed.offset + len(packed) + 1]
+            line = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(((at - at[0]) // 8).astype(np.int32)), pa.array(line))],
+                names=["rid", "every"])
+
+    return sets.select("rid", "shingles").mapInArrow(run, "rid long, every array<long>")
 
 
 def _pairs(rows: DataFrame, star: bool) -> DataFrame:
@@ -273,6 +299,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
     reps = stored(some.groupBy("fp1", "fp2", "n_shingles").agg(
         F.min("doc_id").alias("rid"), F.count("*").alias("copies"), F.first("left").alias("left"),
         F.first("right").alias("right")), "representatives")
+    if not reps.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _classes_by_row(docs, words, percent, id_column, text)
     edges = link(docs, reps.drop("copies"), words, percent, id_column, text)
     joined = components(edges)
     multiple = reps.where("copies > 1").select("fp1", "fp2", "rid")
@@ -289,24 +317,38 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str =
                                                F.lit(True)))
 
 
+def _classes_by_row(docs: DataFrame, words: int, percent: int, id_column: str, text: str) -> DataFrame:
+    """The same where an id stands for several texts: every row gets a key of its own."""
+    rows = stored(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+                  .withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = classes(rows.where("doc_id IS NOT NULL"), words, percent, "row").select(
+        F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("class"))
+    named = stored(found.join(rows.select("row", "doc_id"), "row"), "rows-of-classes")
+    least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    told = named.join(least, "class").select("doc_id", "n_shingles", "component_id",
+                                             (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    unnamed = sketch(rows.where("doc_id IS NULL"), words).select(
+        "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return told.unionByName(unnamed)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay: the smallest id of each class, equal rows once.
 
     Every row is judged by its own text, whatever its id. Rows with a null id are compared like others;
     one of those in a class stays, beside the smallest id if there is one.
     """
-    names = fresh(docs, "_row")
+    names = fresh(docs, "_row", "_key")
     # The key holds for every later read, because the rows are stored with it.
     rows = stored(docs.withColumn(names["_row"], F.monotonically_increasing_id()), "rows")
     row = F.col(names["_row"])
     found = classes(rows, words, percent, id_column=names["_row"]).select(
-        F.col("doc_id").alias("_key"), F.col("component_id").alias("_class"))
-    mine = rows.select(row.alias("_key"), F.col("doc_id").alias("_id"),
-                       F.xxhash64("text").alias("_hash"))
-    kept = (found.join(mine, "_key").groupBy("_class", F.col("_id").isNull().alias("_unnamed"))
-            .agg(F.min(F.struct(F.col("_id").cast("long").alias("_number"), "_id", "_hash", "_key")).alias("_m"))
-            .select(F.col("_m._key").alias("_key")))
-    stay = rows.join(kept, row == F.col("_key"), "left_semi").select(*docs.columns)
+        F.col("doc_id").alias("key"), F.col("component_id").alias("class"))
+    mine = rows.select(row.alias("key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = (found.join(mine, "key").groupBy("class", F.col("id").isNull().alias("unnamed"))
+            .agg(F.min(F.struct(F.col("id").cast("long").alias("number"), "id", "hash", "key")).alias("m"))
+            .select(F.col("m.key").alias(names["_key"])))
+    stay = rows.join(kept, row == F.col(names["_key"]), "left_semi").select(*docs.columns)
     # Texts without shingles are in no class: equal rows of one id once.
     return stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(
         stay.where("doc_id IS NULL"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, Spans, letters, mix64, schema_of
+from lurewatch.llm.common import U64, Spans, letters, mix64, schema_of, text_slices
 
 SAMPLE, LEAST, CHI = 2000, 3, 15.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -279,16 +279,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
     return made
 
 
-def _chunks(texts: list[str | None]):
-    """(first, end) of runs of whole texts, of about CHUNK characters each."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK or k == len(texts) - 1:
-            yield at, k + 1
-            at, size = k + 1, 0
-
-
 def below(docs: DataFrame, index: Index, limit: float, text: str = "text") -> DataFrame:
     """The rows whose own score is below ``limit``, with all their columns; ids play no part."""
     held = docs.sparkSession.sparkContext.broadcast(index)
@@ -296,10 +286,9 @@ def below(docs: DataFrame, index: Index, limit: float, text: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for at, end in _chunks(texts):
-                scores, _ = held.value.score(texts[at:end])
-                yield batch.slice(at, end - at).filter(pa.array(np.asarray(scores) < limit))
+            for part in text_slices(batch, place, CHUNK):
+                scores, _ = held.value.score(part.column(place).to_pylist())
+                yield part.filter(pa.array(np.asarray(scores) < limit))
 
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(
         run, schema_of(docs.withColumn(text, F.col(text).cast("string")), *docs.columns))
@@ -312,16 +301,14 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str =
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, end in _chunks(texts):
-                scores, near = held.value.score(texts[at:end])
+            for part in text_slices(batch, 1, CHUNK):
+                scores, near = held.value.score(part.column(1).to_pylist())
                 found = [[] if x is None else [
                     {"id": i, "cosine": c, "label": int(y)} for i, c, y in
                     zip(held.value.ids[x[0]].tolist(), x[1].tolist(), held.value.labels[x[0]])]
                     for x in near]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), pa.array(scores, pa.float64()),
-                     pa.array(found, entry)], names=["doc_id", "score", "evidence"])
+                    [part.column(0), pa.array(scores, pa.float64()), pa.array(found, entry)], names=["doc_id", "score", "evidence"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.col(text).cast("string").alias("text")).mapInArrow(

@@ -106,3 +106,18 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(edges).collect()}
     assert got == {i: 0 for i in range(1, n + 1)}
+
+
+def test_repeated_ids_keep_their_links(spark, table):
+    rng = random.Random(2)
+    text = lambda: [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+    one, two, three = text(), text(), text()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    # Ids 7 and 3 stand for two texts each; every one of these has a near copy under another id.
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (3, " ".join(three)), (3, near(one)), (9, near(two)),
+            (5, near(three)), (1, "alone in the table"), (None, " ".join(one)), (7, ""), (8, near(three))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.classes(
+        table(rows, "doc_id long, text string")).collect()), key=lambda r: tuple((x is None, x) for x in r))
+    want = [(7, 56, 3, False), (7, 56, 7, True), (3, 56, 3, True), (3, 56, 3, True), (9, 56, 7, False),
+            (5, 56, 3, False), (1, 1, 1, True), (None, 56, None, True), (7, 0, 7, True), (8, 56, 3, False)]
+    assert got == sorted(want, key=lambda r: tuple((x is None, x) for x in r))

@@ -40,3 +40,23 @@ def test_copies_among_null_ids(table):
     got = [(r.doc_id, (r.text or "")[:2], r._row) for r in minhash.one_of_each(docs).collect()]
     assert sorted(x[:2] for x in got if x[0]) == [(3, "c0"), (9, "a0")]
     assert sorted(x[1] for x in got if x[0] is None) == ["", "", "a0", "b0"]
+
+
+def test_stages_take_clashing_columns(spark, table):
+    extra = ["_key", "_row", "_class", "mix_key", "mix_size", "mix_shards", "_c0", "c0", "key"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in extra)
+    line = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcd"]
+    rows = [(i, line[i % 4], "s", *range(i, i + len(extra))) for i in range(12)] + [(None, None, None, *extra_of(extra))]
+    docs = table(rows, schema)
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(map(tuple, kept.where("doc_id IS NOT NULL").collect()))
+    assert found == sorted(rows[:4])
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+    out = corpus_pipeline.token_output(spark, mixed, SF)
+    assert out.count() == mixed.count()
+
+
+def extra_of(extra):
+    return [None] * len(extra)
