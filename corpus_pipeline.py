@@ -32,7 +32,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.copies(mixing.mix(docs, docs.columns), docs.columns).select(*docs.columns)
+    # The columns travel under plain numbers, so none clashes with a column of the mix.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    mixed = mixing.mix(docs.toDF(*names), names, id_column=of["doc_id"], text=of["text"], source=of["source"])
+    return mixing.copies(mixed, names).select(*names).toDF(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
