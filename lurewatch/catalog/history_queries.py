@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lurewatch import schema
@@ -9,7 +11,10 @@ from lurewatch.catalog.registry import query
 from lurewatch.functions import verdicts
 from lurewatch.operators import history, maintenance, stats
 from lurewatch.plans import exports
+from lurewatch.session import shared_path
+from lurewatch.sources import deletes, sinks
 from lurewatch.sources import fixtures as fx
+from lurewatch.sources.tables import scan_history
 
 COUNTS = """count(*) AS total_checks, count(*) FILTER (main_verdict <> 'safe') AS threats_detected,
   count(*) FILTER (main_verdict = 'phishing') AS phishing_count,
@@ -199,13 +204,37 @@ SELECT id, username,
   CASE WHEN session_expiry >= TIMESTAMP '2024-01-16' THEN session_expiry END AS session_expiry
 FROM users_fx""", "users_fx")
 def _(spark, d):
-    import datetime as dt
-
     as_of = dt.datetime(2024, 1, 16, tzinfo=dt.timezone.utc)
     return maintenance.expire_sessions(fx.users(spark, d), as_of).select(
         "id", "username", "session_token", "session_expiry")
 
 
+@query("upd_expire_sessions_stored", """
+SELECT id, username,
+  CASE WHEN session_expiry >= TIMESTAMP '2024-01-16' THEN session_token END AS session_token,
+  CASE WHEN session_expiry >= TIMESTAMP '2024-01-16' THEN session_expiry END AS session_expiry
+FROM users_fx""", "users_fx")
+def _(spark, d):
+    path = shared_path(spark, "users")
+    deletes.store_users(fx.users(spark, d), path, 0)
+    deletes.expire_sessions(spark, path, dt.datetime(2024, 1, 16, tzinfo=dt.timezone.utc), 1)
+    return spark.read.parquet(path).select("id", "username", "session_token", "session_expiry")
+
+
+@query("del_history_of_users", """
+SELECT id, input_string, user_id, analysis_date FROM rows_fx
+WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM users_fx WHERE session_token IS NOT NULL)
+  AND user_id NOT IN (SELECT id FROM users_fx WHERE is_admin)""", "rows_fx users_fx")
+def _(spark, d):
+    path, people = shared_path(spark, "history"), fx.users(spark, d)
+    sinks.append_history(fx.history_rows(spark, d), path)
+    # One deletion is folded into the files, the other one is still a mark.
+    deletes.delete_users(spark, path, people.filter(F.col("session_token").isNotNull()))
+    deletes.compact(spark, path)
+    deletes.delete_users(spark, path, people.filter("is_admin"))
+    return deletes.read_history(spark, path).select("id", "input_string", "user_id", "analysis_date")
+
+
 @query("upd_schema_value", """
 SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'machines' ELSE c_mktsegment END AS c_mktsegment
 FROM customer""")
@@ -336,8 +365,7 @@ FROM (SELECT {extra} FROM {source} ORDER BY analysis_date DESC, id DESC
        + _page("id, input_string, analysis_date", 3, 10, "picked"), "rows_fx")
 def _(spark, d):
     rows = history.filter_history(fx.history_rows(spark, d), verdict="phishing")
-    return history.page(rows.select("id", "input_string", "analysis_date"),
-                        [F.desc("analysis_date"), F.desc("id")], 3, 10)
+    return history.page_by_time(rows.select("id", "input_string", "analysis_date"), 3, 10)
 
 
 @query("lim_page_admin", "WITH picked AS (SELECT h.id, input_string, main_verdict, analysis_date, username "
@@ -348,8 +376,16 @@ def _(spark, d):
 def _(spark, d):
     rows = history.join_users(history.last_days(fx.history_rows(spark, d), fx.AS_OF, 90),
                               fx.users(spark, d))
-    return history.page(rows.select("id", "input_string", "main_verdict", "analysis_date", "username"),
-                        [F.desc("analysis_date"), F.desc("id")], 2, 25)
+    return history.page_by_time(
+        rows.select("id", "input_string", "main_verdict", "analysis_date", "username"), 2, 25)
+
+
+@query("lim_page_deep", _page("id, input_string, analysis_date", 37, 20, "rows_fx"), "rows_fx")
+def _(spark, d):
+    path = shared_path(spark, "history")
+    sinks.append_history(fx.history_rows(spark, d), path)
+    return history.page_by_time(scan_history(spark, path), 37, 20, most=50).select(
+        "id", "input_string", "analysis_date", "total", "pages", "first_row", "last_row")
 
 
 @query("set_export_logs", """

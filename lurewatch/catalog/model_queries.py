@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from lurewatch.catalog.registry import query
 from lurewatch.catalog.views import processed
 from lurewatch.functions import fixed_values as fv
+from lurewatch.functions import text
 from lurewatch.operators import mail, model, stats
-from lurewatch.plans import training
+from lurewatch.plans import mail_check, training
 from lurewatch.session import shared_path
 from lurewatch.sources import fixtures as fx
 from lurewatch.sources import mail as mail_source
 from lurewatch.sources import sinks
+from lurewatch.sources.tables import scan_history
 
 
 def corpus(spark, d):
@@ -67,6 +69,22 @@ def _(spark, d):
     return model.term_weights(base, stop_words=[])
 
 
+STOPS = "the of and to in is it by on not or at from with was are this".split()
+CUT_TERMS = TERMS.replace("terms AS (", """kept AS (SELECT id, list_filter(w, lambda x: x NOT IN ("""
+                          + ", ".join(f"'{w}'" for w in STOPS) + """)) AS w FROM words),
+terms AS (""").replace("""AS term
+  FROM words)""", """AS term
+  FROM kept)""").replace("count(DISTINCT id) AS df FROM", "count(DISTINCT id) AS df, count(*) AS tf FROM") + """
+ORDER BY tf DESC, term LIMIT 2000"""
+
+
+@query("ml_tfidf_cut", CUT_TERMS)
+def _(spark, d):
+    # A short stop list, so that SQL can state it; the cut and its ties are those of every model.
+    base = mail.featurize(corpus(spark, d)).select("id", "processed")
+    return model.with_idf(model.fit_text(base, stop_words=STOPS), spark)
+
+
 @query("ml_assemble")
 def _(spark, d):
     _, vectors = training.assemble(corpus(spark, d))
@@ -155,6 +173,50 @@ def _(spark, d):
                          F.col("badge.summary").alias("summary"), F.size("links").alias("n_links"))
 
 
+EMPTY = "r.id % 10 = 0"
+MAIL_FLOW = f"""
+SELECT r.id, CASE WHEN {EMPTY} THEN '' ELSE r.sender END AS input_string,
+  CASE WHEN {EMPTY} THEN '' ELSE 'Mail ' || r.id END AS subject, CASE WHEN {EMPTY} THEN '-' ELSE CAST(f.word_count AS VARCHAR) END AS words,
+  CASE WHEN {EMPTY} THEN 0 ELSE len(r.urls) END AS n_links, CASE WHEN r.id % 4 = 0 THEN sha256('Mail ' || r.id) ELSE '-' END AS attached,
+  CAST(r.id AS VARCHAR) AS date, CASE WHEN {EMPTY} THEN '' ELSE r.body END AS body,
+  CASE WHEN {EMPTY} THEN 0 ELSE len(r.urls) END AS n_payload_links, CASE WHEN r.id % 4 = 0 THEN 1 ELSE 0 END AS n_attached,
+  CASE WHEN {EMPTY} THEN 'Analysis Error' ELSE '-' END AS problem, TRUE AS agrees
+FROM raw_fx r JOIN feats_fx f ON f.id = r.id"""
+
+
+@query("ml_mail_flow", MAIL_FLOW, "raw_fx feats_fx")
+def _(spark, d):
+    i, no_body = F.col("id"), F.col("id") % 10 == 0
+    part = F.struct(F.lit("a.pdf").alias("filename"), F.lit("application/pdf").alias("content_type"),
+                    F.col("subject").cast("binary").alias("data"))
+    none = F.array().cast("array<struct<filename:string,content_type:string,data:binary>>")
+    mails = fx.emails(spark, d).drop("class").withColumns({
+        "body": F.when(~no_body, F.col("body")), "date": i.cast("string"), "user_id": i % 7,
+        "analysis_date": F.lit(fx.AS_OF),
+        "attachments": text.attachment_info(F.when(i % 4 == 0, F.array(part)).otherwise(none))})
+    out = shared_path(spark, "mails")
+    loaded = model.load_model(stored_model(spark, d))
+    for _ in range(2):
+        told = mail_check.deliver(mails, loaded, out, "all")
+    meta = lambda p: F.get_json_object("metadata", p)
+    dash = F.lit("-")
+    rows = scan_history(spark, told.history).select(
+        "id", "input_string", meta("$.subject").alias("subject"), F.coalesce(meta("$.features.word_count"), dash).alias("words"),
+        F.json_array_length(meta("$.embedded_links")).cast("bigint").alias("n_links"),
+        F.coalesce(meta("$.attachments[0].hash.sha256"), dash).alias("attached"), meta("$.date").alias("date"),
+        "is_malicious", "main_verdict", meta("$.confidence").cast("double").alias("told"))
+    payload = spark.read.schema("id bigint, body string, embedded_links array<struct<url:string>>, "
+                                "attachments array<struct<filename:string>>").json(told.payload).select(
+        "id", "body", F.size("embedded_links").cast("bigint").alias("n_payload_links"), F.size("attachments").alias("n_attached"))
+    scored = spark.read.parquet(told.scored).select(
+        "id", "is_phishing", "confidence", F.coalesce("problem.summary", dash).alias("problem"))
+    agrees = ((F.col("is_malicious") == F.col("is_phishing").cast("int")) & (F.col("told") == F.col("confidence"))
+              & (F.col("main_verdict") == F.when(F.col("is_phishing"), "phishing").otherwise("safe")))
+    return rows.join(payload, "id").join(scored, "id").select(
+        "id", "input_string", "subject", "words", "n_links", "attached", "date", "body", "n_payload_links",
+        "n_attached", "problem", agrees.alias("agrees"))
+
+
 @query("snk_model", "SELECT id, TRUE AS same FROM email_fx WHERE class IS NOT NULL", "email_fx")
 def _(spark, d):
     first = model.load_model(stored_model(spark, d))

@@ -228,6 +228,17 @@ def _(spark, d):
     return spark.read.parquet(out).withColumn("n", latest).filter("n = 1").drop("n", "batch")
 
 
+@query("st_rolling_metrics_week", """
+SELECT CAST(CAST(analysis_date AS DATE) AS VARCHAR) AS check_date,
+  count(*) FILTER (main_verdict = 'phishing') AS phishing_count, count(*) FILTER (main_verdict = 'malicious') AS malicious_count,
+  count(*) FILTER (main_verdict = 'suspicious') AS suspicious_count, count(*) FILTER (main_verdict = 'safe') AS safe_count
+FROM rows_fx WHERE analysis_date >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1""", "rows_fx")
+def _(spark, d):
+    told = delivered(spark, fx.history_rows(spark, d).select("analysis_date", "main_verdict"), "analysis_date",
+                     windows.rolling_verdicts, "update")
+    return windows.last_days(told, fx.AS_OF)
+
+
 @query("st_sliding_session_stream", SLIDING_SESSION)
 def _(spark, d):
     told = delivered(spark, read_table(spark, d, "events"), "ts",

@@ -105,7 +105,7 @@ MODEL_FEATURES = [
 TFIDF = {"max_terms": 2000, "min_df": 5, "max_df": 0.95}
 FOREST = {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 4, "seed": 42}
 BOOSTED = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8,
-           "featureSubsetStrategy": "0.8", "minInfoGain": 0.1, "seed": 42}
+           "featureSubsetStrategy": "0.8", "seed": 42}
 BOOSTED_RETRAIN = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "seed": 42}
 
 # --- fixed values: displayed feature weights ------------------------------------------

@@ -42,17 +42,26 @@ def featurize(mails: DataFrame, raw_text: bool = False) -> DataFrame:
         "_urls", "_links")
 
 
+METADATA = {"confidence": "confidence", "f": "features", "links": "embedded_links",
+            "attachments": "attachments", "date": "date"}
+
+
 def to_history(scored: DataFrame, input_rule: str = "body") -> DataFrame:
     """History columns of scored mails; input_string is the first 5000 characters of the body
-    (html when empty), or the sender (subject when empty) with ``input_rule='sender'``."""
+    (html when empty), or the sender (subject when empty) with ``input_rule='sender'``.
+
+    The metadata tell subject and sender and, of a scored mail, its confidence, features, links,
+    attachments and date.
+    """
     shown = {"body": F.substring(first_filled(F.col("body"), F.col("html")), 1, 5000),
              "sender": first_filled(F.col("sender"), F.col("subject"))}[input_rule]
     flag = F.col("is_phishing")
+    told = [F.col(c).alias(n) for c, n in METADATA.items() if c in scored.columns]
     return scored.select(
         shown.alias("input_string"), F.lit("email").alias("input_type"),
         flag.cast("int").alias("is_malicious"),
         F.when(flag, F.lit("phishing")).otherwise(F.lit("safe")).alias("main_verdict"),
         F.lit(None).cast("string").alias("community_score"),
-        F.to_json(F.struct("subject", "sender")).alias("metadata"),
+        F.to_json(F.struct("subject", "sender", *told)).alias("metadata"),
         F.lit("[]").alias("vendor_analysis"),
         *[F.col(c) for c in ("id", "user_id", "analysis_date") if c in scored.columns])

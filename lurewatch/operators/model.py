@@ -6,12 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+    IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
     StopWordsRemover, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions import explain, fixed_values as fv, text
@@ -52,6 +52,22 @@ def term_weights(df: DataFrame, min_df: float = fv.TFIDF["min_df"], max_df: floa
         "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("weight"))
 
 
+def top_terms(listed: DataFrame, max_terms: int, min_df: float, max_df: float) -> list[str]:
+    """The ``max_terms`` most frequent terms inside the document-count limits, ties by term.
+
+    The cut is made in Spark; the driver gets the vocabulary that the model holds anyway.
+    """
+    entry = lambda t, tf, df: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    marks = listed.select(F.explode(F.concat(
+        F.transform("_terms", lambda t: entry(t, 1, 0)),
+        F.transform(F.array_distinct("_terms"), lambda t: entry(t, 0, 1)))).alias("m")).select("m.*")
+    total = listed.agg(F.count("*").alias("n")).first().n
+    limit = lambda x: x if x >= 1 else x * total
+    counts = marks.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(
+        (F.col("df") >= limit(min_df)) & (F.col("df") <= limit(max_df)))
+    return [r.term for r in counts.orderBy(F.desc("tf"), "term").limit(max_terms).select("term").collect()]
+
+
 def fit_text(df: DataFrame, max_terms: int = fv.TFIDF["max_terms"],
              min_df: float = fv.TFIDF["min_df"], max_df: float = fv.TFIDF["max_df"],
              stop_words: list[str] | None = None) -> PipelineModel:
@@ -59,14 +75,14 @@ def fit_text(df: DataFrame, max_terms: int = fv.TFIDF["max_terms"],
 
     Spark's idf lacks the ``+ 1``, so the fitted idf vector (one entry per term) is raised by one.
     """
-    fitted = Pipeline(stages=[
-        *term_stages(stop_words),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms, minDF=min_df,
-                        maxDF=max_df),
-        IDF(inputCol="_tf", outputCol="_idf")]).fit(df)
-    raised = ElementwiseProduct(scalingVec=DenseVector(fitted.stages[-1].idf.toArray() + 1.0),
+    terms = PipelineModel(term_stages(stop_words))
+    listed = terms.transform(df)
+    counted = CountVectorizerModel.from_vocabulary(
+        top_terms(listed, max_terms, min_df, max_df), inputCol="_terms", outputCol="_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.transform(listed))
+    raised = ElementwiseProduct(scalingVec=DenseVector(idf.idf.toArray() + 1.0),
                                 inputCol="_tf", outputCol="_weights")
-    return PipelineModel([*fitted.stages[:-1], raised,
+    return PipelineModel([*terms.stages, counted, raised,
                           Normalizer(p=2.0, inputCol="_weights", outputCol="tfidf")])
 
 
@@ -179,7 +195,7 @@ def score(mails: DataFrame, model: PipelineModel, source: str = "file_upload") -
     """Score a batch of mails (id, body, html, subject, sender).
 
     ``confidence`` is always P(phishing). Service mails are forced to safe with 0.1; mails without a
-    body get the error record.
+    body get the whole error record: its explanation and badge, no features, links or heads.
     """
     filled = mails.withColumn("problem", explain.error_record(F.col("body")))
     base = mail.featurize(mail.with_links(filled))
@@ -191,10 +207,26 @@ def score(mails: DataFrame, model: PipelineModel, source: str = "file_upload") -
         .when(F.col("is_service_email"), F.lit(0.1)).otherwise(p)).withColumn(
         "is_phishing", F.col("problem").isNull() & ~F.col("is_service_email")
         & (F.col("prediction") == 1.0))
-    return staged.select(
+    told = staged.withColumns({
+        "explanation": explain.explain_model(F.col("f"), F.col("confidence"), F.col("is_service_email")),
+        "badge": explain.summary(F.col("is_phishing"), F.col("confidence")),
+        "quick_indicators": explain.quick_indicators(F.col("f"))})
+    empty = F.col("problem").isNotNull()
+    blank = {c: F.when(empty, F.lit("")).otherwise(F.col(c)) for c in ("subject", "sender", "body", "html")
+             if c in mails.columns}
+    return told.withColumns({
+        "explanation": _or_record(told, "explanation", empty), "badge": _or_record(told, "badge", empty),
+        "quick_indicators": _or_record(told, "quick_indicators", empty, F.lit(False)),
+        "f": F.when(~empty, F.col("f")),
+        "links": F.when(empty, F.array().cast(told.schema["links"].dataType)).otherwise(F.col("links")),
+        **blank}).select(
         *[c for c in mails.columns], "is_phishing", "confidence", "is_service_email", "f", "links",
-        explain.explain_model(F.col("f"), F.col("confidence"), F.col("is_service_email"))
-        .alias("explanation"),
-        explain.summary(F.col("is_phishing"), F.col("confidence")).alias("badge"),
-        explain.quick_indicators(F.col("f")).alias("quick_indicators"),
-        "problem", F.lit(source).alias("source"))
+        "explanation", "badge", "quick_indicators", "problem", F.lit(source).alias("source"))
+
+
+def _or_record(told: DataFrame, column: str, empty: Column, other: Column | None = None) -> Column:
+    """A struct, or for empty mails the fields of the error record, ``other`` where it has none."""
+    kind, record = told.schema[column].dataType, told.schema["problem"].dataType.names
+    rest = F.lit(None) if other is None else other
+    return F.when(~empty, F.col(column)).otherwise(F.struct(*[
+        (F.col("problem")[n] if n in record else rest.cast(kind[n].dataType)).alias(n) for n in kind.names]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def rolling_verdicts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
                           *[f"{v}_count" for v in fv.VERDICT_ORDER])
 
 
+def last_days(written: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
+    """The trend of the last ``days`` days from the day counts that ``runner.to_folder`` wrote: of each day
+    the newest batch; older days are not read further than their date."""
+    since = (as_of - dt.timedelta(days=days)).strftime("%Y-%m-%d")
+    counts = [f"{v}_count" for v in fv.VERDICT_ORDER]
+    return written.filter(F.col("check_date") >= since).groupBy("check_date").agg(
+        F.max_by(F.struct(*counts), "batch").alias("c")).select("check_date", "c.*")
+
+
 def sliding_sessions(stream: DataFrame, user: str = "user_id", when: str = "timestamp",
                      gap: str = "1 day") -> DataFrame:
     """Sessions per user, open ones too; a request exactly one gap after the last opens a new one.

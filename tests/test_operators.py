@@ -4,6 +4,8 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lurewatch import schema
@@ -268,3 +270,21 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "id bigint, user_id bigint, analysis_date timestamp, input_string string")
     pick = lambda d: sorted(map(tuple, history.recent_per_user(d, 5).collect()))
     assert pick(df.repartition(1)) == pick(df.repartition(17))
+
+
+def test_late_boosting_rounds_still_split(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        x = [rng.random() for _ in range(6)]
+        rows.append((i, float(x[0] + x[1] * x[2] + rng.gauss(0, 0.4) > 0.8), Vectors.dense(x)))
+    df = spark.createDataFrame(rows, ["id", "class", "features"])
+    fitted = model.boosted(maxIter=30).fit(df)
+    assert sum(t.numNodes > 1 for t in fitted.trees[-10:]) == 10
+
+
+def test_vocabulary_ties_go_by_term(spark):
+    df = spark.createDataFrame([(i, "bb aa cc dd" if i % 2 else "dd cc aa ee") for i in range(6)], "id int, processed string")
+    listed = PipelineModel(model.term_stages([])).transform(df)
+    assert model.top_terms(listed, 3, 2, 100) == ["aa", "cc", "dd"]
+    assert model.top_terms(listed, 3, 2, 0.5) == ["aa cc", "aa ee", "bb"]

@@ -7,8 +7,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from lurewatch.operators import history
 from lurewatch.plans import indicator_check
-from lurewatch.sources import current, sinks
+from lurewatch.sources import current, deletes, sinks
+from lurewatch.sources.mail import read_quoted_csv
 from lurewatch.sources.tables import scan_history
 from lurewatch.streaming import check_stream
 
@@ -103,3 +105,86 @@ def test_history_files_follow_rows(spark, tmp_path):
     assert scan_history(spark, path).count() == 2000
     sinks.append_history(rows.where("false"), path, "empty")
     assert scan_history(spark, path).count() == 2000
+
+
+def history_rows(spark, n=3000):
+    return spark.range(n).select(
+        "id", F.lit("x").alias("input_string"), F.lit("url").alias("input_type"), (F.col("id") % 40).alias("user_id"),
+        F.expr("timestamp'2024-01-01' + make_dt_interval(cast(id % 9 as int), 0, 0, cast(id % 13 as double))")
+        .alias("analysis_date"))
+
+
+def test_deletions(spark, tmp_path):
+    path = str(tmp_path / "history")
+    sinks.append_history(history_rows(spark).where("id < 1500"), path, 1)
+    sinks.append_history(history_rows(spark).where("id >= 1500"), path, 2)
+    left = lambda: {r.id for r in deletes.read_history(spark, path).select("id").collect()}
+    assert left() == set(range(3000)) and deletes.compact(spark, path) == []
+    rows = spark.read.parquet(path)
+    before = files(path)
+    gone = rows.where("id % 9 = 4 AND id < 700 OR id % 9 = 2 AND id >= 1500")
+    expected = set(range(3000)) - {r.id for r in gone.collect()}
+    for _ in range(2):
+        deletes.delete_rows(gone, path)
+    assert left() == expected and files(path) == before
+    assert deletes.compact(spark, path) == [dt.date(2024, 1, 3), dt.date(2024, 1, 5)]
+    assert left() == expected
+    days = lambda found: {f.split("analysis_day=")[1].split("/")[0] for f in found}
+    assert days(set(before) - set(files(path))) == {"2024-01-03", "2024-01-05"}
+    # All of day 3 in batch 2 is gone: its file stays and is covered by the marks.
+    deletes.delete_users(spark, path, spark.createDataFrame([(3,), (3,), (5,)], "id bigint"))
+    deletes.compact(spark, path)
+    assert left() == {i for i in expected if i % 40 not in (3, 5)}
+
+
+def test_expired_sessions_rewrite_their_buckets(spark, tmp_path):
+    path = str(tmp_path / "users")
+    kind = "id bigint, session_token string, session_expiry timestamp"
+    rows = [(i, "t", T0 + dt.timedelta(days=0 if i == 17 else 9)) for i in range(400)] + [(900, None, None)]
+    deletes.store_users(spark.createDataFrame(rows, kind), path, 0)
+    before = files(path)
+    deletes.expire_sessions(spark, path, dt.datetime(2024, 1, 5, tzinfo=dt.timezone.utc), 1)
+    assert len(set(before) - set(files(path))) == 1
+    got = {r.id: r.session_token for r in spark.read.parquet(path).collect()}
+    assert got.pop(17) is None and got.pop(900) is None and set(got.values()) == {"t"} and len(got) == 399
+
+
+def test_pages_by_time(spark, tmp_path):
+    path = str(tmp_path / "history")
+    rows = history_rows(spark).unionByName(history_rows(spark, 15).withColumns(
+        {"analysis_date": F.lit(None).cast("timestamp"), "id": F.col("id") + 5000}))
+    sinks.append_history(rows, path)
+    stored = scan_history(spark, path).select("id", "analysis_date", "analysis_day")
+    order = [F.desc("analysis_date"), F.desc("id")]
+    columns = ["id", "analysis_date", "total", "pages", "first_row", "last_row"]
+    for number, per, most in ((1, 10, 50), (7, 50, 100), (101, 30, 10), (43, 70, 10 ** 6), (302, 10, 5), (301, 10, 20), (400, 10, 5)):
+        want = history.page(stored, order, number, per).select(*columns).collect()
+        got = history.page_by_time(stored, number, per, most=most).select(*columns).collect()
+        assert list(map(tuple, got)) == list(map(tuple, want))
+    deep = history.page_by_time(stored, 55, 20, most=50)
+    assert "PartitionFilters: [isnotnull(analysis_day" in deep._jdf.queryExecution().executedPlan().toString()
+    assert history.page_by_time(stored.where("false")).count() == 0
+
+
+def test_csv_in_splits(spark, tmp_path):
+    rng = random.Random(3)
+    folder = tmp_path / "mails"
+    folder.mkdir()
+    cells, rows = ["plain", "two\nlines", 'a "quoted" word', "comma, and\n\n\nmore", "", "x" * 300, "end\n", '"', "é\r\nü"], []
+    for name, end in (("one.csv", "\n"), ("two.csv", "\r\n")):
+        part = [(str(i), rng.choice(cells), rng.choice(cells)) for i in range(400)]
+        rows += part
+        quoted = lambda c: '"' + c.replace('"', '""') + '"' if c else c
+        text = end.join(["n,Email Text,Email Type"] + [",".join(map(quoted, r)) for r in part]) + end
+        (folder / name).write_bytes(text.encode())
+    whole = spark.read.csv(str(folder), header=True, multiLine=True, escape='"', quote='"')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = read_quoted_csv(spark, str(folder))
+        assert lines.columns == ["n", "Email Text", "Email Type"]
+        tell = lambda df: sorted(tuple((c or "").replace("\r\n", "\n") for c in r) for r in df.collect())
+        got = tell(lines)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == tell(whole) == sorted(tuple(c.replace("\r\n", "\n") for c in r) for r in rows)
