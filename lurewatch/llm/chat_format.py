@@ -17,7 +17,7 @@ every control string, also of one that already holds backslashes there; ``unesca
 
 Defined cases: a null text or role is empty; turns of a conversation are ordered by turn (null first),
 role and text; repeated rows are turns of their own; rows with a null conversation id form one
-conversation; an empty table gives an empty result.
+conversation; an empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

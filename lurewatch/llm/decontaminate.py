@@ -16,8 +16,11 @@ words they can't be told from chance; their edits are at most as many as the lem
 one less than ``budget`` for some lengths, and those without a Q-gram must occur unchanged.
 
 Defined cases: a null or empty text has no hits; passages without a letter or digit occur nowhere; a null
-item id is a passage of its own and is reported as null; equal passages under several ids hit under each of them; rows that repeat an id are judged one by one and their equal hits
-are reported once; a null document id is reported as null; empty tables give an empty result.
+item id is a passage of its own and is reported as null; equal passages under several ids hit under each
+of them; rows that repeat an id are judged one by one and their equal hits are reported once; a null
+document id is reported as null; a very long passage is aligned with windows of its own length, in time that
+grows with the square of it; empty tables give an empty result. ``find`` ignores further columns, ``clean``
+carries them whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, char_table, code_points, mix64, schema_of
+from lurewatch.llm.common import U64, char_table, code_points, mix64, schema_of, stored
 
 Q, RATE, SHORT = 8, 0.1, 40
 INDEX_CHARS, WINDOW = 1 << 21, 1 << 16
@@ -216,7 +219,11 @@ class Passages:
 
 
 def _indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text"):
-    """Broadcast indexes of the passages, one per pass over the documents."""
+    """(broadcast index of some passages, whether another pass follows) of each pass over the documents.
+
+    An index is built when its pass begins. A pass that is followed by another is finished, and its index
+    released, before that: no task and no executor holds more than one.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"),
                              F.col(item_text).cast("string").alias("text")).where(
@@ -227,8 +234,8 @@ def _indexes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "t
         # About INDEX_CHARS / 2 characters of passages.
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy(
             "item_id", "text").toArrow()
-        yield spark.sparkContext.broadcast(Passages(part.column(0).to_pylist(),
-                                                    part.column(1).to_pylist()))
+        yield spark.sparkContext.broadcast(Passages(
+            part.column(0).to_pylist(), part.column(1).to_pylist())), k < passes - 1
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -237,7 +244,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text:
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.col(text).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for index in _indexes(benchmark, item_id, item_text):
+    for index, more in _indexes(benchmark, item_id, item_text):
         def run(batches, index=index):
             for batch in batches:
                 found = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(),
@@ -249,31 +256,26 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text:
                          (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                     names=["doc_id", "item_id", "begin", "end", "edits"])
 
-        out = out.unionByName(rows.mapInArrow(run, SCHEMA))
+        part = rows.mapInArrow(run, SCHEMA)
+        if more:
+            part = stored(part, "hits")
+            index.destroy()
+        out = out.unionByName(part)
     return out.distinct()
 
 
-def unsearched(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The passages shorter than SHORT, of which ``find`` only takes whole words and fewer edits."""
-    def run(batches):
-        for batch in batches:
-            short = [len(normalized(t)[0]) < SHORT for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(short, pa.bool_()))],
-                                             names=["item_id"])
-
-    return benchmark.select(F.col(item_id).cast("long").alias("item_id"),
-                            F.col(text).cast("string")).mapInArrow(run, "item_id long")
-
-
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a benchmark passage in their own text, with all their columns; ids play no part."""
     place = docs.columns.index("text")
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    for index in _indexes(benchmark):
+    for index, more in _indexes(benchmark):
         def run(batches, index=index):
             for batch in batches:
                 yield batch.filter(pa.array([not index.value.hits(t.as_py())
                                              for t in batch.column(place)], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema_of(docs, *docs.columns))
+        if more:
+            docs = stored(docs, "clean")
+            index.destroy()
     return docs

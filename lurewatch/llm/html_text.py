@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.llm.common import text_slices
+
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH, LINKS_HIGH = 0.15, 0.25, 0.4
 
@@ -69,9 +71,11 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "th": {"tr", "table"}, "option": {"select"}}
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 
-BAD_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
+BAD_TAGS = frozenset("nav aside footer menu dialog".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu "
-                      "menubar form toolbar".split())
+                      "menubar toolbar".split())
+# Bad unless they hold nearly all good text: pages of some frameworks stand in a form as a whole.
+FORM_TAGS = frozenset("form fieldset".split())
 BAD_WORDS = frozenset("""
 ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment
 comments commentlist consent cookie cookies copyright disqus disclaimer dropdown feedback foot footer
@@ -89,12 +93,13 @@ STATE_PARTS = frozenset("has no not with without is hide show tag tags category
 READERS = frozenset("comment comments commentlist disqus discussion feedback replies reply respond "
                     "responses reviews".split())
 # So many good blocks, with so many times the characters of the page's other text, override a name.
-MANY, NEARLY_ALL, MOST_NESTED = 3, 4, 32
+MANY, NEARLY_ALL = 3, 4
 IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 
 _NEXT = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?/]))")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_RIGHTS = re.compile(r"\u00a9|\(c\) |Copyright\W+(?:\u00a9|\(c\)|\d{4}\b)", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -148,7 +153,7 @@ _QUOTE = re.compile(r"=\s*[\"']")
 
 def _container(tag: str, attributes: dict[str, str], inside_article: bool) -> tuple[str, str]:
     """What an element is: 'bad', 'good' (article), 'main', 'soft' (named like an article) or '';
-    and how its class or id names it: 'readers', 'bad' or ''."""
+    and how its class or id names it: 'readers', 'bad', 'form' (also a form without a name) or ''."""
     role = attributes.get("role", "").lower()
     if tag in BAD_TAGS or role in BAD_ROLES or "hidden" in attributes \
             or attributes.get("aria-hidden", "").lower() == "true" \
@@ -167,6 +172,8 @@ def _container(tag: str, attributes: dict[str, str], inside_article: bool) -> tu
         named = "readers" if words & READERS else "bad" if words & BAD_WORDS else ""
         if not named and not inside_article and tag == "div" and words & TOP_WORDS:
             named = "bad"
+    if tag in FORM_TAGS or role == "form":
+        named = named or "form"
     if tag == "article" or role == "article":
         return "good", named
     if tag == "main" or role == "main":
@@ -330,10 +337,13 @@ def _own_labels(page: list[dict], stops: list[tuple[float, int]]) -> list[str]:
     labels = []
     for block, linked, (density, _) in zip(page, links, stops):
         length, kind, text = len(block["text"]), block["kind"], block["text"]
-        if kind == "bad" or linked or text.startswith(("\u00a9", "(c) ", "Copyright ")):
+        if linked and kind in ("good", "main", "soft") and length >= LENGTH_LOW and density >= high:
+            # A paragraph of an article that is one link goes with what stands around it.
+            labels.append("low")
+        elif kind == "bad" or linked or length <= LENGTH_HIGH and _RIGHTS.match(text):
             labels.append("bad")
         elif length < LENGTH_LOW:
-            labels.append("bad" if block["links"] and not kind else "short")
+            labels.append("short")
         elif kind == "soft" or not known or density >= high:
             labels.append("good" if kind == "soft" or length > LENGTH_HIGH else "near")
         else:
@@ -343,9 +353,11 @@ def _own_labels(page: list[dict], stops: list[tuple[float, int]]) -> list[str]:
 
 def _drop_named(page: list[dict], labels: list[str]) -> list[dict]:
     """The blocks, of kind 'bad' inside of badly named containers, but for containers that hold nearly
-    all good text of the page. Those of readers' words give way only to a page without good text."""
+    all good text of the page. Those of readers' words give way only to a page without good text; a form
+    that holds all of it needs one good block. Every look at the blocks frees one container, until none is
+    to be freed."""
     freed: set[int] = set()
-    for _ in range(MOST_NESTED):
+    while True:
         outer: dict[int, tuple[int, str] | None] = {}
 
         def outermost(names):
@@ -371,8 +383,8 @@ def _drop_named(page: list[dict], labels: list[str]) -> list[dict]:
             elif label == "good":
                 n = held.setdefault(top, [0, 0])
                 n[0], n[1] = n[0] + 1, n[1] + size
-        best = max(((size, -number, kind) for (number, kind), (n, size) in held.items() if n >= MANY
-                    and size > NEARLY_ALL * free and (kind != "readers" or not free_good)), default=None)
+        best = max(((size, -number, kind) for (number, kind), (n, size) in held.items()
+                    if n >= (1 if kind == "form" and not free_good else MANY) and size > NEARLY_ALL * free and (kind != "readers" or not free_good)), default=None)
         if best is None:
             break
         freed.add(-best[1])
@@ -463,10 +475,10 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, url, text (main text, blocks joined by a line end), n_chars."""
     def run(batches):
-        for batch in batches:
-            texts = [main_text(x) for x in batch.column(2).to_pylist()]
+        for part in (p for batch in batches for p in text_slices(batch, 2)):
+            texts = [main_text(x) for x in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                [part.column(0), part.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 

@@ -8,17 +8,17 @@ probability f**HASHES, so the expected passes are taken away before languages ar
 
 An n-gram is assigned to every language whose share of texts with it is at least RATIO of the largest
 share, and to none if that is seen in fewer than LEAST texts. Shares are counted on a sample of the
-labelled rows, about SAMPLE texts per language (a hash of the id below a bound per language); whole
-texts are read, and all counting runs in Spark. There may be up to 64 masks' worth of languages per
-word of a cell; more words are added as needed, up to MOST_LANGUAGES, beyond which learning fails
-loudly instead of dropping a language.
+labelled rows, about SAMPLE texts per language (a hash of id, text and a number of the row below a bound
+per language, so rows without an id or of one id are drawn one by one); whole texts are read, and all
+counting runs in Spark. A cell has one word for 64 languages, and as many words as there are languages; the
+driver holds the list of languages, a model's output.
 
 Text is lower-cased per code point; runs of non-letters are one space.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text whose n-grams are
 all unknown gets the most frequent language and score 0; ties go to the first language in code point
-order; without any labelled row everything is ``und``; null ids are judged like others; an empty table
-gives an empty result.
+order; without any labelled row everything is ``und``; null ids are judged and learned from like others;
+an empty table gives an empty result. Further columns are not carried, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, letters, mix64
+from lurewatch.llm.common import U64, letters, mix64, text_slices
 
 ORDERS = (2, 3, 4)
 SAMPLE, LEAST, RATIO = 1500, 3, 0.5
 HASHES, BITS_PER_GRAM = 3, 16
-MOST_LANGUAGES = 1024
 CHUNK = 1 << 18
 _SALT = [U64(0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1)) for k in range(8)]
 
@@ -113,19 +112,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"),
                        F.col(lang).cast("string").alias("lang")).where(
         "lang IS NOT NULL AND text IS NOT NULL")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    size = {r.lang: r.n for r in found}
+    size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(size)
     if not languages:
         return Model([], np.zeros(0, U64), np.zeros((0, 1), U64), 0)
     # A row is in the sample if its hash lies below sample / n of its language.
-    bound = F.create_map(*[F.lit(x) for name in languages for x in
-                           (name, (min(1.0, sample / size[name]) * 2.0 ** 63))])
-    number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])
-    chosen = rows.where(F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 1) < bound[F.col("lang")]) \
-        .select(number[F.col("lang")].alias("lang"), "text")
+    table = rows.sparkSession.createDataFrame(
+        [(name, k, min(1.0, sample / size[name]) * 2.0 ** 63, float(min(sample, size[name])))
+         for k, name in enumerate(languages)], "lang string, number int, bound double, drawn double")
+    place = F.shiftrightunsigned(F.xxhash64("id", "text", F.monotonically_increasing_id(), F.lit(17)), 1)
+    chosen = (rows.withColumn("place", place).join(F.broadcast(table), "lang").where("place < bound")
+              .select(F.col("number").alias("lang"), "text"))
 
     def count(batches):
         for batch in batches:
@@ -143,8 +140,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
 
     counted = (chosen.mapInArrow(count, "lang int, gram long, n long")
                .groupBy("gram", "lang").agg(F.sum("n").alias("n")))
-    share = F.col("n") / F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in
-                                        (k, float(min(sample, size[name])))])[F.col("lang")]
+    share = F.col("n") / F.col("drawn")
+    counted = counted.join(F.broadcast(table.select(F.col("number").alias("lang"), "drawn")), "lang")
     assigned = (counted.where(F.col("n") >= LEAST).withColumn("share", share)
                 .groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("all"))
                 .withColumn("most", F.array_max(F.transform("all", lambda x: x["share"])))
@@ -170,16 +167,11 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at, size = 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size >= CHUNK or k == len(texts) - 1:
-                    names, scores = held.value.predict(texts[at:k + 1])
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, k + 1 - at), pa.array(names, pa.string()),
-                         pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-                    at, size = k + 1, 0
+            for part in text_slices(batch, 1, CHUNK):
+                names, scores = held.value.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.col(text).cast("string").alias("text")).mapInArrow(

@@ -7,7 +7,9 @@ is one pair of a hash of the first and a hash of the second collection, so table
 
 Defined cases: null or empty text has no shingles and links with nothing; a text of fewer words than a
 shingle has one, its whole word sequence; a null id is kept, without class; an id that repeats is
-judged row by row, each text with its own links, and equal rows fall in one class. An empty table gives an empty result. Extra columns are ignored.
+judged row by row, each text with its own links, and equal rows fall in one class. An empty
+table gives an empty result. ``classes`` ignores further columns, ``one_of_each`` carries them whatever their
+names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ where the rows of a node go: one run of ranks per node and shard. Ranks come fro
 per block of about BLOCK rows, never from a sort of a whole cell.
 
 Defined cases: a null text counts as empty; a null id is a row like others; equal rows are told apart
-by their rank; an empty table gives an empty result.
+by their rank; an empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ segments inside have their own format. ``write`` ranges the table by id (equal i
 segments follow each other by (part, number).
 
 Defined cases: a null text is empty and has the end id alone; a null id comes first; rows that repeat
-an id follow each other in the order of their texts; an empty table gives files without segments.
+an id follow each other in the order of their texts; an empty table gives files without segments. Further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ else Python integers; a score beyond a long is cut to the long range.
 Defined cases: vectors that are null or hold a null or non-finite component take no part; a null id
 takes no part; of vectors of different length the shorter counts as padded with zeros; an id that
 repeats makes one query (its smallest vector) but every row is a candidate; a query's own id never is
-one; fewer than k candidates give a shorter list; an empty table gives an empty result.
+one; fewer than k candidates give a shorter list; an empty table gives an empty result. Further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

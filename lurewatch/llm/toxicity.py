@@ -19,7 +19,7 @@ Defined cases: a text without a known term (empty and null texts too) has the sc
 without examples of both classes every score is the share of toxic examples, 0 if there is none; an id
 labelled twice takes the higher label, null labels don't count; rows that repeat an id are judged one by
 one; equal cosines go to the example that comes first in the index; an empty table gives an empty
-result.
+result. ``score`` ignores further columns, ``below`` carries them whatever their names.
 """
 
 from __future__ import annotations

@@ -109,3 +109,52 @@ def test_table(spark, table):
     text = LONG.strip()
     assert got == [(0, "w", "", 0), (1, "u", text, len(text)), (2, None, "", 0), (2, None, "", 0)]
     assert ht.extract(df.where("false")).count() == 0
+
+
+STORY = ["The council of the town said on Monday that it would not build the road, and that the money was to go to "
+         "the school by the river, which has been in need of a new roof for as long as anyone in the town can say.",
+         "It was the first time in years that the plans of the mayor were not what the council had in mind for it, and "
+         "those who had come to the hall to hear of it were as much in doubt as the members who had to vote on it.",
+         "For the school it is not yet clear when the work is to begin, but the head of it said that she was glad to "
+         "have the word of the council, and that the children would be told of it when they are back from the lakes."]
+
+
+def page(inner, before="", after=""):
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+    return f"<html><body>{before}<nav>{menu}</nav>{inner}<footer>Copyright 2024 The Town Paper</footer>{after}</body></html>"
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_page_inside_a_form():
+    whole = page(f"<form id=aspnetForm><div class=content>{paragraphs(STORY)}</div><label>Search</label></form>")
+    assert ht.main_text(whole).split("\n")[:3] == STORY
+    one = f"<html><body><form><div><p>{STORY[0]}</p></div></form></body></html>"
+    assert ht.main_text(one) == STORY[0]
+    beside = page(f"<article>{paragraphs(STORY)}</article><form><p>{STORY[1]}</p><input></form>")
+    assert ht.main_text(beside) == "\n".join(STORY)
+
+
+def test_copyright_is_a_notice_only_if_short():
+    text = "Copyright law is not what the council had in mind, the members said, as it was for the court to say. " * 2
+    told = page(f"<div>{paragraphs([STORY[0], text.strip(), STORY[1]])}</div>", after="<p>Copyright (c) 2023 Paper</p>")
+    assert ht.main_text(told) == "\n".join([STORY[0], text.strip(), STORY[1]])
+    short = page(f"<div>{paragraphs([STORY[0], 'Copyright matters here.', STORY[1], '© 2024 Someone'])}</div>")
+    assert ht.main_text(short) == "\n".join([STORY[0], "Copyright matters here.", STORY[1]])
+
+
+def test_linked_paragraphs():
+    short = "See <a href=/map>the map</a> first, then read."
+    told = page(f"<div>{paragraphs([STORY[0], short, STORY[1]])}</div>")
+    assert ht.main_text(told) == "\n".join([STORY[0], "See the map first, then read.", STORY[1]])
+    linked = f"<p><a href=/more>{STORY[1]}</a></p>"
+    told = page(f"<article>{paragraphs(STORY[:1])}{linked}{paragraphs(STORY[2:])}</article>")
+    assert ht.main_text(told) == "\n".join(STORY)
+
+
+def test_deeply_nested_names():
+    for depth in (1, 31, 40, 200):
+        inner = "<div class=widget>" * depth + paragraphs(STORY) + "</div>" * depth
+        assert ht.main_text(page(inner)) == "\n".join(STORY), depth

@@ -129,3 +129,18 @@ def test_toxicity_edges(spark, table):
     assert {r.score for r in toxicity.score(
         docs, toxicity.learn(docs, marks.where("false"))).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), index).count() == 0
+
+
+def test_languages_of_rows_without_ids(spark):
+    """Rows that share one id, or have none, are drawn one by one; and any number of languages is learned."""
+    words = {"aa": "kala toma rika solo", "bb": "wren drift stolk brand"}
+    rows = [(None if k % 2 else 5, f"{words[x]} {words[x].split()[k % 4]} {k % 97}", x) for x in words for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language_id.learn(docs)
+    asked = spark.createDataFrame([(1, "toma solo kala"), (2, "drift brand")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score > 0.9) for r in language_id.predict(asked, model).collect()}
+    assert got == {1: ("aa", True), 2: ("bb", True)}
+    many = [(k, " ".join([chr(0x4e00 + k) * 3 + "x"] * 4), f"l{k:04d}") for k in range(1100) for _ in range(3)]
+    model = language_id.learn(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 1100
+    assert model.predict(["万万万x"])[0] == ["l0007"]
