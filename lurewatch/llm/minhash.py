@@ -117,8 +117,8 @@ def _sets(docs: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
         run, "rid long, fp1 long, shingles binary")
 
 
-def _confirm(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """Exact counts of the pairs (rid, hub) of one tile, and the shingles that rid has alone."""
+def _confirm(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Exact counts of the pairs (rid, hub) of one tile, and the shingles that only one of the two has."""
     known = {r: np.frombuffer(s, U64) for r, s in zip(sets.rid, sets.shingles)}
     rows = []
     none = np.zeros(0, np.int64)
@@ -126,14 +126,21 @@ def _confirm(key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         x, h = known[rid], known[hub]
         at = np.minimum(np.searchsorted(h, x), len(h) - 1)
         same = h[at] == x
-        rows.append((rid, hub, star, int(same.sum()), len(x), len(h),
-                     x[~same].view(np.int64) if star else none))
-    return pd.DataFrame(rows, columns=["rid", "hub", "star", "both", "n", "nh", "own"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Compare the full sets of pairs (rid, hub, star): shared shingles, both sizes, and, for members
-    of a star, the shingles that rid has and the hub lacks.
+        both = int(same.sum())
+        own = lack = none
+        if star:
+            own = x[~same].view(np.int64)
+            # Two members can only link by the hub's part alone with this share of each in the hub.
+            if 100 * both >= percent * len(x):
+                lack = np.delete(h, at[same]).view(np.int64)
+        rows.append((rid, hub, star, both, len(x), len(h), own, lack))
+    return pd.DataFrame(rows, columns=["rid", "hub", "star", "both", "n", "nh", "own", "lack"])
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compare the full sets of pairs (rid, hub, star): shared shingles and both sizes; for members of a
+    star also the shingles that the hub lacks (own) and, if most of rid is in the hub, those of the hub
+    that rid lacks (lack).
 
     Pairs are cut into tiles of two blocks of ids (``place``), so a task holds the sets of two blocks
     at most and a set that many pairs need moves once per tile.
@@ -145,7 +152,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sides = (tiled.select(F.col("tile").alias("cell"), F.explode(F.array("rid", "hub")).alias("rid"))
              .distinct().join(sets.select("rid", "shingles"), "rid"))
     return tiled.groupBy("tile").cogroup(sides.groupBy("cell")).applyInPandas(
-        _confirm, "rid long, hub long, star boolean, both long, n long, nh long, own array<long>")
+        lambda left, right: _confirm(left, right, percent),
+        "rid long, hub long, star boolean, both long, n long, nh long, own array<long>, lack array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,7 +219,7 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
     reach = F.floor((100 + percent) * F.col("both") / F.lit(percent)) - F.col("n")
     pairs, edges = _pairs(star, True), None
     for number in range(ROUNDS + 1):
-        checked = stored(verify(pairs, sets), "checked")
+        checked = stored(verify(pairs, sets, percent), "checked")
         new = checked.where(enough).select(F.col("rid").alias("a"), F.col("hub").alias("b"))
         edges = new if edges is None else edges.union(new)
         if number == ROUNDS:
@@ -219,65 +227,69 @@ def link(docs: DataFrame, reps: DataFrame, words: int, percent: int, id_column:
         joined = components(edges).withColumnRenamed("id", "rid")
         named = (checked.where("star").join(joined, "rid", "left")
                  .withColumn("component", F.coalesce("component", "rid"))
-                 .withColumn("reach", reach))
+                 .withColumns({"linked": enough, "reach": reach}))
         split = (named.groupBy("hub").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
             .where("lo != hi").select("hub", "least"))
         left = stored(named.join(split, "hub"), "open")
-        again = stored(_rarest(left, sets, percent), "rare")
+        again = stored(_rarest(left, percent), "rare")
         if number < ROUNDS - 1:
             more = _stars(again.select("key", "rid"), popular)
         else:
             x, y = again.alias("x"), again.alias("y")
+            # What two members have in common beyond their places in the order that both share.
+            rest = F.least("x.rest", "y.rest")
+            can = (F.when(F.col("x.part") == 0, (100 + percent) * (F.least("x.both", "y.both") + rest)
+                          >= percent * (F.col("x.n") + F.col("y.n")))
+                   .otherwise(2 * (100 + percent) * rest >= F.col("x.excess") + F.col("y.excess")))
             more = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid"))
-                           & (F.col("x.component") != F.col("y.component"))
-                           & ((100 + percent) * (F.least("x.both", "y.both")
-                                                 + F.least("x.alone", "y.alone"))
-                              >= percent * (F.col("x.n") + F.col("y.n"))))
+                           & (F.col("x.component") != F.col("y.component")) & can)
                     .select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("hub")))
         pairs = stored(_pairs(more, number < ROUNDS - 1), "pairs")
 
 
-def _rarest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rid, component, n, both, alone): buckets in which members of a hub may still link.
+def _rarest(left: DataFrame, percent: int) -> DataFrame:
+    """(key, rid, component, part, n, both, excess, rest): buckets in which members of a hub may still link.
+
+    ``left`` holds members (hub, rid) with their class, set size n, shingles shared with the hub (both),
+    those the hub lacks (own) and those of the hub that they lack (lack).
+
+    Part 0: two members share at most min(|x & hub|, |y & hub|) shingles of the hub, so a link needs some
+    outside it, unless the hub's part alone could do for both (reach).
+    Part 1, for those: x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles, where Dx are the shingles in
+    which x differs from the hub, and a link allows (100 - percent) / (100 + percent) of both sizes. What
+    Dx has beyond the share of x is its ``excess`` (times 100 + percent), and half the excess of the pair
+    must be common to Dx and Dy. The excess of two members in different classes is above 0, because
+    one of them does not link with the hub.
 
-    ``left`` holds members (hub, rid) with their class, set size n, shingles shared with the hub (both)
-    and those the hub lacks (own). Two members share at most min(|x & hub|, |y & hub|) shingles of the
-    hub, so a link needs some outside it: at least ``percent`` of n less both. Members for which the hub's
-    part alone could do (reach) are asked once more with their whole sets, where a link needs ``percent``
-    of n. Of the shingles asked a member keeps as many as prove that a linked pair has one in common, the
-    rarest among the hub's members first: what thousands of them share stays out. Buckets of one class are
-    left out.
+    Of the shingles of a part a member keeps as many as prove that a linked pair has one in common, the
+    rarest among the hub's members first: what thousands of them share stays out. ``rest`` is how many
+    remain from a shingle's place on. Buckets of one class are left out.
     """
-    quota = F.ceil(F.lit(percent) * F.col("n") / 100)
-    outside = left.select("hub", "rid", "component", "n", "both", F.size("own").alias("alone"),
-                          F.greatest(F.lit(1), quota - F.col("both")).alias("needed"),
-                          F.lit(0).alias("part"), F.explode("own").alias("shingle"))
-    far = left.where("reach >= least").join(_unpacked(sets), "rid").select(
-        "hub", "rid", "component", "n", F.lit(0).cast("long").alias("both"), F.col("n").cast("int").alias("alone"),
-        F.greatest(F.lit(1), quota).alias("needed"), F.lit(1).alias("part"), F.explode("every").alias("shingle"))
-    asked = outside.unionByName(far).withColumn("key", F.xxhash64("hub", "part", "shingle"))
+    # A partner has at least the size of the smallest member, and of percent of this one.
+    smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    quota = F.ceil(percent * (F.col("n") + smallest) / F.lit(100 + percent))
+    excess = (100 + percent) * (F.col("n") + F.col("nh") - 2 * F.col("both")) - (100 - percent) * F.col("n")
+    told = left.withColumn("excess", excess)
+    outside = told.withColumns({"part": F.lit(0), "needed": F.greatest(F.lit(1), quota - F.col("both")),
+                                "asks": F.col("own")})
+    far = told.where("reach >= least")
+    lowest = far.groupBy("hub").agg(F.min("excess").alias("lowest"))
+    # The partner of a member that links with the hub does not.
+    other = F.when(F.col("linked"), (100 - percent) * F.col("nh") + 1).otherwise(F.col("lowest"))
+    differ = far.join(lowest, "hub").withColumns({
+        "part": F.lit(1), "needed": F.greatest(F.lit(1), F.ceil((F.col("excess") + other) / F.lit(2 * (100 + percent)))),
+        "asks": F.concat("own", "lack")}).drop("lowest")
+    asked = (outside.unionByName(differ)
+             .select("hub", "rid", "component", "part", "n", "both", "excess", "needed",
+                     F.size("asks").alias("size"), F.explode("asks").alias("shingle"))
+             .withColumn("key", F.xxhash64("hub", "part", "shingle")))
     found = asked.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"),
                                      F.max("component").alias("hi"))
     place = F.row_number().over(Window.partitionBy("rid", "hub", "part").orderBy("members", "shingle"))
-    return (asked.join(found, "key").withColumn("at", place)
-            .where((F.col("at") <= F.col("alone") - F.col("needed") + 1) & (F.col("lo") != F.col("hi")))
-            .select("key", "rid", "component", "n", "both", "alone"))
-
-
-def _unpacked(sets: DataFrame) -> DataFrame:
-    """(rid, every): the shingles of packed sets as numbers."""
-    def run(batches):
-        for batch in batches:
-            packed = batch.column(1).cast(pa.large_binary())
-            _, places, data = packed.buffers()
-            at = np.frombuffer(places, np.int64)[packed.offset:packed.offset + len(packed) + 1]
-            line = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(((at - at[0]) // 8).astype(np.int32)), pa.array(line))],
-                names=["rid", "every"])
-
-    return sets.select("rid", "shingles").mapInArrow(run, "rid long, every array<long>")
+    return (asked.join(found, "key").withColumn("rest", F.col("size") - place + 1)
+            .where((F.col("rest") >= F.col("needed")) & (F.col("lo") != F.col("hi")))
+            .select("key", "rid", "component", "part", "n", "both", "excess", "rest"))
 
 
 def _pairs(rows: DataFrame, star: bool) -> DataFrame:
