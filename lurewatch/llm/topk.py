@@ -3,7 +3,8 @@
 Vectors are dealt to shards by a hash of their id; every query goes to every shard. A task holds one
 shard and streams the queries through it tile by tile: a matrix product, a partial selection, and one
 list of k per query and shard. Lists are then merged in a tree, FAN shards at a time. The shards grow
-with the square root of the table, so tasks and the copies of the queries grow in step.
+with the square root of the table, so tasks and the copies of the queries grow in step, up to MOST_VALUES
+components; a query's copy costs its bytes in the shuffle and a product with a whole shard in its task.
 
 Components become floor(1024 * x). Products are exact: float64 while all partial sums stay below 2**53,
 else Python integers; a score beyond a long is cut to the long range.
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCALE, TILE, PART, FAN = 1024, 128, 8192, 32
-MOST_ROWS = 1 << 18
+# Twice 256 MB while a shard's parts are joined.
+MOST_VALUES = 1 << 25
 LONG = (1 << 63) - 1
 
 
@@ -94,7 +96,7 @@ def best(queries: np.ndarray, own: np.ndarray, grid: np.ndarray, ids: np.ndarray
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id",
-           vector: str = "embedding") -> DataFrame:
+           vector: str = "embedding", most_values: int = MOST_VALUES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for every query row."""
     def usable(df: DataFrame, kind: int) -> DataFrame:
         v = F.col(vector).cast("array<double>")
@@ -106,8 +108,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
 
     rows = usable(vectors, 0)
     asked = usable(queries, 1).groupBy("id", "kind").agg(F.min("v").alias("v"))
-    n = rows.count()
-    shards = max(1, math.ceil(math.sqrt(n) / 8), math.ceil(n / MOST_ROWS))
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    shards = max(1, math.ceil(math.sqrt(n) / 8), math.ceil(n * (width or 0) / most_values))
     # Neighbouring numbers go to any task: the shard number is its own partition key.
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards))).unionByName(
         asked.withColumn("shard", F.explode(F.sequence(

@@ -33,6 +33,9 @@ def test_brute_force(spark, table):
     asked = [(i, v) for i, v in rows if i is not None and i % 100 == 0]
     got = sorted(map(tuple, topk.search(df, df.where("vec_id % 100 = 0")).collect()))
     assert got == brute(rows, asked)
+    # Many small shards: lists are merged in more than one round.
+    got = sorted(map(tuple, topk.search(df, df.where("vec_id % 100 = 0"), most_values=200).collect()))
+    assert got == brute(rows, asked)
 
 
 def test_large_values_and_few_rows(spark, table):
