@@ -7,9 +7,10 @@ add up to the number of rows and differ by one at most, which is the law ``rows`
 leaves more rows at their own node.
 
 The ring is cut into ``2**bits`` cells. Rows are placed by their order on the ring (cell, then a hash
-of the id, then id and text); only counts per node, a table as long as the ring has nodes, decide
-where the rows of a node go: one run of ranks per node and shard. Ranks come from counts per cell and
-per block of about BLOCK rows, never from a sort of a whole cell.
+of id and text, then id and text); only counts per node, a table as long as the ring has nodes, decide
+where the rows of a node go: one run of ranks per node and shard. Equal rows are counted first and have
+consecutive ranks. Ranks come from counts per cell and per block of about BLOCK different rows, never
+from a sort of a whole cell; copies are made again from the counts, RUN at a time.
 
 Defined cases: a null text counts as empty; a null id is a row like others; equal rows are told apart
 by their rank; an empty table gives an empty result. Further columns are ignored, whatever their names.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm.common import stored
 
-POINTS, BITS, BLOCK = 64, 20, 128
+POINTS, BITS, BLOCK, RUN = 64, 20, 128, 1 << 12
 
 
 def _ring(shards: int, points: int, bits: int) -> list[tuple[int, int]]:
@@ -86,12 +87,12 @@ def place(docs: DataFrame, shards: int = 8, slack: float = 0.0, points: int = PO
                       (F.length(body) + 1).cast("long").alias("size"),
                       F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h"))
     ring = row.withColumns({"cell": F.shiftrightunsigned("h", 64 - bits),
-                            "turn": F.xxhash64("doc_id", F.lit(3))})
+                            "turn": F.xxhash64("doc_id", "h", F.lit(3))})
     # Behind the last node comes the first.
-    ring = stored(ring.withColumn(
-        "node", _next_node(F.col("cell"), [c for c, _ in nodes]) % len(nodes)), "ring")
-    per_cell = ring.groupBy("node", "cell").agg(F.count("*").alias("n"))
-    sums = per_cell.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    ring = ring.withColumn("node", _next_node(F.col("cell"), [c for c, _ in nodes]) % len(nodes))
+    ring = stored(ring.groupBy(*ring.columns).agg(F.count("*").alias("copies")), "ring")
+    per_cell = ring.groupBy("node", "cell").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    sums = per_cell.groupBy("node").agg(F.sum("n").alias("n"), F.max("rows").alias("most")).collect()
     counts = {r.node: r.n for r in sums}
     most = max((r.most for r in sums), default=0)
     plan = runs(counts, nodes, capacities(sum(counts.values()), shards, slack))
@@ -103,7 +104,7 @@ def place(docs: DataFrame, shards: int = 8, slack: float = 0.0, points: int = PO
                                            "home_shard int").coalesce(1)
                .groupBy("node", "home_shard")
                .agg(F.collect_list(F.struct("begin", "end", "shard", "slot0")).alias("runs")))
-    # Blocks of a cell: as many bits of the id's hash as its largest cell needs.
+    # Blocks of a cell: as many bits of the hash as the cell with the most different rows needs.
     cut = max(0, (max(most, 1) // BLOCK)).bit_length()
     ranged = ring.withColumn("block", F.shiftrightunsigned("turn", 64 - cut) if cut else F.lit(0))
     keys = ["node", "cell", "block"]
@@ -113,14 +114,24 @@ def place(docs: DataFrame, shards: int = 8, slack: float = 0.0, points: int = PO
 
     offsets = per_cell.select("node", "cell", F.coalesce(
         F.sum("n").over(earlier(["node"], "cell")), F.lit(0)).alias("offset"))
-    before = (ranged.groupBy(*keys).agg(F.count("*").alias("m"))
+    before = (ranged.groupBy(*keys).agg(F.sum("copies").alias("m"))
               .select(*keys, F.coalesce(F.sum("m").over(earlier(keys[:2], "block")), F.lit(0))
                       .alias("before"))
               .join(offsets, ["node", "cell"])
               .select(*keys, (F.col("before") + F.col("offset")).alias("base")))
-    inside = Window.partitionBy(*keys).orderBy("turn", "doc_id", "h", "text_crc32", "size")
-    ranked = (ranged.withColumn("k", F.row_number().over(inside) - 1).join(before, keys)
-              .withColumn("rank", F.col("base") + F.col("k")))
+    inside = (Window.partitionBy(*keys).orderBy("turn", "doc_id", "h", "text_crc32", "size")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    begun = (ranged.withColumn("k", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(before, keys)
+             .withColumn("first", F.col("base") + F.col("k")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows with many copies go on in runs, which any task may take.
+    few = begun.where(F.col("copies") <= RUN)
+    many = begun.where(F.col("copies") > RUN).withColumn("at", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long")))).withColumns({
+            "first": F.col("first") + F.col("at"), "copies": F.least(F.col("copies") - F.col("at"), F.lit(RUN))
+        }).drop("at").repartition(tasks, "node", "first")
+    ranked = few.unionByName(many).withColumn("rank", F.explode(F.sequence(
+        F.col("first"), F.col("first") + F.col("copies") - 1)))
     mine = F.element_at(F.filter("runs", lambda r: (r["begin"] <= F.col("rank"))
                                  & (F.col("rank") < r["end"])), 1)
     # The plan has at most two entries per node and one per shard, whatever the table's size.

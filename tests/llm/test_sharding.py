@@ -29,6 +29,21 @@ def test_counts_and_slots(spark, table):
     assert len(shared) <= 8
 
 
+def test_equal_rows_are_ranked_in_runs(spark, table, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    data = [(None, "the same")] * 500 + [(4, "the same")] * 200 + [(None, f"text {k}") for k in range(300)]
+    data += [(4, f"other {k % 30}") for k in range(200)] + [(k, "the same") for k in range(100, 200)]
+    got = sharding.place(table(data, "doc_id long, text string"), bits=3, points=2).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter(
+        (i, zlib.crc32(t.encode())) for i, t in data)
+    loads = Counter(r.shard for r in got)
+    assert max(loads.values()) - min(loads.values()) <= 1
+    for s, n in loads.items():
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+    again = sharding.place(table(data[::-1], "doc_id long, text string", 5), bits=3, points=2).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
 def test_bounds_and_movement(spark, table):
     docs = table([(i, f"key {i}") for i in range(3000)], "doc_id long, text string")
     free = {r.doc_id: r for r in sharding.place(docs, 8, slack=0.25).collect()}
