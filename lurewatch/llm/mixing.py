@@ -13,6 +13,10 @@ by unit, with hashed numbers), and the rest to the right half. A shard then draw
 ones of each source's permuted order, so no unit is drawn twice; inside a shard the order is that of
 ``key``. Everything is made of hashes, so reruns agree.
 
+The tree begins with as many nodes as keep each near NODE units. Their samples come from one order of all
+units by a hash, cut at the nodes' exact sizes, which has the same law as drawing them one after the
+other; ranks in it come from ranges, so no task holds a source's units or all sources.
+
 DataFrame operations only. The driver sees two numbers of the table (all words, and the words per
 weight unit). One row per source, unit or node is all that the plan holds.
 
@@ -35,6 +39,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Larger than any number of blocks, so multiplying by one of them permutes the block numbers.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BUCKET, CHUNK, REGROUP = 256, 256, 4
+NODE, STEP = 1 << 14, 1 << 12
 
 
 def word_count(text: str = "text") -> Column:
@@ -55,6 +60,15 @@ def _running(df: DataFrame, order: list[Column], values: dict[str, Column]) -> D
         *df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in values])
 
 
+def _numbers(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Rows (with sid) once for each number below ``count``, in steps that are dealt to all tasks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = rows.where(F.col(count) > 0).withColumn("_step", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col(count) - 1) / STEP)))).repartition(tasks, "sid", "_step")
+    return steps.withColumn(name, F.explode(F.sequence(
+        F.col("_step") * STEP, F.least((F.col("_step") + 1) * STEP, F.col(count)) - 1))).drop("_step")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, words, docs) with sid (from 0), weight and target: words shared by weight, capped."""
     numbered = _running(sizes, [F.col("source").asc_nulls_last()], {"sid": F.lit(1).cast("long")})
@@ -130,15 +144,32 @@ def _split(nodes: DataFrame, bound) -> DataFrame:
     return inner.unionByName(nodes.where("hi - lo <= 1"))
 
 
-def quotas(units: DataFrame, shards: int, total: int) -> DataFrame:
+def _first_nodes(units: DataFrame, shards: int, total: int, node_units: int) -> tuple[DataFrame, int]:
+    """(lo, hi, counts) of the nodes at the top of the tree, and the most shards that one of them has."""
+    nodes = max(1, min(shards, -(-total // node_units)))
+    each = _numbers(units, "n", "k").select("sid", "k", F.xxhash64("sid", "k", F.lit(11)).alias("key"))
+    ranked = _running(each, [F.col("key"), F.col("sid"), F.col("k")], {"rank": F.lit(1).cast("long")})
+    # The node whose run of ranks holds this one, by way of the shard.
+    shard = F.expr(f"((rank + 1) * {shards}L - 1) div {max(total, 1)}L")
+    counted = (ranked.withColumn("shard", shard)
+               .withColumn("node", F.expr(f"((shard + 1) * {nodes}L - 1) div {shards}L"))
+               .groupBy("node", "sid").agg(F.count("*").alias("n")))
+
+    def edge(place: Column) -> Column:
+        return F.floor(place * shards / nodes).cast("long")
+
+    return counted.groupBy("node").agg(F.array_sort(F.collect_list(
+        F.struct("sid", "n"))).alias("counts")).select(
+        edge(F.col("node")).alias("lo"), edge(F.col("node") + 1).alias("hi"), "counts"), -(-shards // nodes)
+
+
+def quotas(units: DataFrame, shards: int, total: int, node_units: int = NODE) -> DataFrame:
     """(shard, sid, start, n) from unit counts (sid, n): each shard's run of each source's units."""
     def bound(place: Column) -> Column:
         return F.floor(place * F.lit(total) / F.lit(shards)).cast("long")
 
-    nodes = units.where("n > 0").groupBy().agg(F.array_sort(F.collect_list(
-        F.struct("sid", "n"))).alias("counts")).select(
-        F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "counts")
-    width, level = shards, 0
+    nodes, width = _first_nodes(units, shards, total, node_units)
+    nodes, level = stored(nodes, "nodes"), 0
     while width > 1:
         nodes, width, level = _split(nodes, bound), -(-width // 2), level + 1
         if level % REGROUP == 0:
@@ -172,9 +203,8 @@ def mix(docs: DataFrame, carry: list[str], weights=WEIGHTS, most: int = MOST,
     keys = ["sid", "block"]
     weighed = stored(rows.groupBy(*keys).agg(F.sum("mix_size").alias("words")), "blocks")
     # The part of a pass: blocks in permuted order while they fit, and the one where the rest ends.
-    last = (plan.where("part > 0").select("sid", "passes", "part", "blocks", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("place"))
-        .withColumn("block", _permuted(F.col("place"), F.col("passes"), F.col("sid"), F.col("blocks"))))
+    last = (_numbers(plan.where("part > 0").select("sid", "passes", "part", "blocks"), "blocks", "place")
+            .withColumn("block", _permuted(F.col("place"), F.col("passes"), F.col("sid"), F.col("blocks"))))
     lined = running_sum(
         last.join(weighed, keys, "left").withColumn("words", F.coalesce("words", F.lit(0))),
         ["sid"], F.floor(F.col("place") / BUCKET), [F.col("place")], {"sum": F.col("words")})

@@ -121,6 +121,30 @@ def test_tree_is_exact_and_hypergeometric(spark):
     assert abs(mean - 45) < 3 and 0.4 * exact < spread < 2 * exact
 
 
+def test_first_nodes_have_the_same_law(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 64)
+    units = {0: 3000, 1: 1000, 2: 993, 3: 7}
+    df = spark.createDataFrame([*units.items(), (4, 0)], "sid long, n long")
+    # Nodes of one shard each, of two or three, and one node: the root.
+    for node_units in (50, 120, 5000):
+        got = mixing.quotas(df, 100, 5000, node_units).collect()
+        per_shard, runs = Counter(), defaultdict(list)
+        for r in got:
+            per_shard[r.shard] += r.n
+            runs[r.sid].append((r.start, r.n, r.shard))
+        assert all(v == 50 for v in per_shard.values()) and len(per_shard) == 100
+        for sid, n in units.items():
+            line = sorted(runs[sid])
+            assert [at for at, _, _ in line] == [sum(k for _, k, _ in line[:i]) for i in range(len(line))]
+            assert sum(k for _, k, _ in line) == n
+        held = {s: k for _, k, s in runs[1]}
+        spread = sum((held.get(s, 0) - 10) ** 2 for s in range(100)) / 100
+        exact = 50 * 0.2 * 0.8 * (4950 / 4999)
+        assert 0.6 * exact < spread < 1.6 * exact
+        again = mixing.quotas(df.repartition(3), 100, 5000, node_units).collect()
+        assert sorted(got) == sorted(again)
+
+
 def test_copies_and_shards(spark, docs, tmp_path):
     mixed = mixing.mix(docs, docs.columns, shard_words=50000)
     out = mixing.copies(mixed, docs.columns)
