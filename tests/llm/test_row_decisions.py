@@ -1,7 +1,7 @@
 """Stages of the pipeline judge rows, not ids: null and repeated ids."""
 
 import corpus_pipeline
-from lurewatch.llm import decontaminate, minhash, queries
+from lurewatch.llm import common, decontaminate, minhash, queries
 from lurewatch.llm.common import read
 
 SF = "/root/testdata/sf0.01"
@@ -60,3 +60,16 @@ def test_stages_take_clashing_columns(spark, table):
 
 def extra_of(extra):
     return [None] * len(extra)
+
+
+def test_reading_bounds_arrow_batches(spark, tmp_path):
+    key = common.BATCH
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64m", str(common.BATCH_BYTES)), ("1m", "1m"), ("67108864b", str(common.BATCH_BYTES))):
+            spark.conf.set(key, given)
+            assert common.read(spark, str(tmp_path), "t").count() == 3
+            assert spark.conf.get(key) in (want, "1048576b", want + "b")
+    finally:
+        spark.conf.set(key, before)
