@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, char_table, code_points, mix64, schema_of, stored
+from lurewatch.llm.common import U64, char_table, code_points, lean, mix64, schema_of, stored
 
 Q, RATE, SHORT = 8, 0.1, 40
 INDEX_CHARS, WINDOW = 1 << 21, 1 << 16
@@ -256,7 +256,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text:
                          (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                     names=["doc_id", "item_id", "begin", "end", "edits"])
 
-        part = rows.mapInArrow(run, SCHEMA)
+        part = rows.mapInArrow(lean(run), SCHEMA)
         if more:
             part = stored(part, "hits")
             index.destroy()
@@ -274,7 +274,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([not index.value.hits(t.as_py())
                                              for t in batch.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema_of(docs, *docs.columns))
+        docs = docs.mapInArrow(lean(run), schema_of(docs, *docs.columns))
         if more:
             docs = stored(docs, "clean")
             index.destroy()

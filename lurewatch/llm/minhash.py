@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import (U64, Spans, fresh, lower_ascii, mix64, stored, text_chunks, words_of)
+from lurewatch.llm.common import (
+    U64, Spans, fresh, lean, lower_ascii, mix64, new_stage, stored, text_chunks, words_of)
 
 TABLES, ROWS = 10, 2
 TILE, ROUNDS = 16, 2
+# Bytes of text hashed at once; the arrays of a step take some seventy times as much.
+CHUNK = 1 << 18
 _rng = np.random.default_rng(20240131)
 _COEF = _rng.integers(0, 1 << 63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _SEED = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64)
@@ -32,7 +35,7 @@ _ODD = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64
 
 def shingle_sets(column: pa.Array, words: int):
     """Per chunk: first row, the distinct shingle hashes of its rows in a line, and their starts."""
-    for lo, hi, data, offsets in text_chunks(column):
+    for lo, hi, data, offsets in text_chunks(column, CHUNK):
         starts, ends, row = words_of(data, offsets)
         hashed = Spans(lower_ascii(data)).hash(starts, ends)
         n = hi - lo
@@ -98,7 +101,7 @@ def sketch(docs: DataFrame, words: int, tables: int = TABLES, rows: int = ROWS,
                      *lists], names=["doc_id", "n_shingles", "fp1", "fp2", "left", "right"])
 
     return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, fp1 long, fp2 long, left array<long>, right array<long>")
+        lean(run), "doc_id long, n_shingles long, fp1 long, fp2 long, left array<long>, right array<long>")
 
 
 def _sets(docs: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
@@ -114,11 +117,12 @@ def _sets(docs: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
                      pa.array(packed, pa.binary())], names=["rid", "fp1", "shingles"])
 
     return docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")).mapInArrow(
-        run, "rid long, fp1 long, shingles binary")
+        lean(run), "rid long, fp1 long, shingles binary")
 
 
 def _confirm(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Exact counts of the pairs (rid, hub) of one tile, and the shingles that only one of the two has."""
+    new_stage()
     known = {r: np.frombuffer(s, U64) for r, s in zip(sets.rid, sets.shingles)}
     rows = []
     none = np.zeros(0, np.int64)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, Spans
+from lurewatch.llm.common import U64, Spans, for_one_stage, lean
 from lurewatch.session import shared_path
 
 BLOCK, PERCENT, SEGMENT = 128, 90, 1 << 20
@@ -258,6 +258,9 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+for_one_stage(_words.cache_clear)
+
+
 def encode(path: str, texts: list[str | None] | pa.Array, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts in a line, and each text's number of ids.
 
@@ -322,7 +325,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_column
                           F.col(text).cast("string").alias("text"))
               .repartitionByRange(F.col("doc_id"), F.xxhash64("text"))
               .sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text")))
-    ranged.mapInArrow(run, "part int, number int, n_ids long, cell binary").write.parquet(path)
+    ranged.mapInArrow(lean(run), "part int, number int, n_ids long, cell binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -344,7 +347,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "number", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
     rows = files.select("part", "number", "cell").mapInArrow(
-        run, "part int, number int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+        lean(run), "part int, number int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     # One row per segment of a million ids: first inside each part, then over the parts.
     sizes = files.select("part", "number", "n_ids")
     inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)

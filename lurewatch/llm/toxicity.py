@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import U64, Spans, letters, mix64, schema_of, text_slices
+from lurewatch.llm.common import U64, Spans, lean, letters, mix64, schema_of, text_slices
 
 SAMPLE, LEAST, CHI = 2000, 3, 15.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -247,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
     a, b = F.col("toxic"), F.col("clean")
     total, c, d = float(clean_n + toxic_n), toxic_n - F.col("toxic"), clean_n - F.col("clean")
     chi = total * (a * d - b * c) ** 2 / (float(toxic_n) * clean_n * (a + b) * (c + d))
-    told = (rows.select("text", "label").mapInArrow(count, "term long, clean long, toxic long")
+    told = (rows.select("text", "label").mapInArrow(lean(count), "term long, clean long, toxic long")
             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
             .where((F.col("clean") + F.col("toxic") >= LEAST) & (c + d > 0) & (chi >= CHI)))
     # Bounded by the sample: the terms and the examples' vectors.
@@ -265,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
                 names=["id", "label", "term", "n", "words"])
 
     got = rows.mapInArrow(
-        sparse, "id long, label int, term array<int>, n array<int>, words long").toArrow()
+        lean(sparse), "id long, label int, term array<int>, n array<int>, words long").toArrow()
     got = got.sort_by([("id", "ascending"), ("label", "ascending"), ("words", "ascending")])
     lists = got.column("term").combine_chunks()
     term = lists.flatten().to_numpy().astype(np.int64)
@@ -291,7 +291,7 @@ def below(docs: DataFrame, index: Index, limit: float, text: str = "text") -> Da
                 yield part.filter(pa.array(np.asarray(scores) < limit))
 
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(
-        run, schema_of(docs.withColumn(text, F.col(text).cast("string")), *docs.columns))
+        lean(run), schema_of(docs.withColumn(text, F.col(text).cast("string")), *docs.columns))
 
 
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,4 +312,4 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text: str =
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, score double, evidence array<struct<id: long, cosine: double, label: int>>")
+        lean(run), "doc_id long, score double, evidence array<struct<id: long, cosine: double, label: int>>")
