@@ -264,6 +264,18 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text:
     return out.distinct()
 
 
+def unsearched(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The passages shorter than SHORT, of which ``find`` only takes whole words and fewer edits."""
+    def run(batches):
+        for batch in batches:
+            short = [len(normalized(t)[0]) < SHORT for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(short, pa.bool_()))],
+                                             names=["item_id"])
+
+    return benchmark.select(F.col(item_id).cast("long").alias("item_id"),
+                            F.col(text).cast("string")).mapInArrow(lean(run), "item_id long")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a benchmark passage in their own text, with all their columns; ids play no part."""
     place = docs.columns.index("text")
